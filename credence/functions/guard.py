@@ -49,9 +49,13 @@ def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def block_reason(query: Column) -> Column:
-    """NULL when the query may pass, else why it may not. Patterns search, ignore case, know Cyrillic."""
-    text = stripped(F.coalesce(query, F.lit("")))
-    reason = F.when(text == "", "empty_query").when(F.char_length(text) > MAX_QUERY_CHARS, "query_too_long")
+    """NULL when the query may pass, else why it may not. Patterns search, ignore case, know Cyrillic.
+
+    Surrounding white space never decides a pattern, so only the length test strips it.
+    """
+    text = F.coalesce(query, F.lit(""))
+    too_long = (F.char_length(text) > MAX_QUERY_CHARS) & (F.char_length(stripped(text)) > MAX_QUERY_CHARS)
+    reason = F.when(~text.rlike(r"(?U)\S"), "empty_query").when(too_long, "query_too_long")
     for pattern in BLOCKED_PATTERNS:
         reason = reason.when(text.rlike("(?iU)" + pattern), f"blocked_pattern:{pattern}")
     return reason

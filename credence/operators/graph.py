@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from credence.config import EDGE_TYPES
 from credence.functions.columns import chunk_node_id
 from credence.operators.grouping import spread_join
-from credence.session import settle
+from credence.session import settle, settle_counted
 
 CHUNK_SCORE = 1.0
 DOCUMENT_SCORE = 0.8
@@ -96,12 +96,14 @@ def reach(
     start = seeds.select("query_id", "node_id").distinct()
     adjacent = neighbours(edges, edge_types)
     if hops > 1:
-        start, adjacent = settle(start), settle(adjacent)
+        start = settle(start)
+    ends = adjacent.select("node_id")
+    rows = 2 * edges.count()
     found = start.withColumn("depth", F.lit(0))
     frontier = start
     for depth in range(1, hops + 1):
         step = (
-            spread_join(adjacent, frontier, "node_id", ["neighbour"])
+            spread_join(adjacent, frontier, "node_id", ["neighbour"], weigh=ends, rows=rows)
             .select("query_id", F.col("neighbour").alias("node_id"))
             .distinct()
         )
@@ -120,9 +122,9 @@ def expand(
     edge_types: Sequence[str] = tuple(EDGE_TYPES),
 ) -> DataFrame:
     """Reached nodes with their attributes; ids the node table lacks are walked through but not returned."""
-    found = settle(reach(seeds, edges, hops, edge_types))
+    found, rows = settle_counted(reach(seeds, edges, hops, edge_types))
     about = nodes.select("node_id", "node_type", "label", "ref_table", "ref_id")
-    return spread_join(found, about, "node_id", ["query_id"]).select(
+    return spread_join(found, about, "node_id", ["query_id"], rows=rows).select(
         "query_id", "node_id", "node_type", "label", "ref_table", "ref_id", "depth"
     )
 
@@ -134,21 +136,26 @@ def graph_chunks(reached: DataFrame, chunk: DataFrame, document: DataFrame) -> D
     node, score 0.8. Other node types lead to no chunk, even if they refer to a document.
     `chunk` has chunk_id, document_id, external_id; `document` has document_id, external_id.
     """
+    reached_rows, chunk_rows = reached.count(), chunk.count()
     has_ref = F.coalesce(F.col("ref_id") != "", F.lit(False))
     named = F.when((F.col("node_type") == "Chunk") & has_ref, F.col("ref_id")).when(
         F.col("node_id").startswith("chunk:"), F.expr("substring(node_id, 7)")
     )
     direct = reached.select("query_id", named.alias("external_id")).filter("external_id IS NOT NULL").distinct()
-    of_chunks = spread_join(direct, chunk.select("chunk_id", "external_id"), "external_id", ["query_id"])
+    of_chunks = spread_join(
+        direct, chunk.select("chunk_id", "external_id"), "external_id", ["query_id"], rows=reached_rows
+    )
     wanted = (
         reached.filter((F.col("node_type") == "Document") & has_ref)
         .select("query_id", F.col("ref_id").alias("external_id"))
         .distinct()
     )
     documents = spread_join(
-        wanted, document.select("document_id", "external_id"), "external_id", ["query_id"]
+        wanted, document.select("document_id", "external_id"), "external_id", ["query_id"], rows=reached_rows
     ).select("query_id", "document_id")
-    of_documents = spread_join(chunk.select("chunk_id", "document_id"), documents, "document_id", ["chunk_id"])
+    of_documents = spread_join(
+        chunk.select("chunk_id", "document_id"), documents, "document_id", ["chunk_id"], rows=chunk_rows
+    )
 
     def scored(df, stage, score):
         return df.select("query_id", "chunk_id", F.lit(stage).alias("stage"), F.lit(score).alias("graph_score"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credence.session import settle
+
 # Keys heavier than this are split over several tasks by spread_join.
 ROWS_PER_TASK = 2_000_000
 # A ranking of keys by weight keeps this many; any key outside it holds < 1/1024 of the rows.
@@ -53,16 +55,29 @@ def spread_join(
     on: str | Sequence[str],
     row_id: Sequence[str],
     how: str = "inner",
+    weigh: DataFrame | None = None,
+    rows: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Equi-join where single keys of `big` may be very heavy.
 
-    Heavy keys are cut into parts by a hash of `row_id`; only those keys of `small`
-    are repeated, once per part. The heavy-key table has at most 1024 rows, which
-    bounds the broadcast. `how` is inner, left, left_semi or left_anti.
+    The keys are weighed first (one aggregate over the key columns). Without a heavy
+    key this is a plain join. Otherwise heavy keys are cut into parts by a hash of
+    `row_id`, and only those keys of `small` are repeated, once per part. The list of
+    heavy keys has at most 1024 rows, which bounds what is collected and broadcast.
+    `weigh` is a cheaper frame with the same keys, for a `big` that is costly to
+    compute twice; `rows` its known size, which settles the question if it is small:
+    a key cannot hold more rows than the table. `how` is inner, left, left_semi or
+    left_anti.
     """
     on = [on] if isinstance(on, str) else list(on)
-    hot = F.broadcast(hot_keys(big, on, rows_per_task))
+    if rows is not None and rows <= rows_per_task:
+        return big.join(small, on, how)
+    weights = hot_keys(weigh if weigh is not None else big, on, rows_per_task)
+    heavy = weights.collect()
+    if not heavy:
+        return big.join(small, on, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame(heavy, weights.schema))
     has_null = F.lit(False)
     for key in on:
         has_null = has_null | F.col(key).isNull()
@@ -97,7 +112,8 @@ def grouped_rank(
 
     `coarse` must be non-decreasing in `order` (a prefix of it, or a rounded-down
     value). Rows are ranked inside (keys, coarse) and shifted by the number of rows
-    in the lower coarse groups, which is a sum over a much smaller table.
+    in the lower coarse groups, which is a sum over a much smaller table. `df` is read
+    twice, so it should be stored or cheap.
     """
     marks = [f"_c{i}" for i in range(len(coarse))]
     marked = df
@@ -115,22 +131,24 @@ def grouped_rank(
     )
 
 
-def dense_ids(df: DataFrame, key: str, name: str, start: int = 1, buckets: int = 256) -> DataFrame:
-    """1-based dense numbers in the order of the unique column `key`.
+def dense_ids(df: DataFrame, key: str, name: str, start: int = 1) -> DataFrame:
+    """Dense numbers from `start` on, in the order of `key`.
 
-    Split points come from the `buckets * 8` keys with the least hash, a bounded
-    sample, so the numbering runs in `buckets` parts instead of one global sort.
+    Rows are range-partitioned by key, numbered inside each partition and written once;
+    each partition's numbers are then shifted by the sizes of the ones before it. One
+    shuffle, no global sort in one task, and a re-run task cannot change a number.
     """
-    sample = df.select(key).orderBy(F.xxhash64(key), key).limit(buckets * 8)
-    ordered = sample.agg(F.sort_array(F.collect_list(key)).alias("s"))
-    step = F.greatest(F.lit(1), F.floor(F.size("s") / F.lit(buckets)))
-    splits = ordered.select(F.filter("s", lambda _, i: i % step == 0).alias("s"))
-    bucket = F.size(F.filter("_splits", lambda s: s <= F.col(key)))
-    marked = (
-        df.withColumn("_splits", splits.scalar())
-        .withColumn("_all", F.lit(0))
-        .withColumn("_bucket", bucket)
-        .drop("_splits")
+    local = F.monotonically_increasing_id()
+    placed = settle(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", local))
+    # The id is the partition number above 33 bits of row number.
+    partition, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(partition.alias("_partition")).agg(F.count(F.lit(1)).alias("_size"))
+    # One row per partition of the range shuffle.
+    below = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_partition", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_shift"))
+    return (
+        placed.withColumn("_partition", partition)
+        .join(F.broadcast(shifts), "_partition")
+        .withColumn(name, row + F.col("_shift") + F.lit(start))
+        .drop("_at", "_partition", "_shift")
     )
-    ranked = grouped_rank(marked, ["_all"], [F.col(key)], [F.col("_bucket")], name)
-    return ranked.withColumn(name, (F.col(name) + F.lit(start - 1)).cast("long")).drop("_all", "_bucket")

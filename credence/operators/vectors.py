@@ -135,16 +135,14 @@ def nearest(
     spark = corpus.sparkSession
     vectors = query_vectors.select("vector_id", "embedding").filter("embedding IS NOT NULL")
     rows = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL")
-    dim = _dimension(rows)
+    dim = _dimension(vectors)
     if dim is None:
         return spark.createDataFrame([], _hit_schema(vectors))
-    most = max(1, broadcast_bytes // (8 * dim))
+    most = broadcast_bytes // (8 * dim)
     # One row past the bound shows that the vectors do not fit, without a separate count.
     head = vectors.limit(most + 1).toArrow()
     if head.num_rows > most:
         return _top(_search_by_cells(vectors, rows, k, dim), "vector_id", k)
-    if head.num_rows == 0:
-        return spark.createDataFrame([], _hit_schema(vectors))
     matrix = _unit_matrix(head.column("embedding"), dim)
     hits = _top(_scan_with(matrix, spark, rows, k), "q", k)
     names = pa.table({"q": pa.array(range(head.num_rows), pa.int32()), "vector_id": head.column("vector_id")})
@@ -348,7 +346,8 @@ def vector_search(
     """
     if readable_by_role is None:
         hits = nearest(query_vectors, corpus, settings.top_k, settings.broadcast_bytes)
-        return spread_join(requests.select("query_id", "vector_id"), hits, "vector_id", ["query_id"]).select(
+        asked = requests.select("query_id", "vector_id")
+        return spread_join(asked, hits, "vector_id", ["query_id"], rows=asked.count()).select(
             "query_id", "chunk_id", "vector_score", "rank"
         )
     parts = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from credence.operators.graph import expand, graph_chunks, seed_nodes
 from credence.operators.grouping import grouped_rank, spread_join
 from credence.operators.ranking import accessible, merge_context, rerank
 from credence.operators.vectors import vector_search
-from credence.session import settle
+from credence.session import settle, settle_counted
 
 # ---------------------------------------------------------------------------
 # Answer texts.
@@ -132,7 +133,9 @@ def facts_type(settings: RiskSettings) -> str:
 def financial_lookup(requests: DataFrame, features: DataFrame, settings: RiskSettings = RiskSettings()) -> DataFrame:
     """Requests with the facts of their company. One company may be asked about very often."""
     asked = requests.withColumn("inn", F.coalesce("inn", F.lit(DEFAULT_INN)))
-    return spread_join(asked, company_facts(features, settings), "inn", ["query_id"], "left")
+    return spread_join(
+        asked, company_facts(features, settings), "inn", ["query_id"], "left", rows=asked.count()
+    )
 
 
 def retrieved_chunks(hits: DataFrame, chunk: DataFrame, document: DataFrame) -> DataFrame:
@@ -192,22 +195,15 @@ def opening(title: str, facts: Column, has_chunks: Column, target_year: int) ->
     return F.when(~has_chunks & ~has_facts, F.lit(NOTHING_FOUND)).otherwise(F.concat_ws("\n", *lines))
 
 
-def _count(df: DataFrame, kind: str) -> DataFrame:
-    return df.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
-
-
 COUNTS = ["retrieved", "reached", "from_graph", "merged", "allowed", "node_cites"]
 
 
 def step_counts(frames: dict[str, DataFrame]) -> DataFrame:
-    """One row per query with a count per step; rows are counted per query before they meet."""
-    stacked = None
-    for kind in COUNTS:
-        part = _count(frames[kind], kind)
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked.groupBy("query_id").agg(
-        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in COUNTS]
+    """One row per query with a count per step, in one aggregate over all of them."""
+    stacked = reduce(
+        DataFrame.unionAll, [frames[kind].select("query_id", F.lit(kind).alias("kind")) for kind in COUNTS]
     )
+    return stacked.groupBy("query_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in COUNTS])
 
 
 def audit_steps() -> Column:
@@ -289,40 +285,50 @@ def ask(
     thin_chunk = corpus.chunk.select("chunk_id", "document_id", "external_id")
     roles = corpus.chunk.select("chunk_id", "allowed_roles")
 
-    hits = settle(
+    hits, hit_rows = settle_counted(
         vector_search(
             passing.select("query_id", "role", "vector_id"), query_vectors, corpus.embedding, settings,
             readable_by_role=roles if filter_first else None,
         )
     )
-    named_hits = spread_join(hits, thin_chunk.select("chunk_id", "external_id"), "chunk_id", ["query_id"])
+    named_hits = spread_join(
+        hits, thin_chunk.select("chunk_id", "external_id"), "chunk_id", ["query_id"], rows=hit_rows
+    )
     reached = settle(
         expand(seed_nodes(named_hits), corpus.nodes, corpus.edges, settings.hops, settings.edge_types)
     )
     graph = settle(graph_chunks(reached, thin_chunk, corpus.document))
-    merged = settle(merge_context(hits, graph))
+    merged, merged_rows = settle_counted(merge_context(hits, graph))
 
-    with_role = spread_join(merged, passing.select("query_id", "role"), "query_id", ["chunk_id"])
+    with_role = spread_join(
+        merged, passing.select("query_id", "role"), "query_id", ["chunk_id"], rows=merged_rows
+    )
     about = corpus.chunk.select(
         "chunk_id", "document_id", "external_id", "allowed_roles",
         F.substring("chunk_text", 1, SNIPPET_CHARS).alias("snippet"),
     )
-    allowed = settle(accessible(spread_join(with_role, about, "chunk_id", ["query_id"])).drop("allowed_roles", "role"))
+    named = spread_join(with_role, about, "chunk_id", ["query_id"], weigh=merged, rows=merged_rows)
+    allowed, allowed_rows = settle_counted(accessible(named).drop("allowed_roles", "role"))
     titles = corpus.document.select("document_id", F.col("title").alias("document_title"))
-    context = settle(spread_join(settle(rerank(allowed)), titles, "document_id", ["query_id", "chunk_id"], "left"))
+    context, context_rows = settle_counted(
+        spread_join(
+            rerank(allowed), titles, "document_id", ["query_id", "chunk_id"], "left",
+            weigh=allowed, rows=allowed_rows,
+        )
+    )
 
     cited = reached
     if strict_nodes:
         readable = allowed.select("query_id", "document_id").distinct()
         open_documents = spread_join(
             readable, corpus.document.select("document_id", F.col("external_id").alias("ref_id")),
-            "document_id", ["query_id"],
+            "document_id", ["query_id"], rows=allowed_rows,
         ).select("query_id", "ref_id")
         is_document = F.col("node_type") == "Document"
         cited = reached.filter(~is_document).unionByName(
             reached.filter(is_document).join(open_documents, ["query_id", "ref_id"], "left_semi").select(*reached.columns)
         )
-    nodes = settle(node_citations(cited))
+    nodes, node_rows = settle_counted(node_citations(cited))
 
     counts = step_counts(
         {"retrieved": hits, "reached": reached, "from_graph": graph, "merged": merged, "allowed": allowed,
@@ -350,11 +356,11 @@ def ask(
         .withColumn("audit_steps", audit_steps())
     )
     status = settle(status)
-    citations = _citations(context, nodes, status)
+    citations = _citations(context, nodes, status, context_rows + node_rows)
     return Answers(status.drop("_opening"), context, reached, citations, _responses(status, citations, settings))
 
 
-def _citations(context: DataFrame, nodes: DataFrame, status: DataFrame) -> DataFrame:
+def _citations(context: DataFrame, nodes: DataFrame, status: DataFrame, rows: int) -> DataFrame:
     """Flat citation list of the unblocked requests: ranked chunks first, then nodes by id."""
     text = lambda c: F.lit(None).cast("string").alias(c)
     chunks = context.select(
@@ -368,7 +374,10 @@ def _citations(context: DataFrame, nodes: DataFrame, status: DataFrame) -> DataF
         "node_id", "node_type", "label", text("line"),
     )
     open_requests = status.filter(~F.col("blocked")).select("query_id", "allowed")
-    both = spread_join(settle(chunks.unionByName(about_nodes)), open_requests, "query_id", ["_kind", "_rank"])
+    asked = context.select("query_id").unionByName(nodes.select("query_id"))
+    both = spread_join(
+        chunks.unionByName(about_nodes), open_requests, "query_id", ["_kind", "_rank"], weigh=asked, rows=rows
+    )
     return both.withColumn("pos", F.col("_rank") + F.when(F.col("_kind") == 1, F.col("allowed")).otherwise(0)).drop(
         "_rank", "_kind", "allowed"
     )

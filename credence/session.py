@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "credence", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,6 +41,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder once, so later steps neither recompute nor lose them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared checkpoint folder and go on from the files.
+
+    Later steps neither recompute the rows nor lose them with an executor. Unlike an
+    RDD checkpoint the files are columnar, so later steps read only the columns they
+    use, and their size is known when Spark chooses between broadcast and shuffle.
+    """
+    return settle_counted(df)[0]
+
+
+def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`settle`, and the number of rows, which the write counts in passing."""
+    spark, seen = df.sparkSession, Observation()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]

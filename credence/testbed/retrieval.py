@@ -30,6 +30,7 @@ from credence.plans.ask import (
     screen,
 )
 from credence.session import settle
+from credence.testbed import batch  # noqa: F401  (its SQL steps are read here)
 from credence.testbed.registry import SQL_STEPS, query
 from credence.testbed.tables import SETTINGS, Tables
 
@@ -188,7 +189,7 @@ from status""",
 SQL_STEPS["cited"] = (
     ["ranked", "doc_ref", "cited_nodes", "status"],
     """
-select r.query_id, rank as pos, chunk_id, r.external_id, d.title as document_title, null as node_id, null as node_type, null as label,
+select r.query_id, rank as pos, chunk_id, r.external_id, d.title as document_title, cast(null as varchar) as node_id, cast(null as varchar) as node_type, cast(null as varchar) as label,
        concat(rank, '. [', r.external_id, '] ', d.title, ': ', snippet, '…') as line
 from ranked r join doc_ref d on d.document_id = r.document_id
 union all

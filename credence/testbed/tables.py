@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from credence.config import RiskSettings
 from credence.operators.documents import roles_for, split_documents
 from credence.plans.ask import Corpus
+from credence.session import settle
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -175,22 +176,27 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "node_ref": (["doc_ref", "chunk_ref", "customer"], NODE_REF),
 }
 
+# Views that stand in for stored tables: written once, as jobs read them several times over.
+STORED = {"doc_ref", "chunk_ref", "chunk_embedding_ref", "edge_ref", "node_ref"}
+
 
 class Tables:
     """Base tables and derived views of one test-data folder, read lazily."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name == "chunk_ref":
-            return self._chunk_ref()
-        if name in VIEWS:
+        if name not in VIEWS:
+            raise AttributeError(name)
+        if name not in self._stored:
             inputs, text = VIEWS[name]
-            return self.spark.sql(text, **{n: getattr(self, n) for n in inputs})
-        raise AttributeError(name)
+            view = self._chunk_ref() if name == "chunk_ref" else self.spark.sql(text, **{n: getattr(self, n) for n in inputs})
+            self._stored[name] = settle(view) if name in STORED else view
+        return self._stored[name]
 
     def _chunk_ref(self) -> DataFrame:
         texts = self.documents.select(F.col("doc_id").alias("document_id"), "text")
