@@ -38,8 +38,9 @@ def _pick(df, keys, order, chooser, drop_order):
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in kept])
 
 
-def hot_keys(big: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def hot_keys(big: DataFrame, on: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
     """Keys heavier than one task should take, with the number of parts each needs (<= 1024 rows)."""
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     weights = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     return (
         weights.orderBy(F.desc("_n"))
@@ -57,7 +58,7 @@ def spread_join(
     how: str = "inner",
     weigh: DataFrame | None = None,
     rows: int | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Equi-join where single keys of `big` may be very heavy.
 
@@ -71,6 +72,7 @@ def spread_join(
     left_anti.
     """
     on = [on] if isinstance(on, str) else list(on)
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     if rows is not None and rows <= rows_per_task:
         return big.join(small, on, how)
     weights = hot_keys(weigh if weigh is not None else big, on, rows_per_task)
