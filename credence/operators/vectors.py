@@ -37,12 +37,12 @@ def hashing_encoder(dim: int = RetrievalSettings.embedding_dim) -> Encoder:
 
     A model-backed encoder has the same shape: (rows, text column, output column) -> rows.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
     def encode(df: DataFrame, text: str, out: str) -> DataFrame:
         filled = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-        words = Tokenizer(inputCol="_text", outputCol="_words").transform(filled)
+        words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\s+").transform(filled)
         counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
         unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counts)
         return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_text", "_words", "_tf", "_unit")
@@ -137,7 +137,7 @@ def nearest(
     rows = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL")
     dim = _dimension(vectors)
     if dim is None:
-        return spark.createDataFrame([], _hit_schema(vectors))
+        return _no_hits(vectors)
     most = broadcast_bytes // (8 * dim)
     # One row past the bound shows that the vectors do not fit, without a separate count.
     head = vectors.limit(most + 1).toArrow()
@@ -157,9 +157,10 @@ def _dimension(rows: DataFrame) -> int | None:
     return first[0]["n"] if first else None
 
 
-def _hit_schema(vectors: DataFrame) -> str:
+def _no_hits(vectors: DataFrame, ranked: bool = True) -> DataFrame:
     kind = vectors.schema["vector_id"].dataType.simpleString()
-    return f"vector_id {kind}, chunk_id long, vector_score double, rank int"
+    schema = f"vector_id {kind}, chunk_id long, vector_score double" + (", rank int" if ranked else "")
+    return vectors.sparkSession.createDataFrame([], schema)
 
 
 # --- search by cells -------------------------------------------------------------
@@ -228,7 +229,7 @@ def _search_cells(visits: DataFrame, cells: DataFrame, cell_rows: dict[int, int]
     visitors = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
     kind = visits.schema["vector_id"].dataType.simpleString()
     if not visitors:
-        return visits.sparkSession.createDataFrame([], f"vector_id {kind}, chunk_id long, vector_score double")
+        return _no_hits(visits, ranked=False)
     slices, blocks = _parts(cell_rows, SLICE_ROWS), _parts(visitors, BLOCK_ROWS)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = visits.withColumn("block", F.pmod(F.xxhash64("vector_id"), blocks).cast("int")).withColumn(
@@ -274,6 +275,8 @@ def _prepare_cells(rows: DataFrame, dim: int, cells: int):
 def _search_by_cells(vectors: DataFrame, rows: DataFrame, k: int, dim: int, cells: int = CELLS) -> DataFrame:
     """Exact: the home cell first, then every cell that could still hold something closer than the k-th hit."""
     pivots, stored, cell_rows, near, far = _prepare_cells(rows, dim, cells)
+    if not cell_rows:
+        return _no_hits(vectors, ranked=False)
 
     def home(angles, _):
         marked = np.zeros_like(angles, bool)
@@ -307,8 +310,10 @@ def nearest_probed(
     rows = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL")
     dim = _dimension(rows)
     if dim is None:
-        return corpus.sparkSession.createDataFrame([], _hit_schema(vectors))
+        return _no_hits(vectors)
     pivots, stored, cell_rows, near, _ = _prepare_cells(rows, dim, cells)
+    if not cell_rows:
+        return _no_hits(vectors)
 
     def closest(angles, _batch):
         order = np.where(np.isfinite(near), angles, np.inf).argsort(axis=1, kind="stable")[:, :probes]
