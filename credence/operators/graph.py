@@ -91,7 +91,7 @@ def reach(
 
     Breadth-first over all queries at once. Each step joins the newest nodes only and
     drops what the query has seen, so a node comes once per query, at its least depth.
-    Hubs are split over tasks by their edges.
+    Hubs are split over tasks by their edges, nodes many queries stand on by the queries.
     """
     start = seeds.select("query_id", "node_id").distinct()
     adjacent = neighbours(edges, edge_types)
@@ -103,7 +103,7 @@ def reach(
     frontier = start
     for depth in range(1, hops + 1):
         step = (
-            spread_join(adjacent, frontier, "node_id", ["neighbour"], weigh=ends, rows=rows)
+            spread_join(adjacent, frontier, "node_id", ["neighbour"], small_id=["query_id"], weigh=ends, rows=rows)
             .select("query_id", F.col("neighbour").alias("node_id"))
             .distinct()
         )
@@ -154,7 +154,8 @@ def graph_chunks(reached: DataFrame, chunk: DataFrame, document: DataFrame) -> D
         wanted, document.select("document_id", "external_id"), "external_id", ["query_id"], rows=reached_rows
     ).select("query_id", "document_id")
     of_documents = spread_join(
-        chunk.select("chunk_id", "document_id"), documents, "document_id", ["chunk_id"], rows=chunk_rows
+        chunk.select("chunk_id", "document_id"), documents, "document_id", ["chunk_id"],
+        small_id=["query_id"], rows=chunk_rows,
     )
 
     def scored(df, stage, score):

@@ -56,51 +56,69 @@ def spread_join(
     on: str | Sequence[str],
     row_id: Sequence[str],
     how: str = "inner",
+    small_id: Sequence[str] | None = None,
     weigh: DataFrame | None = None,
     rows: int | None = None,
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Equi-join where single keys of `big` may be very heavy.
-
-    The keys are weighed first (one aggregate over the key columns). Without a heavy
-    key this is a plain join. Otherwise heavy keys are cut into parts by a hash of
-    `row_id`, and only those keys of `small` are repeated, once per part. The list of
-    heavy keys has at most 1024 rows, which bounds what is collected and broadcast.
-    `weigh` is a cheaper frame with the same keys, for a `big` that is costly to
-    compute twice; `rows` its known size, which settles the question if it is small:
-    a key cannot hold more rows than the table. `how` is inner, left, left_semi or
-    left_anti.
+    """Equi-join where single keys may be very heavy.
+
+    The keys of `big` are weighed first (one aggregate over the key columns). Without a
+    heavy key this is a plain join. Otherwise heavy keys are cut into parts by a hash of
+    `row_id`, and only those keys of `small` are repeated, once per part. With `small_id`
+    the other side is treated the same way, for joins where a key may be heavy on both
+    (inner joins only). The lists of heavy keys have at most 1024 rows each, which bounds
+    what is collected and broadcast.
+
+    `weigh` is a cheaper frame with the same keys, for a `big` that is costly to compute
+    twice; `rows` its known size, which settles the question if it is small: a key cannot
+    hold more rows than the table. `how` is inner, left, left_semi or left_anti.
     """
     on = [on] if isinstance(on, str) else list(on)
+    if small_id and how != "inner":
+        raise ValueError("only an inner join may repeat rows of its left side")
     rows_per_task = rows_per_task or ROWS_PER_TASK
-    if rows is not None and rows <= rows_per_task:
+    heavy = small_heavy = None
+    if rows is None or rows > rows_per_task:
+        heavy = _collected(hot_keys(weigh if weigh is not None else big, on, rows_per_task))
+    if small_id:
+        small_heavy = _collected(hot_keys(small, on, rows_per_task))
+    if heavy is None and small_heavy is None:
         return big.join(small, on, how)
-    weights = hot_keys(weigh if weigh is not None else big, on, rows_per_task)
-    heavy = weights.collect()
-    if not heavy:
-        return big.join(small, on, how)
-    hot = F.broadcast(big.sparkSession.createDataFrame(heavy, weights.schema))
+    left = _cut(big, heavy, on, row_id, "_part")
+    right = _repeat(small, heavy, on, "_part")
+    parts = ["_part"]
+    if small_heavy is not None:
+        left, right = _repeat(left, small_heavy, on, "_other"), _cut(right, small_heavy, on, small_id, "_other")
+        parts.append("_other")
+    return left.join(right, [*on, *parts], how).drop(*parts)
+
+
+def _collected(keys: DataFrame) -> DataFrame | None:
+    """The heavy keys (<= 1024 rows) as a local table to broadcast, None if there are none."""
+    found = keys.collect()
+    return F.broadcast(keys.sparkSession.createDataFrame(found, keys.schema)) if found else None
+
+
+def _cut(df: DataFrame, heavy: DataFrame | None, on: Sequence[str], row_id: Sequence[str], part: str) -> DataFrame:
+    if heavy is None:
+        return df.withColumn(part, F.lit(0))
     has_null = F.lit(False)
     for key in on:
         has_null = has_null | F.col(key).isNull()
     spread = F.xxhash64(*row_id)
     # NULL keys match nothing; scatter them so they do not pile up in one task.
-    cut = (
-        big.join(hot, on, "left")
-        .withColumn(
-            "_part",
-            F.when(has_null, F.pmod(spread, F.lit(4096)))
-            .otherwise(F.pmod(spread, F.coalesce(F.col("_parts"), F.lit(1))))
-            .cast("int"),
-        )
-        .drop("_parts")
-    )
-    repeated = (
-        small.join(hot, on, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
-        .drop("_parts")
+    number = F.when(has_null, F.pmod(spread, F.lit(4096))).otherwise(
+        F.pmod(spread, F.coalesce(F.col("_parts"), F.lit(1)))
     )
-    return cut.join(repeated, [*on, "_part"], how).drop("_part")
+    return df.join(heavy, list(on), "left").withColumn(part, number.cast("int")).drop("_parts")
+
+
+def _repeat(df: DataFrame, heavy: DataFrame | None, on: Sequence[str], part: str) -> DataFrame:
+    if heavy is None:
+        return df.withColumn(part, F.lit(0))
+    numbers = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    return df.join(heavy, list(on), "left").withColumn(part, F.explode(numbers)).drop("_parts")
 
 
 def grouped_rank(
@@ -133,15 +151,18 @@ def grouped_rank(
     )
 
 
-def dense_ids(df: DataFrame, key: str, name: str, start: int = 1) -> DataFrame:
+def dense_ids(df: DataFrame, key: str, name: str, start: int = 1, unique: bool = True) -> DataFrame:
     """Dense numbers from `start` on, in the order of `key`.
 
     Rows are range-partitioned by key, numbered inside each partition and written once;
     each partition's numbers are then shifted by the sizes of the ones before it. One
     shuffle, no global sort in one task, and a re-run task cannot change a number.
+    Copies of one key may be many unless `unique`; a random second key then lets the
+    ranges cut through them, as their order among themselves means nothing.
     """
+    ranges = [F.col(key)] if unique else [F.col(key), F.rand(7)]
     local = F.monotonically_increasing_id()
-    placed = settle(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", local))
+    placed = settle(df.repartitionByRange(*ranges).sortWithinPartitions(key).withColumn("_at", local))
     # The id is the partition number above 33 bits of row number.
     partition, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(partition.alias("_partition")).agg(F.count(F.lit(1)).alias("_size"))

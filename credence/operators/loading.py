@@ -96,10 +96,10 @@ def raised_flags(features: DataFrame) -> DataFrame:
 
 
 def company_risk_rows(features: DataFrame, company: DataFrame, risk_factor: DataFrame) -> DataFrame:
-    """company_risk with looked-up ids; the factor table has one row per code of a fixed list."""
+    """company_risk with looked-up ids of the company and of the risk factor."""
     return (
         raised_flags(features)
-        .join(F.broadcast(risk_factor.select("risk_factor_id", "code")), "code", "inner")
+        .join(risk_factor.select("risk_factor_id", "code"), "code", "inner")
         .join(company.select("company_id", "inn"), "inn", "inner")
         .select("company_id", "risk_factor_id", "confidence", "explanation", "inn", "code")
     )
@@ -133,7 +133,7 @@ def edge_rows(edges: DataFrame, chunk: DataFrame, start: int = 1) -> DataFrame:
     joined = spread_join(
         edges, ids, "source_chunk_external_id", ["source_node_id", "target_node_id", "edge_type"], "left"
     )
-    return dense_ids(joined.withColumn("_key", key), "_key", "edge_id", start).select(
+    return dense_ids(joined.withColumn("_key", key), "_key", "edge_id", start, unique=False).select(
         "edge_id", "source_node_id", "target_node_id", "edge_type",
         F.col("weight").cast("double").alias("weight"),
         F.col("confidence").cast("double").alias("confidence"),

@@ -279,7 +279,7 @@ def embedding_upsert(t: Tables) -> DataFrame:
 
 
 def _passing(t: Tables) -> DataFrame:
-    return screen(t.ask_ref).filter("input_reason IS NULL")
+    return settle(screen(t.ask_ref)).filter("input_reason IS NULL")
 
 
 def _hits(t: Tables, filter_first: bool = False) -> DataFrame:

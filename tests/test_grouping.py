@@ -27,6 +27,19 @@ def test_spread_join_equals_a_plain_join(spark, how, limit):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_both_sides_may_be_heavy(spark):
+    key = lambda n: F.when(F.col("id") < n, F.lit(1)).otherwise(F.col("id")).cast("long").alias("k")
+    big = spark.range(60).select(F.col("id").alias("a"), key(40))
+    small = spark.range(50).select(F.col("id").alias("b"), key(30))
+    got = spread_join(big, small, "k", ["a"], small_id=["b"], rows_per_task=6).collect()
+    want = big.join(small, "k").collect()
+    assert len(got) == 40 * 30 + 10 and sorted(map(str, got)) == sorted(map(str, want))
+    only_small = spread_join(big, small, "k", ["a"], small_id=["b"], rows=5, rows_per_task=6).collect()
+    assert sorted(map(str, only_small)) == sorted(map(str, want))
+    with pytest.raises(ValueError):
+        spread_join(big, small, "k", ["a"], "left", small_id=["b"])
+
+
 def test_heavy_keys_are_cut_into_enough_parts(spark):
     big = spark.range(100).select(F.when(F.col("id") < 60, 1).otherwise(F.col("id")).alias("k"))
     assert [(r.k, r._parts) for r in hot_keys(big, ["k"], 7).collect()] == [(1, 9)]
@@ -57,3 +70,6 @@ def test_dense_ids_follow_the_key_order(spark):
     got = sorted((r.n, r.k) for r in dense_ids(df, "k", "n", start=5).collect())
     assert got == list(enumerate(sorted(f"k{i}" for i in range(1000)), start=5))
     assert dense_ids(df.limit(0), "k", "n").count() == 0
+    copies = spark.range(300).select(F.when(F.col("id") < 200, "same").otherwise(F.col("id").cast("string")).alias("k"))
+    numbered = sorted((r.n, r.k) for r in dense_ids(copies, "k", "n", unique=False).collect())
+    assert [n for n, _ in numbered] == list(range(1, 301)) and [k for _, k in numbered] == sorted(r.k for r in copies.collect())
