@@ -200,6 +200,8 @@ class Tables:
 
     def _chunk_ref(self) -> DataFrame:
         texts = self.documents.select(F.col("doc_id").alias("document_id"), "text")
+        # The test file is one row group, which a single task would read and split.
+        texts = texts.repartition(self.spark.sparkContext.defaultParallelism)
         levels = self.doc_ref.select("document_id", "security_level")
         parts = split_documents(texts.join(levels, "document_id"), CHUNK_CHARS)
         return parts.select(
