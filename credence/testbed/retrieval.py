@@ -559,7 +559,26 @@ def ask_responses(t: Tables) -> DataFrame:
     )
 
 
-@query("ask_strict_nodes")
+SQL_STEPS["strict_nodes"] = (
+    ["reached_hits", "allowed", "doc_ref"],
+    """
+select query_id, node_id, node_type, label, row_number() over (partition by query_id order by node_id) as node_rank
+from reached_hits r where node_type in ('LegalAct', 'RiskFactor', 'Company') or node_type = 'Document' and (query_id, ref_id) in (
+  select a.query_id, d.external_id from allowed a join doc_ref d on d.document_id = a.document_id)""",
+)
+
+
+@query(
+    "ask_strict_nodes",
+    ["ranked", "doc_ref", "strict_nodes", "counted"],
+    """
+select r.query_id, rank as pos, chunk_id, r.external_id, d.title as document_title, cast(null as varchar) as node_id,
+       cast(null as varchar) as node_type, cast(null as varchar) as label
+from ranked r join doc_ref d on d.document_id = r.document_id
+union all
+select n.query_id, c.allowed + node_rank, null, null, null, n.node_id, n.node_type, n.label
+from strict_nodes n join counted c on c.query_id = n.query_id""",
+)
 def ask_strict_nodes(t: Tables) -> DataFrame:
     """Citations when a document is cited only to roles that may read one of its chunks."""
     return _answers(t, strict_nodes=True).citations.drop("line")

@@ -44,7 +44,7 @@ def test_query_equals_its_sql(spark, database, name):
 
 
 def test_queries_without_sql(spark):
-    assert sorted(set(QUERIES) - set(SQL)) == ["ann_recall", "ann_topk", "ask_strict_nodes", "encode_chunks"]
+    assert sorted(set(QUERIES) - set(SQL)) == ["ann_recall", "ann_topk", "encode_chunks"]
     assert QUERIES["ann_recall"](spark, FOLDER).first()["recall"] >= 0.8
 
 
