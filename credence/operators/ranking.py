@@ -25,7 +25,7 @@ def merge_context(hits: DataFrame, graph: DataFrame) -> DataFrame:
     `place` orders rows of one stage: the vector rank, or the chunk id for graph hits.
     """
     seeds = hits.select(
-        "query_id", "chunk_id", F.lit(0).alias("stage"), F.col("rank").cast("long").alias("place"),
+        "query_id", "chunk_id", F.lit(0).alias("stage"), F.col("rank").alias("place"),
         F.col("vector_score"), F.lit(0.0).alias("graph_score"), F.lit("vector").alias("source"),
     )
     found = graph.select(

@@ -122,7 +122,8 @@ def _scan_with(queries: np.ndarray, spark, corpus: DataFrame, k: int) -> DataFra
 
 def _top(df: DataFrame, key: str, k: int) -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.desc(F.round("vector_score", TIE_DIGITS)), "chunk_id")
-    return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    top = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top.withColumn("rank", F.col("rank").cast("long"))
 
 
 def nearest(
@@ -159,7 +160,7 @@ def _dimension(rows: DataFrame) -> int | None:
 
 def _no_hits(vectors: DataFrame, ranked: bool = True) -> DataFrame:
     kind = vectors.schema["vector_id"].dataType.simpleString()
-    schema = f"vector_id {kind}, chunk_id long, vector_score double" + (", rank int" if ranked else "")
+    schema = f"vector_id {kind}, chunk_id long, vector_score double" + (", rank long" if ranked else "")
     return vectors.sparkSession.createDataFrame([], schema)
 
 
@@ -345,13 +346,14 @@ def vector_search(
 ) -> DataFrame:
     """(query_id, chunk_id, vector_score, rank) for requests (query_id, vector_id).
 
-    Equal vectors are searched once. By default the top k is taken before any role
+    Only vectors someone asks for are searched, each once. By default the top k is taken before any role
     filter; `readable_by_role` (chunk_id, allowed_roles) asks for the filter first, in
     which case the requests also need their role.
     """
     if readable_by_role is None:
-        hits = nearest(query_vectors, corpus, settings.top_k, settings.broadcast_bytes)
         asked = requests.select("query_id", "vector_id")
+        wanted = query_vectors.join(asked.select("vector_id").distinct(), "vector_id", "left_semi")
+        hits = nearest(wanted, corpus, settings.top_k, settings.broadcast_bytes)
         return spread_join(asked, hits, "vector_id", ["query_id"], rows=asked.count()).select(
             "query_id", "chunk_id", "vector_score", "rank"
         )
@@ -359,6 +361,6 @@ def vector_search(
     for role in ROLES:
         open_chunks = readable_by_role.filter(F.array_contains("allowed_roles", F.lit(role))).select("chunk_id")
         asked = requests.filter(F.col("role") == role)
-        vectors = query_vectors.join(asked.select("vector_id").distinct(), "vector_id", "left_semi")
-        parts.append(vector_search(asked, vectors, corpus.join(open_chunks, "chunk_id", "left_semi"), settings))
+        readable = corpus.join(open_chunks, "chunk_id", "left_semi")
+        parts.append(vector_search(asked, query_vectors, readable, settings))
     return reduce(DataFrame.unionByName, parts)

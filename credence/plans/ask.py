@@ -95,9 +95,11 @@ class Answers:
 
 
 def screen(requests: DataFrame) -> DataFrame:
-    """Adds trace_id, the input check's reason, and for passing requests intent and scope."""
+    """Adds trace_id (unless the caller gave one), the input check's reason, and for passing requests intent and scope."""
+    own = F.md5(F.col("query_id").cast("string"))
+    given = F.nullif(F.col("trace_id"), F.lit("")) if "trace_id" in requests.columns else F.lit(None)
     return (
-        requests.withColumn("trace_id", F.md5(F.col("query_id").cast("string")))
+        requests.withColumn("trace_id", F.coalesce(given, own))
         .withColumn("input_reason", guard.block_reason(F.col("query")))
         .withColumn("intent", F.when(F.col("input_reason").isNull(), guard.intent(F.col("query"))))
         .withColumn("search_scope", guard.search_scope(F.col("intent")))

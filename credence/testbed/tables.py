@@ -125,8 +125,8 @@ select conv_id * 1000 + turn as query_id,
 {cases}
             else text end as query,
        case when conv_id % 2 = 0 then 'analyst' else 'risk_manager' end as role,
-       lpad(cast(conv_id % 500 + 1 as string), 10, '0') as inn,
-       conv_id % 200 as vector_id
+       lpad(cast(conv_id + 1 as string), 10, '0') as inn,
+       conv_id % (select count(*) from {{embeddings}}) as vector_id
 from {{conversations}} where role = 'user'
 """
 
@@ -134,7 +134,7 @@ from {{conversations}} where role = 'user'
 ASK_REF = _ask_sql()
 
 QUERY_VECTORS = """
-select vec_id as vector_id, embedding from {embeddings} where vec_id < 200
+select vec_id as vector_id, embedding from {embeddings}
 """
 
 EDGE_REF = """
@@ -170,7 +170,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "doc_ref": (["documents", "labels"], DOC_REF),
     "chunk_ref": (["doc_ref", "documents"], CHUNK_REF_SQL),
     "chunk_embedding_ref": (["embeddings", "chunk_ref"], EMBEDDING_REF),
-    "ask_ref": (["conversations"], ASK_REF),
+    "ask_ref": (["conversations", "embeddings"], ASK_REF),
     "query_vectors": (["embeddings"], QUERY_VECTORS),
     "edge_ref": (["chunk_ref", "doc_ref"], EDGE_REF),
     "node_ref": (["doc_ref", "chunk_ref", "customer"], NODE_REF),

@@ -58,6 +58,15 @@ def test_request_split(spark):
     assert {(r.query_id, r.error) for r in bad.collect()} == {(2, "query_missing"), (3, "query_too_long"), (4, "unknown_role")}
 
 
+def test_trace_id_of_the_caller_stays(spark):
+    from credence.plans.ask import screen
+
+    df = spark.createDataFrame([(1, "q", "t-1"), (2, "q", None)], "query_id int, query string, trace_id string")
+    ids = {r.query_id: r.trace_id for r in screen(df).collect()}
+    assert ids[1] == "t-1" and len(ids[2]) == 32
+    assert screen(df.drop("trace_id")).filter("trace_id = md5('1')").count() == 1
+
+
 def test_answer_check(spark):
     cites = "array<struct<chunk_id:bigint,external_id:string,node_id:string>>"
     rows = [

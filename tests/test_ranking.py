@@ -24,7 +24,7 @@ def test_final_score_rounds_half_to_even_and_reads_null_as_zero(spark):
 
 
 def test_seeds_keep_their_vector_row(spark):
-    hits = spark.createDataFrame([(1, 7, 0.9, 1)], "query_id int, chunk_id long, vector_score double, rank int")
+    hits = spark.createDataFrame([(1, 7, 0.9, 1)], "query_id int, chunk_id long, vector_score double, rank long")
     graph = spark.createDataFrame([(1, 7, 1, 1.0), (1, 8, 2, 0.8), (1, 8, 1, 1.0)], "query_id int, chunk_id long, stage int, graph_score double")
     rows = {r.chunk_id: (r.source, r.vector_score, r.graph_score) for r in merge_context(hits, graph).collect()}
     assert rows == {7: ("vector", 0.9, 0.0), 8: ("graph", 0.0, 1.0)}
