@@ -275,6 +275,7 @@ def _prepare_cells(rows: DataFrame, dim: int, cells: int):
 
 def _search_by_cells(vectors: DataFrame, rows: DataFrame, k: int, dim: int, cells: int = CELLS) -> DataFrame:
     """Exact: the home cell first, then every cell that could still hold something closer than the k-th hit."""
+    vectors = settle(vectors)
     pivots, stored, cell_rows, near, far = _prepare_cells(rows, dim, cells)
     if not cell_rows:
         return _no_hits(vectors, ranked=False)

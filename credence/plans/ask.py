@@ -142,13 +142,14 @@ def financial_lookup(requests: DataFrame, features: DataFrame, settings: RiskSet
 
 def retrieved_chunks(hits: DataFrame, chunk: DataFrame, document: DataFrame) -> DataFrame:
     """Vector hits in the shape of context rows, with text and document title."""
+    hits, rows = settle_counted(hits)
     found = spread_join(
         hits, chunk.select("chunk_id", "document_id", "external_id", "chunk_text", "allowed_roles"),
-        "chunk_id", ["query_id"],
+        "chunk_id", ["query_id"], rows=rows,
     )
-    of_hits = spread_join(hits, chunk.select("chunk_id", "document_id"), "chunk_id", ["query_id"])
+    of_hits = hits.join(chunk.select("chunk_id", "document_id"), "chunk_id")
     titles = document.select("document_id", F.col("title").alias("document_title"))
-    titled = spread_join(found, titles, "document_id", ["query_id", "chunk_id"], weigh=of_hits)
+    titled = spread_join(found, titles, "document_id", ["query_id", "chunk_id"], weigh=of_hits, rows=rows)
     return titled.select(
         "query_id", "rank", "chunk_id", "external_id", "chunk_text", "document_title", "document_id",
         F.coalesce("allowed_roles", F.array().cast("array<string>")).alias("allowed_roles"),
