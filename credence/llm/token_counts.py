@@ -1,73 +1,19 @@
 """Token counts: batches of about equal bytes go through the tokenizer inside Arrow functions, only lengths come back.
 
-A text is cut before every space that has a character other than white space on at least one of
-its sides. There the tokenizer's own splitting rule always begins a new word: a run of white
-space gives its last space to the word behind it, and a cut at such a place divides no run
-otherwise. Pieces are therefore independent, equal pieces have equal counts, and a text of any
-length costs no more memory than its longest piece. A text with any other space is counted whole.
-
-Null text counts as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows. Columns beyond
-the id and the text are left out, whatever they are called.
+Long texts are cut at the safe boundaries `pieces` describes, so no text is encoded at a stroke
+unless its white space forbids it. Null text counts as empty: 0 bytes, 0 tokens. Repeated rows
+give repeated rows. Columns beyond the id and the text are left out, whatever they are called.
 """
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from credence.llm.textkit import slices_by_bytes
-
-# Distinct pieces remembered per worker; memory only, the counts do not depend on it.
-REMEMBERED = 250_000
-UNSAFE = re.compile(r"\s \s|\s \Z")
-
-
-def load_tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def may_cut(tokenizer) -> bool:
-    """Whether no added token reaches over spaces."""
-    added = tokenizer.get_added_tokens_decoder().values()
-    return not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
-
-
-class PieceCounter:
-    """Token counts of texts, with the counts of frequent pieces remembered."""
-
-    def __init__(self, tokenizer, remembered: int = REMEMBERED):
-        self.tokenizer, self.remembered = tokenizer, remembered
-        self.cuts = may_cut(tokenizer)
-        self.known: dict[str, int] = {}
-
-    def lengths(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        known, split, heads, whole = self.known, [], [], []
-        for text in texts:
-            if not self.cuts or UNSAFE.search(text):
-                whole.append(text)
-                split.append(None)
-                continue
-            head, *rest = text.split(" ")
-            heads.append(head)
-            split.append(rest)
-        if len(known) > self.remembered:
-            known.clear()
-        new = list({p for rest in split if rest for p in rest if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self.lengths([f" {p}" for p in part]), strict=True))
-        of_head, of_whole = iter(self.lengths(heads)), (self.lengths([t])[0] for t in whole)
-        return [next(of_whole) if rest is None else next(of_head) + sum(map(known.__getitem__, rest)) for rest in split]
+from credence.llm.pieces import TokenBook, load_tokenizer
+from credence.llm.textkit import slices_by_bytes, text_bytes
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,16 +21,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(load_tokenizer(tokenizer_path))
+        book = TokenBook(load_tokenizer(tokenizer_path), keeps_spaces=True, with_ids=False)
         for batch in slices_by_bytes(batches, "text"):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens = counter.counts(texts)
+            data, bounds = text_bytes(batch.column(1))
+            tokens = book.counts(data, bounds)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(t.encode()) for t in texts], pa.int64()),
+                    pa.array(bounds[1:] - bounds[:-1], pa.int64()),
                     pa.array(tokens, pa.int64()),
-                    pa.array([n > limit for n in tokens], pa.bool_()),
+                    pa.array(tokens > limit, pa.bool_()),
                 ],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
