@@ -7,15 +7,34 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from credence.llm.debruijn import remove_repeats
+from credence.llm.packing import pack_documents
 from credence.llm.textkit import table
 from credence.llm.token_counts import count_tokens
+from credence.llm.warc import archive_pages
+
+
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
 
 
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    _, index = archive_pages(table(spark, folder, "pages", "page_id", "url", "html"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_token_counts": op6_token_counts,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {}
