@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from credence.llm.debruijn import remove_repeats
 from credence.llm.packing import pack_documents
+from credence.llm.suffixes import remove_copies
 from credence.llm.textkit import table
 from credence.llm.token_counts import count_tokens
 from credence.llm.warc import archive_pages
 
 
+def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_copies(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -32,6 +37,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_best_fit_packing": op8_best_fit_packing,
