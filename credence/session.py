@@ -57,5 +57,5 @@ def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """`settle`, and the number of rows, which the write counts in passing."""
     spark, seen = df.sparkSession, Observation()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
