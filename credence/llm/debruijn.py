@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.repeats import merged_spans, per_document, repeated_rows
+from credence.llm.repeats import merged_spans, per_document, repeated_rows, short_keys
 from credence.llm.textkit import PLACE, U64, lists, mix, shingle_hashes, slices_by_bytes, words_and_hashes
 from credence.llm.windows import window_runs
 from credence.session import settle
@@ -47,22 +47,24 @@ def anchor_keys(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFr
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
             _, _, (owner, _, _, keys) = _runs(batch.column(1), width, size)
+            keys = short_keys(keys)
             order = np.lexsort((keys, owner))
             owner, keys = owner[order], keys[order]
             first = np.ones(owner.size, bool)
             first[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), batch.column(0).take(pa.array(owner[first]))], names=["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), batch.column(0).take(pa.array(owner[first]))], names=["key", "doc_id"])
 
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(anchors, "key long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(anchors, "key long, doc_id long")
 
 
 def repeated_paths(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFrame:
     """anchor, path, doc_id, start and edges of each stretch of k-mers whose anchor other documents have too."""
-    shared = repeated_rows(anchor_keys(docs, width, size))
+    shared = settle(repeated_rows(anchor_keys(docs, width, size)))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
             hashes, firsts, (owner, starts, counts, keys) = _runs(batch.column(1), width, size)
+            keys = short_keys(keys).view(U64)
             wanted = batch.column(2)
             of_text = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().fill_null(0).to_numpy())
             known = mix(wanted.flatten().to_numpy().view(U64) + of_text.astype(U64) * PLACE[0])
@@ -85,8 +87,7 @@ def repeated_paths(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> Dat
                 names=["anchor", "path", "doc_id", "start", "edges"],
             )
 
-    joined = per_document(docs, shared, ["key"]).filter(F.col("key").isNotNull())
-    return joined.mapInArrow(paths, "anchor long, path long, doc_id long, start int, edges array<long>")
+    return per_document(docs, shared, ["key"]).mapInArrow(paths, "anchor long, path long, doc_id long, start int, edges array<long>")
 
 
 def removed_spans(paths: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -126,7 +127,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> Dat
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    spans = removed_spans(settle(repeated_paths(docs, width, size)), width)
+    spans = removed_spans(repeated_paths(docs, width, size), width)
     joined = per_document(docs, spans, ["start", "stop"])
     return joined.mapInArrow(rest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 

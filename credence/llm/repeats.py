@@ -1,8 +1,8 @@
 """Rows whose key occurs more than once, and joins of small facts back to whole texts.
 
 `repeated_rows` deals rows by key once. A key that is already repeated within a map task's rows
-needs no further proof: its rows travel under random routes, and one witness per task tells the
-others. However frequent a key, no task gets more of its rows than there are map tasks.
+needs no further proof: its rows are dealt at random, and one witness per task tells the others.
+However frequent a key, no task gets more of its rows than there are map tasks.
 """
 
 from __future__ import annotations
@@ -13,40 +13,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from credence.llm.textkit import U64, mix
+from credence.llm.textkit import U64
 
 BUFFERED = 1_000_000
+KEY_BITS = 48
 OPEN, WITNESS, PROVEN = 0, 1, 2
 
 
+def short_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys for repeated_rows: 48 bits of a hash, so that a state fits beside it in one number."""
+    return (hashes & U64((1 << KEY_BITS) - 1)).view(np.int64)
+
+
 def repeated_rows(rows: DataFrame, key: str = "key") -> DataFrame:
-    """The rows of a table whose 64-bit `key` another row has too. Rows come and go as they are."""
-    columns = rows.columns
-    at_key = columns.index(key)
+    """The rows of a table whose 48-bit `key` another row has too. Rows come and go as they are."""
+    at_key = rows.columns.index(key)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = U64(0)
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal salt
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            keys = table.column(at_key).combine_chunks().to_numpy()
+            keys = table.column(at_key).to_numpy()
             _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-            proven = counts[inverse] > 1
-            states = np.where(proven, PROVEN, OPEN).astype(np.int8)
-            salts = mix(np.arange(keys.size, dtype=U64) + salt + U64(int(keys[0]) & 0xFFFFFFFF)).view(np.int64)
-            salt += U64(keys.size)
-            routes = np.where(proven, salts, keys)
             witnesses = first[counts > 1]
-            chosen = np.concatenate([np.arange(keys.size), witnesses])
-            out = table.take(pa.array(chosen))
-            out = out.append_column("route", pa.array(np.concatenate([routes, keys[witnesses]])))
-            out = out.append_column("state", pa.array(np.concatenate([states, np.full(witnesses.size, WITNESS, np.int8)])))
-            yield from out.combine_chunks().to_batches(max_chunksize=100_000)
+            tagged = keys * 4 + np.where(counts[inverse] > 1, PROVEN, OPEN)
+            out = table.take(pa.array(np.concatenate([np.arange(keys.size), witnesses])))
+            tags = pa.array(np.concatenate([tagged, keys[witnesses] * 4 + WITNESS]), pa.int64())
+            yield from out.set_column(at_key, key, tags).combine_chunks().to_batches(max_chunksize=100_000)
 
         for batch in batches:
             if batch.num_rows:
@@ -57,38 +53,35 @@ def repeated_rows(rows: DataFrame, key: str = "key") -> DataFrame:
             yield from flush()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Streams rows sorted by state's proof and key; holds back at most one row."""
+        """Streams rows sorted by proof and key; holds back at most one row."""
         pending: pa.RecordBatch | None = None
         last_key, last_weight = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.select(columns)
-            keys, states = batch.column(at_key).to_numpy(), batch.column(batch.schema.get_field_index("state")).to_numpy()
+            tags = batch.column(at_key).to_numpy()
+            keys, states = tags >> 2, tags & 3
+            own = batch.set_column(at_key, key, pa.array(keys))
             proven = states == PROVEN
-            weights = np.where(states == WITNESS, 2, 1)
-            weights[proven] = 2
+            weights = np.where(states == OPEN, 1, 2)
             starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (proven[1:] != proven[:-1])]))
             sums = np.add.reduceat(weights, starts)
-            continues = last_key is not None and not proven[0] and int(keys[0]) == last_key
-            if continues:
+            if last_key is not None and not proven[0] and int(keys[0]) == last_key:
                 sums[0] += last_weight
-                if pending is not None and sums[0] > 1:
+                if pending is not None:
                     yield pending
-                    pending = None
-            else:
-                pending = None
+            pending = None
             chosen = np.repeat(sums > 1, np.diff(np.append(starts, keys.size))) & (states != WITNESS)
             if chosen.any():
                 yield own.filter(pa.array(chosen))
             last_key, last_weight = (None, 0) if proven[-1] else (int(keys[-1]), int(sums[-1]))
-            if last_weight == 1 and not (continues and starts.size == 1):
+            if last_weight == 1:
                 pending = own.slice(batch.num_rows - 1, 1)
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("route", T.LongType()), T.StructField("state", T.ByteType())])
-    told = rows.mapInArrow(tell, schema).repartition("route")
-    ordered = told.withColumn("proven", F.col("state") == PROVEN).sortWithinPartitions("proven", key)
-    return ordered.mapInArrow(keep, rows.schema)
+    proven = F.col(key).bitwiseAND(3) == PROVEN
+    plain = F.shiftright(key, 2)
+    dealt = rows.mapInArrow(tell, rows.schema).repartition(F.when(proven, F.xxhash64(*rows.columns)).otherwise(plain))
+    return dealt.sortWithinPartitions(proven, plain).mapInArrow(keep, rows.schema)
 
 
 def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +98,7 @@ def per_document(docs: DataFrame, facts: DataFrame, columns: list[str]) -> DataF
     """doc_id and text of every document row, with its facts as lists `columns` (null without any).
 
     A document has no more facts than its text has places, so a list is bounded by its own text.
+    Always a left join of the same two columns: a plan that joins texts twice deals them once.
     """
     own = facts.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in columns])
     return docs.select("doc_id", "text").join(own, "doc_id", "left")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.repeats import merged_spans, per_document, repeated_rows
+from credence.llm.repeats import merged_spans, per_document, repeated_rows, short_keys
 from credence.llm.textkit import PLACE, U64, mix, run_hashes, slices_by_bytes, text_bytes
 from credence.llm.windows import gram_hashes, window_runs
 from credence.session import settle
@@ -115,9 +115,9 @@ def anchor_keys(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFr
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
             _, _, (owner, _, _, keys) = _runs(batch.column(1), width, size)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(owner))], names=["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(short_keys(keys)), batch.column(0).take(pa.array(owner))], names=["key", "doc_id"])
 
-    return docs.select("doc_id", "text").filter(F.octet_length("text") >= width).mapInArrow(anchors, "key long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(anchors, "key long, doc_id long")
 
 
 DEALT = "route long, kind byte, anchor long, doc_id long, start int, stop int, text binary"
@@ -133,6 +133,7 @@ def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
             data, bounds, (owner, starts, counts, keys) = _runs(batch.column(1), width, size)
+            keys = short_keys(keys).view(U64)
             of_text = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().fill_null(0).to_numpy()).astype(U64) * PLACE[0]
             known = mix(batch.column(2).flatten().to_numpy().view(U64) + of_text)
             opened = known[batch.column(3).flatten().to_numpy(zero_copy_only=False)]
@@ -176,8 +177,7 @@ def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows:
                 names=DEALT_NAMES,
             )
 
-    joined = docs.select("doc_id", "text").join(marked.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hot")), "doc_id")
-    return joined.mapInArrow(runs, DEALT)
+    return per_document(docs, marked, ["key", "hot"]).mapInArrow(runs, DEALT)
 
 
 def block_spans(anchors: np.ndarray, ids: np.ndarray, starts: np.ndarray, texts: list[bytes], width: int = WIDTH):
