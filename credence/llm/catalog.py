@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from credence.llm.debruijn import remove_repeats
+from credence.llm.jaccard import jaccard_components
 from credence.llm.packing import pack_documents
 from credence.llm.suffixes import remove_copies
 from credence.llm.textkit import table
@@ -15,6 +16,10 @@ from credence.llm.token_counts import count_tokens
 from credence.llm.warc import archive_pages
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_copies(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
 
@@ -37,6 +42,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_token_counts": op6_token_counts,

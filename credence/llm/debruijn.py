@@ -2,12 +2,13 @@
 
 The edges of the graph are the k-mers (`width` successive words); an edge leads on to the k-mer
 one word further. Only edges that may repeat are built: each stretch of k-mers with one anchor
-(see `windows`) is kept if its anchor occurs elsewhere too. Such a stretch is a path; equal
-paths are aggregated, and a join with the anchors that have more than one path finds where the
-graph branches. Where it does not branch, all k-mers of a path occur in the same places, so one
-row stands for them all. Where it branches, paths are opened into edges, each gets its least
-document, and the edges are folded back into paths by a join. Neighbouring removed paths of a
-document meet in its spans, which the word coordinates of the document's own text then check.
+(see `windows`) is kept if its anchor occurs elsewhere too. Such a stretch is a path, and one
+row stands for all its k-mers; equal paths are aggregated, and joins with the first document of
+each path, and with the anchors that have more than one path, find where the graph branches.
+Where it does not, a path is removed or kept as a whole. Where it does, the first occurrence of
+each path is opened into its edges, read by its coordinates from the document's text, and each
+edge is joined with the least document that has it. Coordinates of removed paths and edges meet
+in the spans of their documents, which are taken out of the text itself.
 
 Null and empty texts have no words, nothing removed and the hash of no bytes. Texts shorter than
 k words are kept whole. Repeated rows of one doc_id remove nothing from each other. Columns
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.repeats import merged_spans, per_document, repeated_rows, short_keys
-from credence.llm.textkit import PLACE, U64, lists, mix, shingle_hashes, slices_by_bytes, words_and_hashes
+from credence.llm.textkit import PLACE, U64, mix, shingle_hashes, slices_by_bytes, words_and_hashes
 from credence.llm.windows import window_runs
 from credence.session import settle
 
@@ -57,53 +58,68 @@ def anchor_keys(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(anchors, "key long, doc_id long")
 
 
-def repeated_paths(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFrame:
-    """anchor, path, doc_id, start and edges of each stretch of k-mers whose anchor other documents have too."""
-    shared = settle(repeated_rows(anchor_keys(docs, width, size)))
+def _paths(column: pa.Array, wanted: pa.Array, width: int, size: int):
+    """Text, first word there, number of windows, anchor and hash of each path whose anchor its text's list has."""
+    hashes, firsts, (owner, starts, counts, keys) = _runs(column, width, size)
+    keys = short_keys(keys).view(U64)
+    of_text = np.repeat(np.arange(len(wanted)), wanted.value_lengths().fill_null(0).to_numpy())
+    known = mix(wanted.flatten().to_numpy().view(U64) + of_text.astype(U64) * PLACE[0])
+    kept = np.isin(mix(keys + owner.astype(U64) * PLACE[0]), known)
+    owner, starts, counts, keys = owner[kept], starts[kept], counts[kept], keys[kept]
+    if not starts.size:
+        return owner, starts, counts, keys, keys
+    edges = shingle_hashes(hashes, width)
+    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    steps = mix(edges[np.repeat(starts, counts) + inner] + inner.astype(U64) * PLACE[1])
+    path = mix(np.add.reduceat(steps, np.cumsum(counts) - counts) + counts.astype(U64))
+    return owner, starts - firsts[owner], counts, keys, path
+
+
+def repeated_paths(docs: DataFrame, shared: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFrame:
+    """anchor, path, doc_id, start and edges (their number) of each stretch of k-mers whose anchor is shared."""
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
-            hashes, firsts, (owner, starts, counts, keys) = _runs(batch.column(1), width, size)
-            keys = short_keys(keys).view(U64)
-            wanted = batch.column(2)
-            of_text = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().fill_null(0).to_numpy())
-            known = mix(wanted.flatten().to_numpy().view(U64) + of_text.astype(U64) * PLACE[0])
-            kept = np.isin(mix(keys + owner.astype(U64) * PLACE[0]), known)
-            owner, starts, counts, keys = owner[kept], starts[kept], counts[kept], keys[kept]
-            if not starts.size:
-                continue
+            owner, starts, counts, keys, path = _paths(batch.column(1), batch.column(2), width, size)
+            ids = batch.column(0).take(pa.array(owner))
+            columns = [pa.array(keys.view(np.int64)), pa.array(path.view(np.int64)), ids, pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "path", "doc_id", "start", "edges"])
+
+    return per_document(docs, shared, ["key"]).mapInArrow(paths, "anchor long, path long, doc_id long, start int, edges int")
+
+
+def opened_paths(docs: DataFrame, paths: DataFrame, width: int = WIDTH) -> DataFrame:
+    """edge, doc_id, start of every k-mer of the paths, read from the documents' texts."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices_by_bytes(batches, "text"):
+            _, _, _, _, firsts, hashes = words_and_hashes(batch.column(1), lower=False)
             edges = shingle_hashes(hashes, width)
+            lengths = batch.column(2).value_lengths().fill_null(0).to_numpy()
+            counts = batch.column(3).flatten().to_numpy().astype(np.int64)
             inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            flat = edges[np.repeat(starts, counts) + inner]
-            path = mix(np.add.reduceat(mix(flat + inner.astype(U64) * PLACE[1]), np.cumsum(counts) - counts) + counts.astype(U64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.view(np.int64)),
-                    pa.array(path.view(np.int64)),
-                    batch.column(0).take(pa.array(owner)),
-                    pa.array((starts - firsts[owner]).astype(np.int32)),
-                    lists(flat.view(np.int64), counts, pa.int64()),
-                ],
-                names=["anchor", "path", "doc_id", "start", "edges"],
-            )
+            owner = np.repeat(np.repeat(np.arange(batch.num_rows), lengths), counts)
+            starts = np.repeat(batch.column(2).flatten().to_numpy().astype(np.int64), counts) + inner
+            found = edges[starts + firsts[owner]] if starts.size else edges[:0]
+            ids = batch.column(0).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), ids, pa.array(starts.astype(np.int32))], names=["edge", "doc_id", "start"])
 
-    return per_document(docs, shared, ["key"]).mapInArrow(paths, "anchor long, path long, doc_id long, start int, edges array<long>")
+    return per_document(docs, paths, ["start", "edges"]).mapInArrow(opened, "edge long, doc_id long, start int")
 
 
-def removed_spans(paths: DataFrame, width: int = WIDTH) -> DataFrame:
+def removed_spans(docs: DataFrame, paths: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, start, stop (word places) of what an earlier document has."""
-    # Node of the compacted graph: a path, where it first occurs, and its edges.
+    # A node of the compacted graph is a path with the first document that has it.
     nodes = paths.groupBy("anchor", "path").agg(F.min("doc_id").alias("first_doc"))
-    branching = nodes.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("anchor")
-    # Occurrences of a path in its first document carry its edges; elsewhere all of it is removed.
     placed = paths.join(nodes, ["anchor", "path"])
-    later = placed.filter("doc_id > first_doc").select("doc_id", "start", (F.col("start") + F.size("edges") + F.lit(width - 1)).alias("stop"))
-    first = placed.filter("doc_id = first_doc").join(branching, "anchor", "left_semi")
-    opened = first.select("doc_id", F.posexplode("edges").alias("step", "edge"), "start")
+    # All of a path is removed in later documents; in the first one, what it shares with other paths where the graph branches.
+    later = placed.filter("doc_id > first_doc").select("doc_id", "start", (F.col("start") + F.col("edges") + F.lit(width - 1)).alias("stop"))
+    branching = nodes.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("anchor")
+    first = placed.filter("doc_id = first_doc").join(branching, "anchor")
+    opened = opened_paths(docs, first, width)
     least = opened.groupBy("edge").agg(F.min("doc_id").alias("least_doc"))
     earlier = opened.join(least, "edge").filter("least_doc < doc_id")
-    at = F.col("start") + F.col("step")
-    return later.unionByName(earlier.select("doc_id", at.alias("start"), (at + F.lit(width)).alias("stop")))
+    return later.unionByName(earlier.select("doc_id", "start", (F.col("start") + F.lit(width)).alias("stop")))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFrame:
@@ -127,7 +143,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> Dat
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    spans = removed_spans(repeated_paths(docs, width, size), width)
+    shared = settle(repeated_rows(anchor_keys(docs, width, size)))
+    spans = removed_spans(docs, repeated_paths(docs, shared, width, size), width)
     joined = per_document(docs, spans, ["start", "stop"])
     return joined.mapInArrow(rest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
