@@ -219,4 +219,5 @@ def pack(pieces: DataFrame, size: int = SIZE, unit: int = UNIT) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, closing: int = CLOSING, unit: int = UNIT) -> DataFrame:
     """All documents as pieces, each with its sequence and its place there."""
-    return pack(token_pieces(docs, tokenizer_path, size, closing), size, unit)
+    # Dealing by ranges looks at its input twice; the texts are encoded once.
+    return pack(settle(token_pieces(docs, tokenizer_path, size, closing)), size, unit)
