@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from credence.llm.textkit import U64
 
-BUFFERED = 1_000_000
+BUFFERED = 500_000
 KEY_BITS = 48
 OPEN, WITNESS, PROVEN = 0, 1, 2
 

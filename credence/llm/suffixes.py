@@ -35,7 +35,7 @@ from credence.session import settle
 
 WIDTH, GRAM = 100, 32
 HOT_ROWS = 50_000
-BLOCK_BYTES, BUCKET = 2 << 20, 1 << 16
+BLOCK_BYTES, BUCKET = 1 << 20, 1 << 16
 PERIOD, COVER = 7, (0, 1, 3)
 
 SHIFT = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER) for j in range(PERIOD)] for i in range(PERIOD)])
@@ -128,7 +128,7 @@ def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows:
     """Runs with repeated anchors, and spans already known to be copies."""
     shared = settle(repeated_rows(anchor_keys(docs, width, size)))
     hot = shared.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > hot_rows).select("key", F.lit(True).alias("hot"))
-    marked = shared.join(hot, "key", "left").groupBy("doc_id", "key").agg(F.max(F.coalesce("hot", F.lit(False))).alias("hot"))
+    marked = shared.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):

@@ -73,7 +73,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices_by_bytes(batches, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices_by_bytes(batches, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Pieces of batches holding about `limit` bytes of text each; one longer text is a piece of its own."""
     for batch in batches:
         if not batch.num_rows:
