@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from credence.llm.debruijn import remove_repeats
+from credence.llm.decontamination import LEAKS_SQL, leaks
 from credence.llm.jaccard import jaccard_components
 from credence.llm.packing import pack_documents
 from credence.llm.suffixes import remove_copies
@@ -20,6 +21,10 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_copies(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
 
@@ -43,10 +48,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_decontamination": op2_decontamination,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_decontamination": LEAKS_SQL}
