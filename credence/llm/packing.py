@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from credence.llm.numbering import numbered_within
 from credence.llm.pieces import TokenBook, load_tokenizer
 from credence.llm.textkit import slices_by_bytes, text_bytes
 from credence.session import settle
@@ -173,28 +174,10 @@ def places_by_length(plan: list[tuple[tuple[int, ...], int]], units: int):
 def pack(pieces: DataFrame, size: int = SIZE, unit: int = UNIT) -> DataFrame:
     """Adds sequence_id and offset to pieces that have doc_id, piece and length (1 to `size`)."""
     units = -(-size // unit)
-    keys = ["units", "doc_id", "piece", "start"]
-    ranged = pieces.withColumn("units", F.ceil(F.col("length") / F.lit(unit)).cast("int")).repartitionByRange(*keys).sortWithinPartitions(*keys)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(units + 1, np.int64)
-        for batch in batches:
-            lengths = batch.column(batch.schema.get_field_index("units")).to_numpy()
-            counts = np.bincount(lengths, minlength=units + 1)
-            order = np.argsort(lengths, kind="stable")
-            places = np.empty(lengths.size, np.int64)
-            places[order] = np.arange(lengths.size) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places + seen[lengths])], names=[*batch.schema.names, "local"])
-            seen += counts
-
-    schema = ranged.withColumn("local", F.lit(0).cast("long")).schema
-    numbered = settle(ranged.mapInArrow(number, schema).withColumn("part", F.spark_partition_id()))
-    # One row per partition and length that occurs in it: a range-dealt table has few of them.
-    counts = numbered.groupBy("units", "part").agg(F.count(F.lit(1)).alias("rows"))
-    earlier = Window.partitionBy("units").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    in_units = pieces.withColumn("units", F.ceil(F.col("length") / F.lit(unit)).cast("int"))
+    numbered, counts = numbered_within(in_units, "units", ["doc_id", "piece", "start"], "number")
     histogram = np.zeros(units + 1, np.int64)
-    for row in counts.groupBy("units").agg(F.sum("rows").alias("rows")).collect():  # at most `units` rows
+    for row in counts.collect():  # at most `units` rows
         histogram[row["units"]] = row["rows"]
     plan = places_by_length(plan_packing(histogram), units)
 
@@ -209,11 +192,9 @@ def pack(pieces: DataFrame, size: int = SIZE, unit: int = UNIT) -> DataFrame:
                 sequences[own], slots[own] = bases[at] + numbers[own] - starts[at], places[at]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequences), pa.array(slots)], names=[*batch.schema.names, "sequence_id", "slot"])
 
-    ready = numbered.join(before.select("units", "part", "before"), ["units", "part"]).withColumn("number", F.col("local") + F.col("before"))
-    ready = ready.select(*pieces.columns, "units", "number")
-    schema = ready.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("slot", F.lit(0).cast("long")).schema
+    schema = numbered.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("slot", F.lit(0).cast("long")).schema
     sequence = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ready.mapInArrow(place, schema).withColumn("offset", F.coalesce(F.sum("length").over(sequence), F.lit(0)))
+    placed = numbered.mapInArrow(place, schema).withColumn("offset", F.coalesce(F.sum("length").over(sequence), F.lit(0)))
     return placed.select(*pieces.columns, "sequence_id", "offset")
 
 
