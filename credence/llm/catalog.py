@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credence.llm import languages, toxicity
 from credence.llm.debruijn import remove_repeats
 from credence.llm.decontamination import LEAKS_SQL, leaks
 from credence.llm.jaccard import jaccard_components
 from credence.llm.neighbours import nearest
 from credence.llm.packing import pack_documents
 from credence.llm.suffixes import remove_copies
-from credence.llm.textkit import table
+from credence.llm.textkit import table, text_crc
 from credence.llm.token_counts import count_tokens
 from credence.llm.warc import archive_pages
 
@@ -43,10 +44,24 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    held_out = text_crc("doc_id") % 3 == 1
+    found = languages.identify(docs, *languages.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
+    held_out = text_crc("doc_id") % 5 == 0
+    found = toxicity.score(docs, *toxicity.train(docs, labels, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     _, index = archive_pages(table(spark, folder, "pages", "page_id", "url", "html"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive")
@@ -59,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {"op2_decontamination": LEAKS_SQL}

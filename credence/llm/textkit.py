@@ -87,11 +87,11 @@ def slices_by_bytes(batches, column: str, limit: int = 1 << 19) -> Iterator[pa.R
             first = last
 
 
-def word_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_runs(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each text the index of its first word (one more than texts)."""
     if not data.size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(bounds.size, np.int64)
-    inside = ~SPACES[data]
+    inside = ~breaks[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     ends = inside.copy()
