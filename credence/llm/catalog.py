@@ -29,7 +29,7 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return remove_copies(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
+    return remove_copies(table(spark, folder, "documents", "doc_id", "text"))
 
 
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ each path is opened into its edges, read by its coordinates from the document's
 edge is joined with the least document that has it. Coordinates of removed paths and edges meet
 in the spans of their documents, which are taken out of the text itself.
 
-Null and empty texts have no words, nothing removed and the hash of no bytes. Texts shorter than
+Rows without a doc_id are left out. Null and empty texts have no words, nothing removed and the hash of no bytes. Texts shorter than
 k words are kept whole. Repeated rows of one doc_id remove nothing from each other. Columns
 beyond doc_id and text are left out. An empty table gives an empty result.
 """
@@ -143,6 +143,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> Dat
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
+    docs = docs.filter("doc_id is not null")
     shared = settle(repeated_rows(anchor_keys(docs, width, size)))
     spans = removed_spans(docs, repeated_paths(docs, shared, width, size), width)
     joined = per_document(docs, spans, ["start", "stop"])

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 MASKS = ("11101011", "110100111")
 WINDOW, DIFFERENCES = 13, 2
-# Seeds of the benchmark that may travel to every task: about 100 bytes each with their item's words.
-BROADCAST_SEEDS = 200_000
+# Seeds of the benchmark that may travel to every task, at about 50 bytes each; more of them are dealt by seed.
+BROADCAST_SEEDS = 400_000
 
 
 def words_of(text: str) -> Column:
@@ -69,20 +69,25 @@ def leaks(
     """doc_id, item_id, best (most equal words in a window) and equal_words (at the best offset) of every leak."""
     texts = docs.select("doc_id", words_of("text").alias("words"))
     items = benchmark.select("item_id", words_of("text").alias("item_words")).distinct().filter(F.size("item_words") >= window)
-    seeds = _placed_seeds(items, "item_words", ["item_id", "item_words"], masks).withColumnRenamed("place", "item_place")
+    seeds = _placed_seeds(items.withColumn("length", F.size("item_words")), "item_words", ["item_id", "length"], masks).withColumnRenamed("place", "item_place")
     few = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
-    offset = (F.col("place") - F.col("item_place")).alias("offset")
-    equal = F.transform("item_words", lambda w, k: F.coalesce(F.get("words", F.col("offset") + k) == w, F.lit(False)))
-    pair = ["doc_id", "item_id", "offset"]
     if few:
-        # The scan's rows meet the seeds as they are exploded: texts are neither dealt nor copied.
-        met = _placed_seeds(texts, "words", ["doc_id", "words"], masks).join(F.broadcast(seeds), "seed")
-        hits = met.select("doc_id", "words", "item_id", "item_words", offset).select(*pair, equal.alias("equal"))
-        aligned = hits.groupBy(*pair).agg(F.first("equal").alias("equal"))
-    else:
-        met = _placed_seeds(texts, "words", ["doc_id"], masks).join(seeds.drop("item_words"), "seed")
-        pairs = met.select("doc_id", "item_id", offset).distinct()
-        aligned = pairs.join(items, "item_id").join(texts, "doc_id").select(*pair, equal.alias("equal"))
+        seeds, items = F.broadcast(seeds), F.broadcast(items)
+    offset = (F.col("place") - F.col("item_place")).alias("offset")
+    met = _placed_seeds(texts, "words", ["doc_id"], masks).join(seeds, "seed").select("doc_id", "item_id", "length", offset).distinct()
+    # A document's list is bounded by its words and the items that share seeds with it.
+    sides = met.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "length", "offset")).alias("sides"))
+    beside = F.transform(
+        "sides",
+        lambda s: F.struct(
+            s["item_id"].alias("item_id"),
+            F.transform(F.sequence(F.lit(0), s["length"] - 1), lambda k: F.get("words", s["offset"] + k)).alias("beside"),
+        ),
+    )
+    laid = docs.select("doc_id", "text").join(sides, "doc_id").select("doc_id", words_of("text").alias("words"), "sides")
+    pairs = laid.select("doc_id", F.explode_outer(beside).alias("pair")).select("doc_id", "pair.item_id", "pair.beside").join(items, "item_id")
+    equal = F.zip_with("beside", "item_words", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    aligned = pairs.filter(F.size("beside") == F.size("item_words")).select("doc_id", "item_id", equal.alias("equal"))
     best, total = _agreement("equal", window), F.size(F.filter("equal", lambda same: same))
     judged = aligned.select("doc_id", "item_id", best.alias("best"), total.alias("equal_words"))
     found = judged.filter(F.col("best") >= F.lit(window - differences))

@@ -17,7 +17,7 @@ size are cut into parts by a hash, and all pairs of parts are tasks of their own
 is left out and no task holds more than two parts.
 
 Texts are lower-cased in A-Z. Null texts and texts without words have empty sets, are linked with
-nothing and are their own component. Repeated rows are equal sets. Rows that repeat a doc_id with
+nothing and are their own component. Rows without a doc_id are left out. Repeated rows are equal sets. Rows that repeat a doc_id with
 another text count as one node. Columns beyond doc_id and text are left out.
 """
 
@@ -409,6 +409,7 @@ def _overlap(one: np.ndarray, two: np.ndarray) -> int:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (least document with the very same set) of every document."""
+    docs = docs.select("doc_id", "text").filter("doc_id is not null")
     levels = frequency_levels(shingle_histogram(docs, words))
     described = settle(described_sets(docs, levels, words, num, den))
     identity = ["n", "low", "high"]
@@ -429,3 +430,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*identity, F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("root"))
     joined = described.select("doc_id", *identity).join(of_class, identity, "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The documents, as they are, that are the least of their component; of repeated rows one."""
+    rest = jaccard_components(docs, words, num, den).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.filter("doc_id is not null").join(rest, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -188,25 +188,42 @@ def has_letter(raw: bytes) -> bool:
     return bool(_ASCII_LETTER.search(raw)) or any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
+def judgements(texts: pa.Array, model: ByteNetwork | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of every text."""
+    data, bounds = text_bytes(texts)
+    raw = data.tobytes()
+    known = np.array([model is not None and has_letter(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], bool)
+    langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+    if known.any():
+        windows, owner, held = windows_of(data, bounds)
+        sums = np.zeros((len(texts), len(model.languages)))
+        for at in range(0, owner.size, 256):
+            part = slice(at, at + 256)
+            np.add.at(sums, owner[part], model.probabilities(windows[part]) * held[part, None])
+        langs[known] = np.array(model.languages, object)[sums.argmax(axis=1)[known]]
+        scores[known] = np.clip(sums.max(axis=1)[known] / sums.sum(axis=1)[known], 0, 1)
+    return langs, scores
+
+
 def identify(docs: DataFrame, languages: list[str], network: bytes) -> DataFrame:
     """doc_id, lang_pred and score of every document."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ByteNetwork.load(languages, network) if languages else None
         for batch in slices_by_bytes(batches, "text"):
-            data, bounds = text_bytes(batch.column(1))
-            raw = data.tobytes()
-            known = np.array([model is not None and has_letter(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], bool)
-            langs, scores = np.full(batch.num_rows, UNDETERMINED, object), np.zeros(batch.num_rows)
-            if known.any():
-                windows, owner, held = windows_of(data, bounds)
-                sums = np.zeros((batch.num_rows, len(languages)))
-                for at in range(0, owner.size, 256):
-                    part = slice(at, at + 256)
-                    np.add.at(sums, owner[part], model.probabilities(windows[part]) * held[part, None])
-                best = sums.argmax(axis=1)
-                langs[known] = np.array(languages, object)[best[known]]
-                scores[known] = np.clip(sums.max(axis=1)[known] / sums.sum(axis=1)[known], 0, 1)
+            langs, scores = judgements(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs.tolist(), pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, languages: list[str], network: bytes, least_score: float) -> DataFrame:
+    """The documents, as they are, that have a language with at least that score."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ByteNetwork.load(languages, network) if languages else None
+        for batch in slices_by_bytes(batches, "text"):
+            langs, scores = judgements(batch.column(batch.schema.get_field_index("text")), model)
+            yield batch.filter(pa.array((langs != UNDETERMINED) & (scores >= least_score)))
+
+    return docs.mapInArrow(keep, docs.schema)

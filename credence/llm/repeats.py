@@ -94,11 +94,11 @@ def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[fresh], np.append(ends[fresh[1:] - 1], ends[-1])
 
 
-def per_document(docs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
-    """doc_id and text of every document row, with its facts as lists `columns` (null without any).
+def per_document(docs: DataFrame, facts: DataFrame, columns: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text of every document row, its facts as lists `columns` (null without any), and carried columns.
 
     A document has no more facts than its text has places, so a list is bounded by its own text.
-    Always a left join of the same two columns: a plan that joins texts twice deals them once.
+    Always a left join of the same columns: a plan that joins texts twice deals them once.
     """
-    own = facts.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in columns])
-    return docs.select("doc_id", "text").join(own, "doc_id", "left")
+    own = facts.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"_{c}") for c in columns])
+    return docs.select("doc_id", "text", *carried).join(own, "doc_id", "left").select("doc_id", "text", *[f"_{c}" for c in columns], *carried)

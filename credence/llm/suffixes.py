@@ -13,7 +13,7 @@ Before runs are dealt, equal runs within a map task shrink to their earliest, an
 block; the others are copies as a whole. An anchor with more than `HOT_ROWS` rows is opened into
 its windows, dealt by their content, so no anchor gathers in one task.
 
-Null text is empty: no bytes, nothing removed. Texts shorter than `width` are kept whole. doc_id
+Rows without a doc_id are left out. Null text is empty: no bytes, nothing removed. Texts shorter than `width` are kept whole. doc_id
 names a document: repeated rows of it are the same document and remove nothing from each other.
 Columns beyond doc_id and text are left out. An empty table gives an empty result.
 """
@@ -124,7 +124,7 @@ DEALT = "route long, kind byte, anchor long, doc_id long, start int, stop int, t
 DEALT_NAMES = [f.split()[0] for f in DEALT.split(", ")]
 
 
-def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows: int = HOT_ROWS, carried: tuple[str, ...] = ()) -> DataFrame:
     """Runs with repeated anchors, and spans already known to be copies."""
     shared = settle(repeated_rows(anchor_keys(docs, width, size)))
     hot = shared.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > hot_rows).select("key", F.lit(True).alias("hot"))
@@ -177,7 +177,7 @@ def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows:
                 names=DEALT_NAMES,
             )
 
-    return per_document(docs, marked, ["key", "hot"]).mapInArrow(runs, DEALT)
+    return per_document(docs, marked, ["key", "hot"], carried).mapInArrow(runs, DEALT)
 
 
 def block_spans(anchors: np.ndarray, ids: np.ndarray, starts: np.ndarray, texts: list[bytes], width: int = WIDTH):
@@ -278,38 +278,62 @@ def copied_spans(dealt: DataFrame, width: int = WIDTH) -> DataFrame:
     return dealt.repartition("route").sortWithinPartitions("kind", "anchor").mapInArrow(spans, "doc_id long, start int, stop int")
 
 
+def kept_bytes(text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    steps = np.zeros(text.size + 1, np.int32)
+    steps[starts] += 1
+    steps[stops] -= 1
+    return text[np.cumsum(steps)[:-1] == 0]
+
+
+def _without_copies(docs: DataFrame, carried: tuple[str, ...], width: int, size: int, hot_rows: int) -> DataFrame:
+    """doc_id, text, lists of starts and stops of copied strings, and the carried columns."""
+    docs = docs.filter("doc_id is not null")
+    spans = copied_spans(dealt_runs(docs, width, size, hot_rows, carried), width)
+    return per_document(docs, spans, ["start", "stop"], carried)
+
+
+def _spans(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    if not batch.column(2)[row].is_valid:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return merged_spans(*(np.array(batch.column(k)[row].values, np.int64) for k in (2, 3)))
+
+
 def remove_copies(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept text's bytes as `kept`, of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
             data, bounds = text_bytes(batch.column(1))
-            removed, spans, kept = [], [], []
+            removed, spans, digests = [], [], []
             for i in range(batch.num_rows):
-                text = data[bounds[i] : bounds[i + 1]]
-                if batch.column(2)[i].is_valid:
-                    starts, stops = merged_spans(*(np.array(batch.column(k)[i].values, np.int64) for k in (2, 3)))
-                    steps = np.zeros(text.size + 1, np.int32)
-                    steps[starts] += 1
-                    steps[stops] -= 1
-                    text = text[np.cumsum(steps)[:-1] == 0]
-                    spans.append(starts.size)
-                else:
-                    spans.append(0)
-                removed.append(int(bounds[i + 1] - bounds[i]) - text.size)
-                kept.append(text.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.diff(bounds)),
-                    pa.array(removed, pa.int64()),
-                    pa.array(spans, pa.int64()),
-                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                    pa.array(kept, pa.binary()),
-                ],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+                starts, stops = _spans(batch, i)
+                kept = kept_bytes(data[bounds[i] : bounds[i + 1]], starts, stops)
+                removed.append(int(bounds[i + 1] - bounds[i]) - kept.size)
+                spans.append(starts.size)
+                digests.append(hashlib.sha256(kept.tobytes()).hexdigest())
+            numbers = [pa.array(x, pa.int64()) for x in (np.diff(bounds), removed, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return _without_copies(docs, (), width, size, hot_rows).mapInArrow(rest, schema)
+
+
+def without_copies(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The documents with the copied strings taken out of their texts, other columns as they are.
 
-    spans = copied_spans(dealt_runs(docs, width, size, hot_rows), width)
-    joined = per_document(docs, spans, ["start", "stop"])
-    return joined.mapInArrow(rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    A character of which some bytes were removed goes as a whole. Null texts stay null.
+    """
+    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices_by_bytes(batches, "text"):
+            data, bounds = text_bytes(batch.column(1))
+            texts = []
+            for i, known in enumerate(batch.column(1).is_valid().to_pylist()):
+                kept = kept_bytes(data[bounds[i] : bounds[i + 1]], *_spans(batch, i))
+                texts.append(kept.tobytes().decode("utf-8", "ignore") if known else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], names=["doc_id", "text", *carried])
+
+    columns = ["doc_id", "text", *carried]
+    cleaned = _without_copies(docs, carried, width, size, hot_rows).mapInArrow(rest, docs.select(*columns).schema)
+    return cleaned.select(*docs.columns)

@@ -10,7 +10,7 @@ over tasks, and each task merges what it has of all runs by a loser tree.
 
 Of records with equal payloads of at least `revisit_from` bytes the one with the largest page_id
 is a response and the others revisit it, whole ties included; a revisit record carries no
-payload, and its length and digest are those of the full payload. Null html is an empty payload,
+payload, and its length and digest are those of the full payload. Pages without a page_id are left out. Null html is an empty payload,
 null urls are empty. Repeated rows give repeated records. Extra columns are left out. An empty
 table gives empty archives and an empty index.
 """
@@ -111,7 +111,7 @@ def with_digests(pages: DataFrame) -> DataFrame:
             sizes = [len(p) if isinstance(p, bytes) else p.size for p in payloads]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(found, pa.string())], names=["page_id", "url", "html", "payload_bytes", "payload_digest"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(digests, "page_id long, url string, html string, payload_bytes long, payload_digest string")
+    return pages.select("page_id", "url", "html").filter("page_id is not null").mapInArrow(digests, "page_id long, url string, html string, payload_bytes long, payload_digest string")
 
 
 def write_archives(pages: DataFrame, revisit_from: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
