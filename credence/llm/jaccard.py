@@ -1,11 +1,13 @@
 """Exact Jaccard join of word-shingle sets by signature trees.
 
-Equal sets of a task shrink to one member first. Every set lists its prefix: the shingles among its
-first n - ceil(t n) + 1 in one order over all shingles; two sets with similarity t or more share
-one of them. Shingles that are frequent, by a histogram over all sets, come last in that order. A prefix shingle
-that several sets have makes a group, and a group a signature tree: each node holds the OR of its
-members' token bitmaps, the range of their sizes, and the most tokens any member has beyond its
-bits. Two nodes are traversed together, and a pair is pruned
+Equal sets of a task shrink to one member first. Every set lists its prefix: the first
+n - ceil(t n) + l(n) shingles in one order over all shingles, l(n) = 1 + n // 20. Two sets with
+similarity t or more share at least as many prefix shingles as the smaller l of the two, so a set
+that shares fewer with all others together is linked with nothing. Shingles that are frequent, by
+a histogram over all sets, come last in the order. The sets that share a prefix shingle make a
+group (one of those with the very same sets is enough), and a group a signature tree: each node
+holds the OR of its members' token bitmaps, the range of their sizes, and the most tokens any
+member has beyond its bits. Two nodes are traversed together, and a pair is pruned
 
 * if its size ranges exclude the similarity,
 * if the maximum possible overlap (surplus tokens plus common bits) is too small,
@@ -39,6 +41,7 @@ WORDS, NUM, DEN = 5, 80, 100
 HISTOGRAM_BITS = 16
 GROUP_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
 LEAF = 32
+SHARED = 20
 BUFFER_ROWS = 60_000
 
 
@@ -62,9 +65,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of the tokens, a power of two of at least two bits per token wide, in 64-bit words."""
+    """A bitmap of the tokens, a power of two of at least one bit per token wide, in 64-bit words."""
     words = 1
-    while words * 64 < 2 * tokens.size:
+    while words * 64 < tokens.size:
         words *= 2
     bits = (mix(tokens + PLACE[60]) & U64(words * 64 - 1)).astype(np.int64)
     out = np.zeros(words * 64, np.uint8)
@@ -121,7 +124,7 @@ def described_sets(docs: DataFrame, levels: np.ndarray, words: int = WORDS, num:
                     maps.append(None)
                     continue
                 least[identity] = doc_id
-                take = size - (num * size + den - 1) // den + 1 if size else 0
+                take = size - (num * size + den - 1) // den + 1 + size // SHARED
                 own = order[end - size : end]
                 prefixes.append(tokens[np.argpartition(own, take - 1)[:take]] if 0 < take < size else tokens[:take])
                 maps.append(bitmap(tokens).tobytes())
@@ -417,13 +420,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     chosen = described.filter("bitmap is not null").select(F.col("doc_id").alias("rep"), "n", "prefix", "bitmap")
     postings = chosen.select(F.explode("prefix").alias("key"), "rep")
     shared = settle(repeated_rows(postings))
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    groups = _parts(shared, sizes, "key", "rep", GROUP_ROWS).join(chosen.select("rep", "n", "bitmap"), "rep")
+    least = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
+    needed = (F.lit(1) + F.floor(least / F.lit(SHARED))).alias("needed")
+    sizes_of = chosen.groupBy("rep").agg(F.min("n").alias("n")).select("rep", needed)
+    enough = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("have")).join(sizes_of, "rep").filter("have >= needed").select("rep")
+    kept = settle(shared.join(enough, "rep"))
+    # Shingles with the very same sets give the same group: the least of them stands for all.
+    same = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"sets{k}") for k in (0, 1)]
+    lists = kept.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *same).filter("size > 1")
+    standing = lists.groupBy("size", "sets0", "sets1").agg(F.min("key").alias("key")).select("key", "size")
+    groups = _parts(kept.join(standing.select("key"), "key"), standing, "key", "rep", GROUP_ROWS).join(chosen.select("rep", "n", "bitmap"), "rep")
     block_of = components(grouped_candidates(groups, num, den))
     blocks = settle(block_of.select(F.col("node").alias("doc_id"), F.col("root").alias("key")).unionByName(block_of.select(F.col("root").alias("doc_id"), F.col("root").alias("key")).distinct()))
 
     weights = blocks.join(described.select("doc_id", "n").distinct(), "doc_id").groupBy("key").agg(F.sum("n").alias("size"))
-    texts = docs.select("doc_id", "text").join(blocks, "doc_id")
+    # Always dealt, whatever the sizes: the tables of block members grow with the documents.
+    texts = docs.select("doc_id", "text").hint("merge").join(blocks, "doc_id")
     links = verified_links(_parts(texts, weights, "key", "doc_id", BLOCK_SHINGLES), words, num, den)
     roots = components(links)
 
@@ -435,4 +447,4 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 def one_of_each_group(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """The documents, as they are, that are the least of their component; of repeated rows one."""
     rest = jaccard_components(docs, words, num, den).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(rest, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return docs.filter("doc_id is not null").hint("merge").join(rest, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
