@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import languages, toxicity
+from credence.llm import languages, oracles, toxicity
 from credence.llm.debruijn import remove_repeats
 from credence.llm.decontamination import LEAKS_SQL, leaks
 from credence.llm.jaccard import jaccard_components
@@ -64,7 +64,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     _, index = archive_pages(table(spark, folder, "pages", "page_id", "url", "html"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -79,4 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op2_decontamination": LEAKS_SQL}
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.JACCARD_SQL,
+    "op2_decontamination": LEAKS_SQL,
+    "op3_suffix_array_dedup": oracles.COPIED_BYTES_SQL,
+    "op4_substring_dedup": oracles.REPEATED_WORDS_SQL,
+    "op10_warc": oracles.ARCHIVES_SQL,
+}
