@@ -11,8 +11,8 @@ from credence.session import settle
 
 # Keys heavier than this are split over several tasks by spread_join.
 ROWS_PER_TASK = 2_000_000
-# A ranking of keys by weight keeps this many; any key outside it holds < 1/1024 of the rows.
-MAX_HOT_KEYS = 1024
+# So many heavy keys travel to every task; more of them are joined like any table.
+BROADCAST_HOT_KEYS = 10_000
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], drop_order: bool = False) -> DataFrame:
@@ -39,13 +39,11 @@ def _pick(df, keys, order, chooser, drop_order):
 
 
 def hot_keys(big: DataFrame, on: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
-    """Keys heavier than one task should take, with the number of parts each needs (<= 1024 rows)."""
+    """Keys heavier than one task should take, with the number of parts each needs."""
     rows_per_task = rows_per_task or ROWS_PER_TASK
     weights = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        weights.orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .filter(F.col("_n") > F.lit(rows_per_task))
+        weights.filter(F.col("_n") > F.lit(rows_per_task))
         .select(*on, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_parts"))
     )
 
@@ -67,8 +65,8 @@ def spread_join(
     heavy key this is a plain join. Otherwise heavy keys are cut into parts by a hash of
     `row_id`, and only those keys of `small` are repeated, once per part. With `small_id`
     the other side is treated the same way, for joins where a key may be heavy on both
-    (inner joins only). The lists of heavy keys have at most 1024 rows each, which bounds
-    what is collected and broadcast.
+    (inner joins only). Every heavy key is cut: up to `BROADCAST_HOT_KEYS` of them travel to
+    the tasks, more are written once and joined.
 
     `weigh` is a cheaper frame with the same keys, for a `big` that is costly to compute
     twice; `rows` its known size, which settles the question if it is small: a key cannot
@@ -95,8 +93,10 @@ def spread_join(
 
 
 def _collected(keys: DataFrame) -> DataFrame | None:
-    """The heavy keys (<= 1024 rows) as a local table to broadcast, None if there are none."""
-    found = keys.collect()
+    """The heavy keys, broadcast if they are few, None if there are none."""
+    found = keys.limit(BROADCAST_HOT_KEYS + 1).collect()
+    if len(found) > BROADCAST_HOT_KEYS:
+        return settle(keys)
     return F.broadcast(keys.sparkSession.createDataFrame(found, keys.schema)) if found else None
 
 
@@ -144,8 +144,11 @@ def grouped_rank(
     below = Window.partitionBy(*keys).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*groups, F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(*groups).orderBy(*order)
+    # Null keys and null coarse values are groups of their own.
+    renamed = shifts.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_shift")
+    same = [marked[g].eqNullSafe(renamed[f"_g_{g}"]) for g in groups]
     return (
-        marked.join(shifts, groups)
+        marked.join(renamed, same).drop(*[f"_g_{g}" for g in groups])
         .withColumn(name, F.row_number().over(inside) + F.col("_shift"))
         .drop("_shift", *marks)
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.config import ROLES, RetrievalSettings
+from credence.config import RetrievalSettings
 from credence.operators.grouping import spread_join
 from credence.session import settle
 
@@ -287,8 +287,10 @@ def _search_by_cells(vectors: DataFrame, rows: DataFrame, k: int, dim: int, cell
 
     first = settle(_search_cells(_cells_to_visit(vectors, pivots, home), stored, cell_rows, k, dim))
     top = _top(first, "vector_id", k)
+    # Anything that ties with the k-th score may still win by its id, so the angle belongs to the least such score.
+    tied = F.round(F.min("vector_score"), TIE_DIGITS) - F.lit(10.0**-TIE_DIGITS)
     reach = top.groupBy("vector_id").agg(
-        F.when(F.count(F.lit(1)) == k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("vector_score")))))
+        F.when(F.count(F.lit(1)) == k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), tied))))
         .otherwise(F.lit(np.pi)).alias("reach")
     )
 
@@ -349,7 +351,7 @@ def vector_search(
 
     Only vectors someone asks for are searched, each once. By default the top k is taken before any role
     filter; `readable_by_role` (chunk_id, allowed_roles) asks for the filter first, in
-    which case the requests also need their role.
+    which case the requests also need their role; the corpus is then read once per role that asks.
     """
     if readable_by_role is None:
         asked = requests.select("query_id", "vector_id")
@@ -359,7 +361,11 @@ def vector_search(
             "query_id", "chunk_id", "vector_score", "rank"
         )
     parts = []
-    for role in ROLES:
+    # Whatever roles the requests name: a request without one may read nothing.
+    roles = sorted(r["role"] for r in requests.select("role").distinct().collect() if r["role"] is not None)
+    if not roles:
+        return vector_search(requests.limit(0), query_vectors, corpus, settings)
+    for role in roles:
         open_chunks = readable_by_role.filter(F.array_contains("allowed_roles", F.lit(role))).select("chunk_id")
         asked = requests.filter(F.col("role") == role)
         readable = corpus.join(open_chunks, "chunk_id", "left_semi")

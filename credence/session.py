@@ -58,4 +58,10 @@ def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     spark, seen = df.sparkSession, Observation()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    settled, rows = spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    # A folder that executors do not share would lose rows without an error.
+    if path.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local["):
+        back = settled.count()
+        if back != rows:
+            raise OSError(f"{rows} rows were written below {path} and {back} are there: executors do not share it")
+    return settled, rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +18,22 @@ logger = logging.getLogger(__name__)
 ROW_ORDER = ["_file", "_row"]
 
 
-def discover_years(spark: SparkSession, root: str) -> dict[int, str]:
-    """{year: folder} for every year=* folder under root, at any depth. Works on any Hadoop file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found: dict[int, str] = {}
-    level = [path]
-    while level and not found:
-        below = []
-        for folder in level:
-            for status in fs.listStatus(folder):
-                if status.isDirectory():
-                    child = status.getPath()
-                    key, _, value = child.getName().partition("=")
-                    if key == "year" and value.isdigit():
-                        found[int(value)] = child.toString()
-                    else:
-                        below.append(child)
-        level = below
+def discover_years(spark: SparkSession, root: str) -> dict[int, list[str]]:
+    """{year: folders} for all year=* folders under root, at any depth and however many per year.
+
+    Found from the paths of the files below them, on any file system Spark reads.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    # Below the root, whose scheme and slashes may be spelled otherwise in the paths of its files.
+    below = re.escape("/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root).strip("/"))
+    pattern = f"^(.*?{below}/(?:.*?/)?year=([0-9]+))/"
+    folders = files.select(
+        F.regexp_extract("path", pattern, 1).alias("folder"), F.regexp_extract("path", pattern, 2).alias("year")
+    )
+    found: dict[int, list[str]] = {}
+    # One row per folder, not per file.
+    for row in folders.filter("folder <> ''").distinct().orderBy("folder").collect():
+        found.setdefault(int(row["year"]), []).append(row["folder"])
     if not found:
         raise FileNotFoundError(f"no year=* folders under {root}")
     return dict(sorted(found.items()))
@@ -67,13 +66,19 @@ def clean_year(df: DataFrame, year: int, settings: RiskSettings = RiskSettings()
     return out
 
 
-def read_year(spark: SparkSession, year: int, path: str, settings: RiskSettings = RiskSettings()) -> DataFrame:
-    """All files of one year. Each row remembers its file and its place in it."""
-    raw = spark.read.option("mergeSchema", "true").parquet(path)
-    raw = raw.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-    )
-    return clean_year(raw, year, settings)
+def read_year(spark: SparkSession, year: int, paths: list[str], settings: RiskSettings = RiskSettings()) -> DataFrame:
+    """All files of one year, from all its folders. Each row remembers its file and its place in it.
+
+    Folders are read one by one and cleaned before the union, so they may differ in columns and types.
+    """
+    parts = []
+    for path in paths:
+        raw = spark.read.option("mergeSchema", "true").parquet(path)
+        raw = raw.select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+        )
+        parts.append(clean_year(raw, year, settings))
+    return union_years(parts)
 
 
 def union_years(frames: list[DataFrame]) -> DataFrame:
@@ -82,4 +87,4 @@ def union_years(frames: list[DataFrame]) -> DataFrame:
 
 def load_years(spark: SparkSession, root: str, settings: RiskSettings = RiskSettings()) -> DataFrame:
     folders = discover_years(spark, root)
-    return union_years([read_year(spark, year, path, settings) for year, path in folders.items()])
+    return union_years([read_year(spark, year, paths, settings) for year, paths in folders.items()])

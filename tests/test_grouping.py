@@ -73,3 +73,19 @@ def test_dense_ids_follow_the_key_order(spark):
     copies = spark.range(300).select(F.when(F.col("id") < 200, "same").otherwise(F.col("id").cast("string")).alias("k"))
     numbered = sorted((r.n, r.k) for r in dense_ids(copies, "k", "n", unique=False).collect())
     assert [n for n, _ in numbered] == list(range(1, 301)) and [k for _, k in numbered] == sorted(r.k for r in copies.collect())
+
+
+def test_every_heavy_key_is_cut(spark, monkeypatch):
+    big = spark.range(12_000).select("id", (F.col("id") % 3000).alias("k"))
+    small = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert hot_keys(big, ["k"], 3).count() == 3000
+    for limit in (10_000, 100):
+        monkeypatch.setattr("credence.operators.grouping.BROADCAST_HOT_KEYS", limit)
+        joined = spread_join(big, small, "k", ["id"], rows_per_task=3)
+        assert joined.count() == 12_000 and joined.filter("v <> 2 * k").count() == 0
+
+
+def test_grouped_rank_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, 5, 1), (1, None, 2), (None, 5, 3)], "g int, score int, id int")
+    ranked = grouped_rank(df, ["g"], [F.col("score"), F.col("id")], [F.col("score")], "rank")
+    assert sorted((r["id"], r["rank"]) for r in ranked.collect()) == [(1, 2), (2, 1), (3, 1)]

@@ -54,6 +54,17 @@ def test_discovery_and_schema_adaptive_union(spark, yearly):
         discover_years(spark, yearly + "/year=2022")
 
 
+def test_every_folder_of_a_year_is_read(spark, tmp_path):
+    """Several folders of one year, at several depths, with columns of different types."""
+    root = tmp_path / "deep.er (1)"
+    for inn, place, kind in (("1", "a/year=2023", "int"), ("2", "a/year=2024", "double"), ("3", "b/year=2024", "string"), ("4", "c/d/year=2022", "int")):
+        rows = spark.createDataFrame([(inn, "11", "A", "7700", "C", 5)], KEYS + ", line_2110 int")
+        rows.withColumn("line_2110", F.col("line_2110").cast(kind)).write.parquet(f"{root}/{place}")
+    assert {y: len(f) for y, f in discover_years(spark, str(root)).items()} == {2022: 1, 2023: 1, 2024: 2}
+    rows = load_years(spark, f"file://{root}").select("inn", "year", "revenue").collect()
+    assert sorted(map(tuple, rows)) == [("1", 2023, 5.0), ("2", 2024, 5.0), ("3", 2024, 5.0), ("4", 2022, 5.0)]
+
+
 def test_first_report_of_a_year_wins_by_file_order(spark, yearly):
     reports = financial_reports(load_years(spark, yearly))
     assert [c for c in REPORT_COLUMNS if c in reports.columns] == reports.columns

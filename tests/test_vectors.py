@@ -107,3 +107,31 @@ def test_search_per_request_and_by_role(spark, data):
     first = V.vector_search(requests, vectors, rows, settings, roles).filter("rank = 1").collect()
     top = {r.query_id: r.chunk_id for r in first}
     assert top[11] == best and top[10] == want[(3, 2)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_near_copies_across_cell_borders(spark, monkeypatch, k):
+    """Scores that tie to nine digits, on both sides of the borders between cells: both forms agree."""
+    monkeypatch.setattr(V, "CELLS", 60)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(35, 3))
+    corpus = np.repeat(base, 10, axis=0) + 3e-6 * rng.normal(size=(350, 3))
+    corpus = corpus[rng.permutation(350)]
+    queries = np.vstack([base + 1e-6 * rng.normal(size=base.shape), rng.normal(size=(65, 3))])
+    asked, rows = frame(spark, queries, "vector_id"), frame(spark, corpus, "chunk_id")
+    both = [
+        {(r.vector_id, r["rank"]): r.chunk_id for r in V.nearest(asked, rows, k, limit).collect()}
+        for limit in (64 * 1024 * 1024, 0)
+    ]
+    assert both[0] == both[1]
+
+
+def test_filter_first_serves_any_role(spark, data):
+    queries, corpus = data
+    vectors, rows = frame(spark, queries, "vector_id"), frame(spark, corpus, "chunk_id")
+    requests = spark.createDataFrame(
+        [(1, 3, "auditor"), (2, 3, None), (3, 4, "analyst")], "query_id int, vector_id long, role string"
+    )
+    roles = rows.select("chunk_id", F.array(F.lit("auditor")).alias("allowed_roles"))
+    hits = V.vector_search(requests, vectors, rows, RetrievalSettings(top_k=3), roles).collect()
+    assert sorted((r.query_id, r["rank"]) for r in hits) == [(1, 1), (1, 2), (1, 3)]
