@@ -104,4 +104,6 @@ class RetrievalSettings:
     broadcast_bytes: int = 64 * 1024 * 1024
     # One response row folds at most this many sources (and citations).
     page_size: int = 1000
+    # Company whose figures answer requests that name none; none by default.
+    default_inn: str | None = None
     answer_title: str = "Ответ по базе знаний"

@@ -1,8 +1,10 @@
-"""Validation: each check is a table of violations or a count, and `validate` raises on the first failure."""
+"""Validation: each check is a table of violations; `check_results` counts them per rule and `validate` raises on any."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.config import RiskSettings
@@ -53,47 +55,49 @@ def wrong_dimension(embeddings: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def validate_financial(company: DataFrame, reports: DataFrame, settings: RiskSettings = RiskSettings()) -> None:
-    if company.isEmpty():
-        raise DataValidationError("the company table is empty")
-    if reports.isEmpty():
-        raise DataValidationError("the report table is empty")
-    bad = year_violations(reports, settings).count()
-    if bad:
-        raise DataValidationError(
-            f"Expected {len(settings.years)} years per company, found violations: {bad}"
-        )
-    if reports.filter(F.col("year") == settings.target_year).isEmpty():
-        raise DataValidationError(f"No reports for target year {settings.target_year}")
-
-
-def validate_documents(chunks: DataFrame, restricted: str = "ch_003") -> None:
-    """Exactly one chunk with the restricted id, and only risk_manager may read it."""
-    roles = F.col("allowed_roles")
-    row = (
-        chunks.filter(F.col("external_id") == restricted)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(roles == F.array(F.lit("risk_manager"))).alias("tight"),
+RESTRICTED_CHUNK = "ch_003"
+
+
+def check_results(
+    tables: dict[str, DataFrame],
+    settings: RiskSettings = RiskSettings(),
+    restricted: str = RESTRICTED_CHUNK,
+    min_nodes: int = 5,
+    min_edges: int = 4,
+) -> DataFrame:
+    """(rule, violations): every rule over the tables given, 0 where it holds. One aggregate per table."""
+    rows = F.count(F.lit(1))
+    found: list[DataFrame] = []
+
+    def measure(source: DataFrame, **rules: Column) -> None:
+        counted = source.agg(*[v.cast("long").alias(rule) for rule, v in rules.items()])
+        pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("violations")) for rule in rules])
+        found.append(counted.select(F.explode(pairs).alias("found")).select("found.*"))
+
+    if "company" in tables:
+        measure(tables["company"], company_rows_missing=(rows == 0))
+    if "financial_report" in tables:
+        reports = tables["financial_report"]
+        of_target = F.count_if(F.col("year") == settings.target_year)
+        measure(reports, report_rows_missing=(rows == 0), target_year_missing=(of_target == 0))
+        measure(year_violations(reports, settings), company_years=rows)
+    if "chunks" in tables:
+        tight = F.coalesce(F.col("allowed_roles") == F.array(F.lit("risk_manager")), F.lit(False))
+        measure(
+            tables["chunks"].filter(F.col("external_id") == restricted),
+            restricted_chunk_count=F.abs(rows - 1),
+            restricted_chunk_readers=F.count_if(~tight),
         )
-        .first()
-    )
-    if row["n"] != 1:
-        raise DataValidationError(f"Expected exactly one {restricted} chunk")
-    if row["tight"] != 1:
-        raise DataValidationError(f"{restricted} must be accessible only to risk_manager")
-
-
-def validate_graph(nodes: DataFrame, edges: DataFrame, min_nodes: int = 5, min_edges: int = 4) -> None:
-    if len(nodes.limit(min_nodes).take(min_nodes)) < min_nodes:
-        raise DataValidationError(f"Graph must contain at least {min_nodes} nodes")
-    if len(edges.limit(min_edges).take(min_edges)) < min_edges:
-        raise DataValidationError(f"Graph must contain at least {min_edges} edges")
-    if not unknown_edge_ends(nodes, edges).isEmpty():
-        raise DataValidationError("Graph edge references unknown node")
+    if "graph_nodes" in tables and "graph_edges" in tables:
+        nodes, edges = tables["graph_nodes"], tables["graph_edges"]
+        measure(nodes, nodes_missing=F.greatest(F.lit(0), F.lit(min_nodes) - rows))
+        measure(edges, edges_missing=F.greatest(F.lit(0), F.lit(min_edges) - rows))
+        measure(unknown_edge_ends(nodes, edges), unknown_edge_ends=rows)
+    return reduce(DataFrame.unionAll, found)
 
 
 def validate(tables: dict[str, DataFrame], settings: RiskSettings = RiskSettings()) -> None:
-    validate_financial(tables["company"], tables["financial_report"], settings)
-    validate_documents(tables["chunks"])
-    validate_graph(tables["graph_nodes"], tables["graph_edges"])
+    """Raises with every rule the tables break."""
+    broken = check_results(tables, settings).filter("violations > 0").orderBy("rule").collect()
+    if broken:
+        raise DataValidationError(", ".join(f"{r['rule']}: {r['violations']}" for r in broken))

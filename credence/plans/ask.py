@@ -31,9 +31,11 @@ HEADER = "**%s** — роль `%s`, intent `%s`."
 QUERY_LINE = "Запрос: %s"
 FACTS_HEADING = "**Финансовые показатели:**"
 FACTS_LINE = (
-    "По финансовым данным компании %s выручка снизилась на %s%%, "
-    "прибыль за последний год отрицательная: %s руб."
+    "По финансовым данным компании %s выручка %s на %s%%, "
+    "прибыль за последний год %s: %s руб."
 )
+REVENUE_FELL, REVENUE_GREW, REVENUE_UNKNOWN = "снизилась", "выросла", "изменилась"
+PROFIT_NEGATIVE, PROFIT_OTHER, PROFIT_UNKNOWN = "отрицательная", "неотрицательная", "неизвестна"
 FLAGS_LINE = "Флаги риска: %s."
 CONCLUSION = (
     "**Вывод:** на основании доступных фрагментов и связей графа знаний "
@@ -47,7 +49,6 @@ SOURCES_HEADING = "**Источники:**"
 SOURCE_LINE = "%s. [%s] %s: %s…"
 MISSING = "—"
 SNIPPET_CHARS = 120
-DEFAULT_INN = "7700000001"
 
 # Node ids are ranked in runs that share this many leading characters.
 NODE_PREFIX = 16
@@ -132,9 +133,11 @@ def facts_type(settings: RiskSettings) -> str:
     )
 
 
-def financial_lookup(requests: DataFrame, features: DataFrame, settings: RiskSettings = RiskSettings()) -> DataFrame:
-    """Requests with the facts of their company. One company may be asked about very often."""
-    asked = requests.withColumn("inn", F.coalesce("inn", F.lit(DEFAULT_INN)))
+def financial_lookup(
+    requests: DataFrame, features: DataFrame, settings: RiskSettings = RiskSettings(), default_inn: str | None = None
+) -> DataFrame:
+    """Requests with the facts of their company, or of `default_inn` if they name none. One company may be asked about very often."""
+    asked = requests.withColumn("inn", F.coalesce("inn", F.lit(default_inn))) if default_inn else requests
     return spread_join(
         asked, company_facts(features, settings), "inn", ["query_id"], "left", rows=asked.count()
     )
@@ -175,10 +178,19 @@ def source_line(rank: Column, external_id: Column, chunk_id: Column, title: Colu
     )
 
 
+def _direction(drop: Column) -> Column:
+    return F.when(drop >= 0, REVENUE_FELL).when(drop < 0, REVENUE_GREW).otherwise(REVENUE_UNKNOWN)
+
+
+def _sign(profit: Column) -> Column:
+    return F.when(profit < 0, PROFIT_NEGATIVE).when(profit >= 0, PROFIT_OTHER).otherwise(PROFIT_UNKNOWN)
+
+
 def opening(title: str, facts: Column, has_chunks: Column, target_year: int) -> Column:
     """The answer up to its source list, from request-level columns role, intent and query."""
     money = lambda c: F.coalesce(c.cast("decimal(38,2)").cast("string"), F.lit(MISSING))
     has_facts = facts.isNotNull()
+    drop, profit = facts["revenue_drop_pct"], facts[f"profit_{target_year}"]
     lines = [
         F.format_string(HEADER, F.lit(title), F.col("role"), F.col("intent")),
         F.format_string(QUERY_LINE, F.coalesce("query", F.lit(""))),
@@ -187,8 +199,7 @@ def opening(title: str, facts: Column, has_chunks: Column, target_year: int) ->
         F.when(
             has_facts,
             F.format_string(
-                FACTS_LINE, facts["company_name"], money(facts["revenue_drop_pct"]),
-                money(facts[f"profit_{target_year}"]),
+                FACTS_LINE, facts["company_name"], _direction(drop), money(F.abs(drop)), _sign(profit), money(profit),
             ),
         ),
         F.when(has_facts, F.format_string(FLAGS_LINE, F.array_join(facts["risk_flags"], ", "))),
@@ -342,7 +353,8 @@ def ask(
     status = screened.join(counts, "query_id", "left").fillna(0, COUNTS)
     if corpus.features is not None:
         facts = financial_lookup(
-            passing.filter(F.col("intent") == "risk_analysis").select("query_id", "inn"), corpus.features, risk
+            passing.filter(F.col("intent") == "risk_analysis").select("query_id", "inn"), corpus.features, risk,
+            settings.default_inn,
         ).select("query_id", "financial_facts")
         status = status.join(facts, "query_id", "left")
     else:

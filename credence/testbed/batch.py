@@ -370,6 +370,38 @@ def year_violations(t: Tables) -> DataFrame:
     return checks.year_violations(t.reports, SETTINGS)
 
 
+SQL_STEPS["restricted_chunk"] = (
+    ["chunk_ref", "doc_ref"],
+    """
+select external_id, allowed_roles from chunk_ref where external_id = (
+  select min(c.external_id) from chunk_ref c join doc_ref d on d.document_id = c.document_id where d.security_level = 'secret')""",
+)
+
+
+@query(
+    "check_results",
+    ["dim", "reports", "restricted_chunk", "node_ref", "edge_ref"],
+    """
+select 'company_rows_missing' as rule, cast(count(*) = 0 as bigint) as violations from dim
+union all select 'report_rows_missing', cast(count(*) = 0 as bigint) from reports
+union all select 'target_year_missing', cast(count(*) filter (where year = 2000) = 0 as bigint) from reports
+union all select 'company_years', count(*) from (select inn from reports group by inn having count(distinct year) <> 2) y
+union all select 'restricted_chunk_count', abs(count(*) - 1) from restricted_chunk
+union all select 'restricted_chunk_readers', count(*) from restricted_chunk where array_to_string(allowed_roles, ',') <> 'risk_manager'
+union all select 'nodes_missing', greatest(0, 5 - count(*)) from node_ref where node_type <> 'LegalAct'
+union all select 'edges_missing', greatest(0, 4 - count(*)) from edge_ref
+union all select 'unknown_edge_ends', count(*) from (select source_node_id as node_id from edge_ref union select target_node_id from edge_ref) e where node_id not in (select node_id from node_ref where node_type <> 'LegalAct')""",
+)
+def check_results(t: Tables) -> DataFrame:
+    secret = t.chunk_ref.join(t.doc_ref.filter("security_level = 'secret'").select("document_id"), "document_id", "left_semi")
+    restricted = secret.agg(F.min("external_id")).first()[0] or ""
+    tables = {
+        "company": company_dim(t.reports), "financial_report": t.reports, "chunks": t.chunk_ref,
+        "graph_nodes": t.node_ref.filter("node_type <> 'LegalAct'"), "graph_edges": t.edge_ref,
+    }
+    return checks.check_results(tables, SETTINGS, restricted)
+
+
 @query(
     "unknown_edge_ends",
     ["edge_ref", "node_ref"],

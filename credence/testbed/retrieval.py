@@ -18,10 +18,17 @@ from credence.operators.vectors import hashing_encoder, nearest, nearest_probed,
 from credence.plans.ask import (
     CONCLUSION,
     FACTS_HEADING,
+    FACTS_LINE,
     FACTS_ONLY,
     INPUT_BLOCKED,
     NOTHING_FOUND,
     OUTPUT_BLOCKED,
+    PROFIT_NEGATIVE,
+    PROFIT_OTHER,
+    PROFIT_UNKNOWN,
+    REVENUE_FELL,
+    REVENUE_GREW,
+    REVENUE_UNKNOWN,
     SOURCES_HEADING,
     ask,
     financial_lookup,
@@ -546,8 +553,11 @@ select a.query_id, 0 as part,
   case when input_reason is not null then '{INPUT_BLOCKED}' when output_reason is not null then '{OUTPUT_BLOCKED}'
   when allowed = 0 and not has_facts then '{NOTHING_FOUND}'
   else concat_ws(chr(10), concat('**', '{RETRIEVAL.answer_title}', '** — роль `', role, '`, intent `', intent, '`.'), concat('Запрос: ', query), '',
-    case when has_facts then concat_ws(chr(10), '{FACTS_HEADING}', concat('По финансовым данным компании ', company_label, ' выручка снизилась на ',
-      {_money('revenue_drop_2000_pct')}, '%, прибыль за последний год отрицательная: ', {_money('net_profit_2000')}, ' руб.'),
+    case when has_facts then concat_ws(chr(10), '{FACTS_HEADING}', printf('{FACTS_LINE}', company_label,
+      case when revenue_drop_2000_pct >= 0 then '{REVENUE_FELL}' when revenue_drop_2000_pct < 0 then '{REVENUE_GREW}' else '{REVENUE_UNKNOWN}' end,
+      {_money('abs(revenue_drop_2000_pct)')},
+      case when net_profit_2000 < 0 then '{PROFIT_NEGATIVE}' when net_profit_2000 >= 0 then '{PROFIT_OTHER}' else '{PROFIT_UNKNOWN}' end,
+      {_money('net_profit_2000')}),
       concat('Флаги риска: ', flags, '.'), '') end,
     case when allowed > 0 then concat_ws(chr(10), '{CONCLUSION}', '', '{SOURCES_HEADING}') when has_facts then '{FACTS_ONLY}' end,
     lines) end as answer,

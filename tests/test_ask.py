@@ -12,7 +12,7 @@ from credence.sources.seeds import demo_bundle
 from credence.streaming.requests import answer_stream, screen_stream
 
 INN = "7700000001"
-SETTINGS = RetrievalSettings(embedding_dim=64)
+SETTINGS = RetrievalSettings(embedding_dim=64, default_inn=INN)
 
 
 @pytest.fixture(scope="module")
