@@ -99,7 +99,7 @@ from (select trim(inn) as inn, trim(ogrn) as ogrn, cast(report_year as int) as y
              okved, okved_section, try_cast(filed as double) as filed, try_cast(imputed as double) as imputed,
              try_cast(outlier as double) as outlier, try_cast(line_2110 as double) as revenue,
              try_cast(line_2400 as double) as net_profit, try_cast(line_1600 as double) as assets,
-             case when report_year = 1998 then null else line_1300 end as equity,
+             case when report_year = (select min(report_year) from raw_reports) then null else line_1300 end as equity,
              row_number() over (partition by trim(inn), report_year order by _file, _row) as rn
       from raw_reports
       where inn is not null and ogrn is not null and okved_section in ('A', 'B', 'F', 'H')
@@ -166,10 +166,10 @@ def risk_flag_list(t: Tables) -> DataFrame:
 @query(
     "bounded_sample",
     ["reports"],
-    "select inn, year from (select inn, year from reports where year = 2000) x order by md5(concat(inn, ':42')), inn limit 50",
+    "select inn from (select concat(inn, '/', cast(year as varchar)) as inn from reports) x order by md5(concat(inn, ':42')), inn limit 50",
 )
 def sample_50(t: Tables) -> DataFrame:
-    return bounded_sample(t.reports.filter("year = 2000").select("inn", "year"), 50, 42)
+    return bounded_sample(t.reports.select(F.concat("inn", F.lit("/"), F.col("year").cast("string")).alias("inn")), 50, 42)
 
 
 SQL_STEPS["sample"] = (
@@ -283,7 +283,7 @@ def company_risk(t: Tables) -> DataFrame:
 SQL_STEPS["arriving"] = (
     ["raw_reports"],
     """select trim(inn) as inn, cast(report_year as int) as year, try_cast(line_2110 as double) as revenue,
-try_cast(line_1600 as double) as assets, _file from {raw_reports} where report_year >= 1999""",
+try_cast(line_1600 as double) as assets, _file from {raw_reports} where try_cast(line_2110 as double) is not null""",
 )
 
 
@@ -293,15 +293,15 @@ try_cast(line_1600 as double) as assets, _file from {raw_reports} where report_y
     """
 select inn, year, revenue, assets from (select *, row_number() over (partition by inn, year order by _file desc) as rn from arriving) n where rn = 1
 union all
-select inn, year, revenue, assets from reports r where year < 2000
-and not exists (select 1 from arriving n where n.inn = r.inn and n.year = r.year)""",
+select inn, year, revenue, assets from reports r where not exists (select 1 from arriving n where n.inn = r.inn and n.year = r.year)""",
 )
 def report_upsert(t: Tables) -> DataFrame:
-    old = t.reports.filter("year < 2000").select("inn", "year", "revenue", "assets")
-    new = t.raw_reports.filter("report_year >= 1999").selectExpr(
+    # Reports whose revenue cannot be read do not arrive; the stored ones stay for them.
+    old = t.reports.select("inn", "year", "revenue", "assets")
+    new = t.raw_reports.selectExpr(
         "trim(inn) as inn", "cast(report_year as int) as year", "try_cast(line_2110 as double) as revenue",
         "try_cast(line_1600 as double) as assets", "_file",
-    )
+    ).filter("revenue is not null")
     return loading.upsert(old, new, ["inn", "year"], ["_file"])
 
 

@@ -273,18 +273,16 @@ def wrong_dimension(t: Tables) -> DataFrame:
 
 @query(
     "embedding_upsert",
-    ["chunk_embedding_ref", "documents", "labels"],
+    ["chunk_embedding_ref", "documents"],
     """
 select chunk_id, case when d.lang = 'en' then 'new' else 'old' end as model_name, round(cast(embedding[1] as double), 6) as head
-from chunk_embedding_ref e join documents d on d.doc_id = e.chunk_id // 1000 left join labels l on l.doc_id = d.doc_id
-where d.lang = 'en' or l.doc_id is not null""",
+from chunk_embedding_ref e join documents d on d.doc_id = e.chunk_id // 1000""",
 )
 def embedding_upsert(t: Tables) -> DataFrame:
-    """Vectors of labelled documents are stored; those of English documents arrive again from another model."""
+    """All vectors are stored; those of English documents arrive again from another model."""
     vectors = t.chunk_embedding_ref.join(t.chunk_ref.select("chunk_id", "document_id"), "chunk_id")
-    labelled = t.labels.select(F.col("doc_id").alias("document_id"))
     english = t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("document_id"))
-    old = vectors.join(labelled, "document_id", "left_semi").withColumn("model_name", F.lit("old"))
+    old = vectors.withColumn("model_name", F.lit("old"))
     new = vectors.join(english, "document_id", "left_semi").select(
         "chunk_id", "embedding", F.lit("new").alias("model_name"), F.lit(1).alias("pos")
     )

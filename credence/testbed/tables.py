@@ -26,7 +26,6 @@ CLEANING = RiskSettings(
     region_taxcodes=tuple(str(n * 100) for n in range(25) if n % 5 != 4),
     okved_sections=("A", "B", "F", "H"),
 )
-YEARS = (1998, 1999, 2000)
 CHUNK_CHARS = 1000
 
 REPORTS = """
@@ -46,7 +45,6 @@ select lpad(cast(c_custkey as string), 10, '0') as inn,
        cast(sum(cast(o_totalprice as decimal(18,2))) as double) as assets,
        max(c_acctbal) as equity
 from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
-where year(o_orderdate) between 1998 and 2000
 group by c_custkey, year(o_orderdate)
 """
 
@@ -121,7 +119,7 @@ def _ask_sql() -> str:
 select conv_id * 1000 + turn as query_id,
        case conv_id % 32
             when 2 then '   '
-            when 3 then rpad(text, 4001, 'x')
+            when 3 then concat(text, repeat('x', 4001))
 {cases}
             else text end as query,
        case when conv_id % 2 = 0 then 'analyst' else 'risk_manager' end as role,
@@ -216,9 +214,10 @@ class Tables:
     def raw_years(self) -> list[tuple[int, DataFrame]]:
         """Raw rows year by year; the first year lacks a column and types one differently."""
         out = []
-        for year in YEARS:
+        years = sorted(r["report_year"] for r in self.raw_reports.select("report_year").distinct().collect())
+        for year in years:
             rows = self.raw_reports.filter(F.col("report_year") == year).drop("report_year")
-            if year == YEARS[0]:
+            if year == years[0]:
                 rows = rows.drop("line_1300").withColumn("filed", F.col("filed").cast("double"))
             out.append((year, rows))
         return out
