@@ -155,43 +155,40 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, terms: tuple[s
         return pairs // keys.size, pairs % keys.size
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: a document; 1 and 2: a sentence as it is, and swapped."""
+        """A row per document, and per sentence with a swapped term (kind 1) with the features of both forms."""
         for batch in slices_by_bytes(batches, "text"):
             pairs = [p for t in batch.column(1).to_pylist() if t for p in swapped_sentences(t, terms)]
-            texts = [batch.column(1), *([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)] if pairs else [])]
-            for kind, column in enumerate(texts):
-                rows = len(column)
-                own, at = present(*evidence(*text_bytes(column)), rows)
-                toxic = batch.column(2) if kind == 0 else pa.array(np.zeros(rows, np.int32))
-                ids = batch.column(0) if kind == 0 else pa.array(np.arange(rows, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(rows, kind, np.int32)), ids, toxic, lists(at, np.bincount(own, minlength=rows), pa.int64())],
-                    names=["kind", "doc_id", "toxic", "features"],
-                )
+            found = []
+            for column in (batch.column(1), *(pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1))):
+                own, at = present(*evidence(*text_bytes(column)), len(column))
+                found.append(lists(at, np.bincount(own, minlength=len(column)), pa.int64()))
+            documents, one, two = found
+            none = pa.array([None] * batch.num_rows, pa.list_(pa.int64()))
+            for kind, toxic, own, other in ((0, batch.column(2), documents, none), (1, pa.array(np.zeros(len(pairs), np.int32)), one, two)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), toxic, own, other], names=["kind", "toxic", "features", "swapped"])
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        out = np.zeros((len(column), keys.size), np.float32)
+        out[np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy()), column.flatten().to_numpy()] = 1
+        return out
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, toxic, own, at, rows = [], [], [], [], 0
+        parts = []
         for batch in batches:
-            kinds.append(batch.column(0).to_numpy())
-            toxic.append(batch.column(2).to_numpy())
-            own.append(rows + np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy()))
-            at.append(batch.column(3).flatten().to_numpy())
-            rows += batch.num_rows
-        if not rows:
+            kinds = batch.column(0).to_numpy()
+            own, other = matrix(batch.column(2)), matrix(batch.column(3))
+            parts.append((own[kinds == 0], batch.column(1).to_numpy()[kinds == 0], own[kinds == 1], other[kinds == 1]))
+        if not parts:
             return
-        kinds, toxic = np.concatenate(kinds), np.concatenate(toxic)
-        matrix = np.zeros((rows, keys.size), np.float32)
-        matrix[np.concatenate(own), np.concatenate(at)] = 1
-        docs_, one, two = (matrix[kinds == k] for k in range(3))
-        labels_ = toxic[kinds == 0]
-        weights = np.array([counts[k] / max(1, (labels_ == k).sum()) for k in (0, 1)])[labels_]
-        w = fit(docs_, labels_, weights, one, two, fairness)
+        documents, toxic, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
+        weights = np.array([counts[k] / max(1, (toxic == k).sum()) for k in (0, 1)])[toxic]
+        w = fit(documents, toxic, weights, one, two, fairness)
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()])], names=["coefficients"])
 
-    # One task learns from the bounded sample. Pairs stay beside each other: both come from one batch in one order.
-    gathered = sample.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id", "text")
-    described_rows = gathered.mapInArrow(described, "kind int, doc_id long, toxic int, features array<long>")
-    learned = described_rows.mapInArrow(learn, "coefficients array<double>").collect()
+    # Texts become short lists of features where they are; one task learns from the lists of the bounded sample.
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(described, "kind int, toxic int, features array<long>, swapped array<long>")
+    ordered = rows.repartition(1).sortWithinPartitions("kind", "toxic", "features", "swapped")
+    learned = ordered.mapInArrow(learn, "coefficients array<double>").collect()
     return (keys.view(np.int64).tolist(), list(learned[0]["coefficients"])) if learned else ([], [])
 
 
