@@ -105,8 +105,9 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part."""
-    read = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    """vec_id and embedding of the vectors that take part, single precision as it comes, anything else as doubles."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    read = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     filled = read.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
     sizes = filled.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "size").first()
@@ -170,7 +171,8 @@ def _on_curves(rows: DataFrame, curves: int) -> DataFrame:
                 for c in range(curves):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(some.num_rows, c, np.int32)), pa.array(keys[:, c]), *some.columns], names=["curve", "key", *some.schema.names])
 
-    return rows.mapInArrow(place, "curve int, key long, vec_id long, embedding array<double>, candidate boolean, query boolean")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return rows.mapInArrow(place, f"curve int, key long, vec_id long, embedding {kind}, candidate boolean, query boolean")
 
 
 def _fitted_reach(numbered: DataFrame, candidates: DataFrame, queries: DataFrame, k: int, sample: int, target: float) -> int:
