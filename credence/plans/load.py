@@ -11,7 +11,7 @@ from credence.config import RetrievalSettings
 from credence.operators import loading
 from credence.operators.grouping import dense_ids
 from credence.operators.vectors import Encoder, hashing_encoder
-from credence.session import settle
+from credence.session import settle, settled_scope
 from credence.sources import seeds
 from credence.sources.store import TableStore
 
@@ -20,6 +20,11 @@ logger = logging.getLogger(__name__)
 
 def load_tables(store: TableStore, tables: dict[str, DataFrame], truncate: bool = True) -> None:
     """Fills the stored tables. With truncate=False rows join what is stored, under its upsert rules."""
+    with settled_scope(store.spark):
+        _load_tables(store, tables, truncate)
+
+
+def _load_tables(store: TableStore, tables: dict[str, DataFrame], truncate: bool) -> None:
     spark = store.spark
     if truncate:
         store.truncate_all()
@@ -80,6 +85,11 @@ def embed_all_chunks(
     settings: RetrievalSettings = RetrievalSettings(),
 ) -> int:
     """Encodes every stored chunk and upserts its vector; returns how many. A wrong dimension only warns."""
+    with settled_scope(store.spark):
+        return _embed_all_chunks(store, encoder, settings)
+
+
+def _embed_all_chunks(store: TableStore, encoder: Encoder | None, settings: RetrievalSettings) -> int:
     chunks = store.read("chunk").select("chunk_id", "chunk_text")
     if chunks.isEmpty():
         logger.warning("no chunks to encode; load the tables first")

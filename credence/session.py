@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+# Folders settled within the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def settled_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is settled inside, at the end. For jobs whose results are written elsewhere by then."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared checkpoint folder and go on from the files.
 
@@ -57,6 +77,8 @@ def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """`settle`, and the number of rows, which the write counts in passing."""
     spark, seen = df.sparkSession, Observation()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
     settled, rows = spark.read.schema(df.schema).parquet(path), seen.get["rows"]
     # A folder that executors do not share would lose rows without an error.

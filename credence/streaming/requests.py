@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from credence.plans.ask import Answers, screen
-from credence.session import settle
+from credence.session import settle, settled_scope
 
 
 def screen_stream(requests: DataFrame) -> DataFrame:
@@ -22,23 +22,27 @@ def answer_stream(
     answer: Callable[[DataFrame], Answers],
     folder: str,
     checkpoint: str,
+    **trigger,
 ) -> StreamingQuery:
-    """Answers all available requests and appends responses and audit rows below `folder`.
+    """Answers requests and appends responses and audit rows below `folder`.
+
+    By default it stops after what is there; `processingTime="10 seconds"` goes on with what keeps arriving.
 
     Each micro-batch owns one batch_id=N folder and overwrites it, so a batch that runs
     again after a failure leaves its rows once.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        answers = answer(settle(batch))
-        answers.responses.write.mode("overwrite").parquet(f"{folder}/responses/batch_id={batch_id}")
-        answers.audit_log().withColumn("logged_at", F.current_timestamp()).write.mode("overwrite").parquet(
-            f"{folder}/audit/batch_id={batch_id}"
-        )
+        with settled_scope(batch.sparkSession):
+            answers = answer(settle(batch))
+            answers.responses.write.mode("overwrite").parquet(f"{folder}/responses/batch_id={batch_id}")
+            answers.audit_log().withColumn("logged_at", F.current_timestamp()).write.mode("overwrite").parquet(
+                f"{folder}/audit/batch_id={batch_id}"
+            )
 
     return (
         requests.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

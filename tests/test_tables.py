@@ -180,3 +180,16 @@ def test_prepare_from_files(spark, tmp_path):
     assert tables["company"].count() == 40 and tables["financial_report"].count() == 80
     assert tables["graph_nodes"].filter("node_id = 'company:7700000000'").count() == 1
     assert len(glob.glob(f"{tmp_path}/out/*.csv")) == 7
+
+
+def test_settled_scope_cleans_up(spark, tmp_path):
+    from credence.session import ensure_checkpoint_dir, settle, settled_scope
+
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/settled-*"))
+    kept = settle(spark.range(3))
+    with settled_scope(spark):
+        inside = settle(spark.range(5))
+        assert inside.count() == 5
+    left = set(glob.glob(f"{root}/settled-*")) - before
+    assert len(left) == 1 and kept.count() == 3
