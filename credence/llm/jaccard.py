@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from credence.llm.components import Forest, components
 from credence.llm.repeats import repeated_rows, short_keys
-from credence.llm.textkit import PLACE, U64, lists, mix, shingle_hashes, slices_by_bytes, words_and_hashes
+from credence.llm.textkit import PLACE, U64, lists, mix, shingle_hashes, slices_by_bytes, text_bytes, words_and_hashes
 from credence.session import settle
 
 WORDS, NUM, DEN = 5, 80, 100
@@ -42,7 +42,7 @@ HISTOGRAM_BITS = 16
 GROUP_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
 LEAF = 32
 SHARED = 20
-BUFFER_ROWS = 60_000
+BUFFER_ROWS, TEXT_BYTES = 60_000, 8 << 20
 
 
 # Sets of shingles -------------------------------------------------------------------------------
@@ -381,7 +381,7 @@ def verified_links(blocks: DataFrame, words: int = WORDS, num: int = NUM, den: i
     """Edges a, b that join the texts of blocks (key, part_a, part_b) by exact similarity."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_groups(batches, 8 << 20, lambda b: np.diff(np.frombuffer(b.column(b.schema.get_field_index("text")).cast(pa.large_string()).buffers()[1], np.int64))[: b.num_rows]):
+        for whole in _whole_groups(batches, TEXT_BYTES, lambda b: np.diff(text_bytes(b.column(b.schema.get_field_index("text")))[1])):
             edges = _group_edges(whole)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a < 2:
