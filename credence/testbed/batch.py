@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.config import RISK_COLUMNS
-from credence.functions.columns import date_prefix, is_json_list, is_json_object, json_text, with_external_id
+from credence.functions.columns import (
+    date_prefix,
+    is_json_list,
+    is_json_object,
+    json_text,
+    parse_metadata,
+    parse_roles,
+    with_external_id,
+)
 from credence.functions.risk import risk_codes
 from credence.operators import checks, loading
 from credence.operators.graph import belongs_to_edges, build_nodes
@@ -20,9 +30,10 @@ from credence.operators.reports import (
     wide_values,
 )
 from credence.operators.sampling import bounded_sample, stratified_sample
+from credence.session import ensure_checkpoint_dir
 from credence.sources import seeds
-from credence.sources.export import manifest
-from credence.sources.yearly import clean_year, union_years
+from credence.sources.export import SORTED_BY, manifest, write_csv
+from credence.sources.yearly import clean_year, load_years, union_years
 from credence.testbed.registry import SQL_STEPS, query
 from credence.testbed.tables import CLEANING, SETTINGS, Tables
 
@@ -571,3 +582,81 @@ def stored_edges(t: Tables) -> DataFrame:
 )
 def date_prefixes(t: Tables) -> DataFrame:
     return t.events.select("event_id", date_prefix(F.col("ts")).cast("string").alias("day"))
+
+
+def _scratch(t: Tables) -> str:
+    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@query(
+    "yearly_files",
+    ["raw_reports"],
+    """
+select trim(inn) as inn, cast(report_year as int) as year, region, trim(region_taxcode) as region_taxcode,
+       try_cast(line_2110 as double) as revenue, try_cast(line_1600 as double) as assets,
+       case when report_year = (select min(report_year) from raw_reports) then null else line_1300 end as equity
+from raw_reports where inn is not null and ogrn is not null and okved_section in ('A', 'B', 'F', 'H')
+  and cast(trim(region_taxcode) as int) % 500 <> 400""",
+)
+def yearly_files(t: Tables) -> DataFrame:
+    """Raw rows written as year folders, two for each year at different depths, and read back."""
+    root = _scratch(t)
+    for year, rows in t.raw_years():
+        plain = rows.drop("_file", "_row")
+        first = rows["_file"] == "a"
+        plain.filter(first).write.parquet(f"{root}/first/year={year}")
+        plain.filter(~first).write.parquet(f"{root}/second/part/year={year}")
+    found = load_years(t.spark, root, CLEANING)
+    return found.select("inn", "year", "region", "region_taxcode", "revenue", "assets", "equity")
+
+
+@query(
+    "exported_csv",
+    ["dim", "reports_2y", "chunk_ref"],
+    """
+select 'company' as name, count(*) as n, min(inn) as least, max(inn) as most, cast(count(region) as bigint) as filled from dim
+union all select 'financial_report', count(*), min(inn), max(inn), count(region) from reports_2y
+union all select 'chunks', count(*), min(external_id), max(external_id), count(allowed_roles) from chunk_ref""",
+)
+def exported_csv(t: Tables) -> DataFrame:
+    """Tables written as CSV with a header and read back; what was sorted must come back sorted."""
+    root, reports = _scratch(t), _reports_2y(t)
+    chunks = t.chunk_ref.select("external_id", "allowed_roles")
+    parts = []
+    for name, rows, key, filled in (
+        ("company", company_dim(reports).orderBy(*SORTED_BY["company"]), "inn", "region"),
+        ("financial_report", reports.orderBy(*SORTED_BY["financial_report"]), "inn", "region"),
+        ("chunks", chunks, "external_id", "allowed_roles"),
+    ):
+        write_csv(rows, f"{root}/{name}.csv")
+        back = t.spark.read.option("header", True).csv(f"{root}/{name}.csv")
+        parts.append(
+            back.agg(
+                F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.min(key).alias("least"),
+                F.max(key).alias("most"), F.count(filled).alias("filled"),
+            )
+        )
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query(
+    "decoded_json",
+    ["chunk_ref"],
+    """
+select external_id, case when document_id % 5 = 0 then 0 else 1 end as entries,
+       case when document_id % 5 = 0 then null else cast(document_id as varchar) end as linked,
+       case when document_id % 7 = 0 then '' else array_to_string(allowed_roles, ',') end as roles from chunk_ref""",
+)
+def decoded_json(t: Tables) -> DataFrame:
+    """Texts of maps and lists, some blank or missing, back to maps and lists."""
+    linked = F.create_map(F.lit("linked"), F.col("document_id").cast("string"))
+    texts = json_text(t.chunk_ref.select("external_id", "document_id", "allowed_roles", linked.alias("metadata")))
+    blank = texts.select(
+        "external_id",
+        F.when(F.col("document_id") % 5 == 0, F.when(F.col("document_id") % 2 == 0, F.lit(" "))).otherwise(F.col("metadata")).alias("metadata"),
+        F.when(F.col("document_id") % 7 == 0, F.lit("")).otherwise(F.col("allowed_roles")).alias("allowed_roles"),
+    )
+    decoded = blank.select("external_id", parse_metadata(F.col("metadata")).alias("m"), parse_roles(F.col("allowed_roles")).alias("r"))
+    return decoded.select(
+        "external_id", F.size("m").alias("entries"), F.col("m")["linked"].alias("linked"), F.array_join("r", ",").alias("roles")
+    )
