@@ -14,7 +14,7 @@ from credence.llm.jaccard import one_of_each_group
 from credence.llm.languages import accepted, train
 from credence.llm.packing import pack_documents
 from credence.llm.suffixes import without_copies
-from credence.llm.textkit import table
+from credence.llm.textkit import bound_batches, table
 from credence.session import settle
 
 # Texts without a language are rejected, and those whose best language is not even as likely as all others together.
@@ -23,16 +23,19 @@ LEAST_SCORE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language learned from the labelled ones among them; others go."""
+    bound_batches(spark)
     return accepted(docs, *train(docs, F.lit(True)), LEAST_SCORE)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by similar shingle sets: the one of least doc_id."""
+    bound_batches(spark)
     return one_of_each_group(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 100 bytes that start earlier too; n_chars follows."""
+    bound_batches(spark)
     return without_copies(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -43,6 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and places."""
+    bound_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
