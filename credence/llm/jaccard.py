@@ -1,6 +1,6 @@
 """Exact Jaccard join of word-shingle sets by signature trees.
 
-Equal sets of a task shrink to one member first. Every set lists its prefix: the first
+Equal sets shrink to one member first, those of a task and then those of all tasks. Every set lists its prefix: the first
 n - ceil(t n) + l(n) shingles in one order over all shingles, l(n) = 1 + n // 20. Two sets with
 similarity t or more share at least as many prefix shingles as the smaller l of the two, so a set
 that shares fewer with all others together is linked with nothing. Shingles that are frequent, by
@@ -20,7 +20,7 @@ is left out and no task holds more than two parts.
 
 Texts are lower-cased in A-Z. Null texts and texts without words have empty sets, are linked with
 nothing and are their own component. Rows without a doc_id are left out. Repeated rows are equal sets. Rows that repeat a doc_id with
-another text count as one node. Columns beyond doc_id and text are left out.
+another text count as one node, linked with whatever any of its texts is. Columns beyond doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,13 +101,14 @@ def frequency_levels(histogram: np.ndarray) -> np.ndarray:
 
 
 def described_sets(docs: DataFrame, levels: np.ndarray, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n, identity of the set (low, high), prefix and bitmap of every document.
+    """doc_id, task, n, identity of the set (low, high), prefix and bitmap of every document.
 
     Of equal sets within a task, only those of a smaller doc_id than any before have the last two.
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[tuple[int, int, int], int] = {}
+        task = TaskContext.get().partitionId()
         for batch in slices_by_bytes(batches, "text"):
             sets = shingle_sets(batch.column(1), words)
             sizes = np.array([s.size for s in sets], np.int64)
@@ -131,16 +133,17 @@ def described_sets(docs: DataFrame, levels: np.ndarray, words: int = WORDS, num:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    pa.array(np.full(batch.num_rows, task, np.int32)),
                     pa.array(sizes),
                     pa.array(low.view(np.int64)),
                     pa.array(high.view(np.int64)),
                     lists(short_keys(np.concatenate(prefixes)), [p.size for p in prefixes], pa.int64()),
                     pa.array(maps, pa.binary()),
                 ],
-                names=["doc_id", "n", "low", "high", "prefix", "bitmap"],
+                names=["doc_id", "task", "n", "low", "high", "prefix", "bitmap"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, low long, high long, prefix array<long>, bitmap binary")
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, task int, n long, low long, high long, prefix array<long>, bitmap binary")
 
 
 # Signature trees --------------------------------------------------------------------------------
@@ -309,11 +312,11 @@ def _stars(ids: np.ndarray, forest: Forest) -> pa.RecordBatch:
 
 
 def grouped_candidates(groups: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Edges a, b that join the sets of groups (key, part_a, part_b) into what may be similar."""
+    """Edges a, b that join the sets (set_id) of groups (key, part_a, part_b) into what may be similar."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _whole_groups(batches, BUFFER_ROWS):
-            ids, first, rows = np.unique(whole.column("rep").to_numpy(), return_index=True, return_inverse=True)
+            ids, first, rows = np.unique(whole.column("set_id").to_numpy(), return_index=True, return_inverse=True)
             chosen = whole.select(["n", "bitmap"]).take(pa.array(first)).combine_chunks()
             members = Members(chosen.column("n").to_numpy(), chosen.column("bitmap").to_pylist())
             forest = Forest(ids.size)
@@ -416,28 +419,35 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     levels = frequency_levels(shingle_histogram(docs, words))
     described = settle(described_sets(docs, levels, words, num, den))
     identity = ["n", "low", "high"]
-    classes = settle(described.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("rep")))
-    chosen = described.filter("bitmap is not null").select(F.col("doc_id").alias("rep"), "n", "prefix", "bitmap")
-    postings = chosen.select(F.explode("prefix").alias("key"), "rep")
+    least_row = [F.min("doc_id").alias("rep"), F.min_by("task", "doc_id").alias("task")]
+    classes = settle(described.filter("n > 0").groupBy(*identity).agg(*least_row).withColumn("set_id", F.xxhash64(*identity)))
+    # One row of every set, however many rows and tasks repeat it: the groups count and hash sets, not rows.
+    standing_row = classes.withColumnRenamed("rep", "doc_id")
+    chosen = described.filter("bitmap is not null").join(standing_row, [*identity, "doc_id", "task"]).select("set_id", "n", "prefix", "bitmap")
+    postings = chosen.select(F.explode("prefix").alias("key"), "set_id")
     shared = settle(repeated_rows(postings))
     least = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
     needed = (F.lit(1) + F.floor(least / F.lit(SHARED))).alias("needed")
-    sizes_of = chosen.groupBy("rep").agg(F.min("n").alias("n")).select("rep", needed)
-    enough = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("have")).join(sizes_of, "rep").filter("have >= needed").select("rep")
-    kept = settle(shared.join(enough, "rep"))
+    enough = shared.groupBy("set_id").agg(F.count(F.lit(1)).alias("have")).join(classes.select("set_id", needed), "set_id").filter("have >= needed").select("set_id")
+    kept = settle(shared.join(enough, "set_id"))
     # Shingles with the very same sets give the same group: the least of them stands for all.
-    same = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"sets{k}") for k in (0, 1)]
+    same = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"sets{k}") for k in (0, 1)]
     lists = kept.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *same).filter("size > 1")
     standing = lists.groupBy("size", "sets0", "sets1").agg(F.min("key").alias("key")).select("key", "size")
-    groups = _parts(kept.join(standing.select("key"), "key"), standing, "key", "rep", GROUP_ROWS).join(chosen.select("rep", "n", "bitmap"), "rep")
+    groups = _parts(kept.join(standing.select("key"), "key"), standing, "key", "set_id", GROUP_ROWS).join(chosen.select("set_id", "n", "bitmap"), "set_id")
     block_of = components(grouped_candidates(groups, num, den))
-    blocks = settle(block_of.select(F.col("node").alias("doc_id"), F.col("root").alias("key")).unionByName(block_of.select(F.col("root").alias("doc_id"), F.col("root").alias("key")).distinct()))
+    in_block = block_of.select(F.col("node").alias("set_id"), F.col("root").alias("key")).unionByName(block_of.select(F.col("root").alias("set_id"), F.col("root").alias("key")).distinct())
+    blocks = settle(in_block.join(classes.select("set_id", F.col("rep").alias("doc_id")), "set_id").select("doc_id", "key").distinct())
 
     weights = blocks.join(described.select("doc_id", "n").distinct(), "doc_id").groupBy("key").agg(F.sum("n").alias("size"))
     # Always dealt, whatever the sizes: the tables of block members grow with the documents.
     texts = docs.select("doc_id", "text").hint("merge").join(blocks, "doc_id")
     links = verified_links(_parts(texts, weights, "key", "doc_id", BLOCK_SHINGLES), words, num, den)
-    roots = components(links)
+    # A doc_id with several sets is one node: it is linked with the class of each.
+    differ = " or ".join(f"min({c}) <> max({c})" for c in identity)
+    several = described.filter("n > 0").groupBy("doc_id").agg(F.expr(differ).alias("several")).filter("several").select("doc_id")
+    own_classes = described.filter("n > 0").select("doc_id", *identity).join(several, "doc_id").join(classes, identity)
+    roots = components(links.unionByName(own_classes.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
 
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*identity, F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("root"))
     joined = described.select("doc_id", *identity).join(of_class, identity, "left")

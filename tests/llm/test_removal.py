@@ -47,6 +47,21 @@ def test_jaccard_components(documents, monkeypatch, group_rows, block_shingles):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute.jaccard_components(rows)
 
 
+def test_jaccard_components_of_doubled_rows(documents):
+    """Every row twice, mostly in other tasks."""
+    rows = near_copies()
+    doubled = documents(rows).unionByName(documents(rows)).repartition(7)
+    found = jaccard.jaccard_components(doubled).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute.jaccard_components(rows + rows)
+
+
+def test_jaccard_components_of_an_id_with_several_texts(documents):
+    rows = near_copies()
+    rows += [(301, rows[40][1]), (301, rows[60][1]), (302, "w1 " + rows[50][1]), (302, rows[70][1] + " w2")]
+    found = jaccard.jaccard_components(documents(rows).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute.jaccard_components(rows)
+
+
 def test_one_of_each_group(documents):
     rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, None), (4, ""), (4, ""), (5, "other words are here to stay"), (None, "x")]
     assert sorted(r.doc_id for r in jaccard.one_of_each_group(documents(rows)).collect()) == [1, 3, 4, 5]
