@@ -1,12 +1,13 @@
 """Best-fit packing into sequences of a fixed size, by patterns fitted with non-negative least squares.
 
 Tokens of every document are cut into pieces of at most `size` ids. Only the histogram of piece
-lengths, in units of `unit` ids rounded up, is planned on the driver: it has size/unit entries
-however many documents there are. Patterns of up to three lengths that fill a sequence exactly
-are enumerated, their repeat counts fitted to the histogram by non-negative least squares,
-rounded down, and what they leave over is packed best-fit, longest first, on counts of equal
-lengths. Spark numbers the pieces of each length across partitions and looks its number up in
-the plan, so no length, however frequent, meets in one task.
+lengths is planned on the driver: it has `size` entries however many documents there are.
+Patterns of up to three lengths that fill a sequence are enumerated in units of `unit` ids rounded
+up, and their repeat counts fitted to the histogram by non-negative least squares, rounded down.
+They are filled with exact lengths; what is left over is packed best-fit, longest first, into the
+room they really leave and into further sequences, on counts of equal lengths. If best fit alone
+takes fewer sequences, its plan is used. Spark numbers the pieces of each length across partitions
+and looks the number up in the plan, so no length, however frequent, meets in one task.
 
 Null and empty texts are documents of the closing id alone. Repeated rows are packed repeatedly;
 they are told apart by nothing but their place. Extra columns are left out. An empty table gives
@@ -16,7 +17,7 @@ an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,91 +107,114 @@ def patterns(units: int, present: np.ndarray, depth: int = DEPTH) -> list[tuple[
     return found
 
 
-def plan_packing(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Which lengths (in units) share a sequence, and in how many sequences; uses up the histogram exactly."""
-    units = histogram.size - 1
+def fitted_patterns(histogram: np.ndarray, unit: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths rounded up to units, the most repeated first, and how often to use each."""
+    size = histogram.size - 1
+    in_units = np.zeros(-(-size // unit) + 1, np.int64)
+    np.add.at(in_units, -(-np.arange(size + 1) // unit), histogram)
+    in_units = in_units[: size // unit + 1]
+    chosen = patterns(in_units.size - 1, in_units > 0)
+    if not chosen:
+        return []
+    matrix = np.zeros((in_units.size, len(chosen)))
+    for k, pattern in enumerate(chosen):
+        for length in pattern:
+            matrix[length, k] += 1
+    scale = max(1.0, float(in_units.max()))
+    repeats = np.floor(fit_non_negative(matrix, in_units / scale) * scale + 1e-6).astype(np.int64)
+    return [(chosen[k], int(repeats[k])) for k in np.argsort(-repeats, kind="stable") if repeats[k]]
+
+
+def filled_sequences(histogram: np.ndarray, fitted: list[tuple[tuple[int, ...], int]], unit: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences of the fitted patterns, each unit by the longest lengths there are of it, and of all lengths left over."""
+    size = histogram.size - 1
     left = histogram.astype(np.int64).copy()
-    plan: list[tuple[tuple[int, ...], int]] = []
-    chosen = patterns(units, left > 0)
-    if chosen:
-        matrix = np.zeros((units + 1, len(chosen)))
-        for k, pattern in enumerate(chosen):
-            for length in pattern:
-                matrix[length, k] += 1
-        scale = max(1.0, float(left.max()))
-        repeats = np.floor(fit_non_negative(matrix, left / scale) * scale + 1e-6).astype(np.int64)
-        for k in np.argsort(-repeats, kind="stable"):
-            times = min([int(repeats[k]), *(int(left[n] // chosen[k].count(n)) for n in set(chosen[k]))])
-            if times > 0:
-                plan.append((chosen[k], times))
-                for length in chosen[k]:
-                    left[length] -= times
-    # The rest, longest first, each into the fullest sequence that still takes it; equal sequences move together.
     by_room: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)
-    rooms = np.zeros(units + 1, np.int64)
+    rooms = np.zeros(size + 1, np.int64)
 
-    def put(room: int, pattern: tuple[int, ...], times: int) -> None:
-        by_room[room][pattern] = by_room[room].get(pattern, 0) + times
+    def put(room: int, lengths: tuple[int, ...], times: int) -> None:
+        by_room[room][lengths] = by_room[room].get(lengths, 0) + times
         rooms[room] += times
 
-    for length in range(units, 0, -1):
+    for pattern, times in fitted:
+        while times:
+            needed: Counter[int] = Counter()
+            for units in pattern:
+                of_unit = range(units * unit, (units - 1) * unit, -1)
+                needed[next((n for n in of_unit if left[n] > needed[n]), 0)] += 1
+            if needed[0]:
+                break
+            used = min(times, *(int(left[n]) // count for n, count in needed.items() if count))
+            lengths = tuple(sorted((+needed).elements(), reverse=True))
+            put(size - sum(lengths), lengths, used)
+            for length in lengths:
+                left[length] -= used
+            times -= used
+    # The rest, longest first, each into the fullest sequence that still takes it; equal sequences move together.
+    for length in range(size, 0, -1):
         waiting = int(left[length])
         while waiting:
-            fitting = np.flatnonzero(rooms[length:])
-            if not fitting.size:
-                fits = units // length
+            fitting = rooms[length:] > 0
+            nearest = int(np.argmax(fitting))
+            if not fitting[nearest]:
+                fits = size // length
                 if waiting >= fits:
-                    put(units - fits * length, (length,) * fits, waiting // fits)
+                    put(size - fits * length, (length,) * fits, waiting // fits)
                     waiting %= fits
                 if waiting:
-                    put(units - waiting * length, (length,) * waiting, 1)
+                    put(size - waiting * length, (length,) * waiting, 1)
                 break
-            room = length + int(fitting[0])
-            pattern, times = next(iter(by_room[room].items()))
+            room = length + nearest
+            lengths, times = next(iter(by_room[room].items()))
             fits = min(room // length, waiting)
             used = min(times, waiting // fits)
-            by_room[room][pattern] -= used
-            if not by_room[room][pattern]:
-                del by_room[room][pattern]
+            by_room[room][lengths] -= used
+            if not by_room[room][lengths]:
+                del by_room[room][lengths]
             rooms[room] -= used
-            put(room - fits * length, pattern + (length,) * fits, used)
+            put(room - fits * length, lengths + (length,) * fits, used)
             waiting -= used * fits
-    return plan + [(pattern, times) for group in by_room.values() for pattern, times in group.items()]
+    return [(lengths, times) for group in by_room.values() for lengths, times in group.items()]
+
+
+def plan_packing(histogram: np.ndarray, unit: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """Which lengths share a sequence, and in how many sequences; uses up the histogram exactly.
+
+    With fitted patterns or by best fit alone, whichever takes fewer sequences.
+    """
+    plans = [filled_sequences(histogram, fitted, unit) for fitted in (fitted_patterns(histogram, unit), [])]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
-def places_by_length(plan: list[tuple[tuple[int, ...], int]], units: int):
-    """Per length: from which number on its pieces go to which sequence, and to which slot there."""
-    taken = np.zeros(units + 1, np.int64)
-    rows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+def places_in_plan(plan: list[tuple[tuple[int, ...], int]], histogram: np.ndarray):
+    """With pieces numbered by length: each length's first number, and from which number on pieces go to which sequence and slot."""
+    firsts = np.cumsum(histogram) - histogram
+    taken = firsts.copy()
+    rows: list[tuple[int, int, int]] = []
     sequence = 0
-    for pattern, times in plan:
-        for slot, length in enumerate(pattern):
-            rows[length].append((int(taken[length]), sequence, slot))
+    for lengths, times in plan:
+        for slot, length in enumerate(lengths):
+            rows.append((int(taken[length]), sequence, slot))
             taken[length] += times
         sequence += times
-    return {length: tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) for length, found in rows.items()}
+    return firsts, *np.array(sorted(rows), np.int64).reshape(-1, 3).T
 
 
 def pack(pieces: DataFrame, size: int = SIZE, unit: int = UNIT) -> DataFrame:
     """Adds sequence_id and offset to pieces that have doc_id, piece and length (1 to `size`)."""
-    units = -(-size // unit)
-    in_units = pieces.withColumn("units", F.ceil(F.col("length") / F.lit(unit)).cast("int"))
-    numbered, counts = numbered_within(in_units, "units", ["doc_id", "piece", "start"], "number")
-    histogram = np.zeros(units + 1, np.int64)
-    for row in counts.collect():  # at most `units` rows
-        histogram[row["units"]] = row["rows"]
-    plan = places_by_length(plan_packing(histogram), units)
+    numbered, counts = numbered_within(pieces, "length", ["doc_id", "piece", "start"], "number")
+    histogram = np.zeros(size + 1, np.int64)
+    for row in counts.collect():  # at most `size` rows
+        histogram[row["length"]] = row["rows"]
+    firsts, starts, bases, slots = places_in_plan(plan_packing(histogram, unit), histogram)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, numbers = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("units", "number"))
-            sequences, slots = np.zeros(lengths.size, np.int64), np.zeros(lengths.size, np.int64)
-            for length in np.unique(lengths):
-                own = np.flatnonzero(lengths == length)
-                starts, bases, places = plan[int(length)]
-                at = np.searchsorted(starts, numbers[own], side="right") - 1
-                sequences[own], slots[own] = bases[at] + numbers[own] - starts[at], places[at]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequences), pa.array(slots)], names=[*batch.schema.names, "sequence_id", "slot"])
+            lengths, numbers = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "number"))
+            among_all = firsts[lengths] + numbers
+            at = np.searchsorted(starts, among_all, side="right") - 1
+            sequences = bases[at] + among_all - starts[at]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequences), pa.array(slots[at])], names=[*batch.schema.names, "sequence_id", "slot"])
 
     schema = numbered.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("slot", F.lit(0).cast("long")).schema
     sequence = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

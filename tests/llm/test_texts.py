@@ -114,6 +114,22 @@ def test_pack_documents(documents):
     assert packing.pack_documents(documents([]), WORDS).count() == 0
 
 
+@pytest.mark.parametrize(
+    "lengths, sequences",
+    [
+        ([1] * 8192, 2),
+        ([17] * 480, 2),
+        ([4095, 4079] * 20 + [1] * 20 + [17] * 20, 40),
+        (np.clip(np.random.Generator(np.random.PCG64(7)).lognormal(5.5, 1, 3000).astype(int), 1, 4096).tolist(), None),
+    ],
+)
+def test_packing_leaves_no_room_by_rounding(spark, lengths, sequences):
+    pieces = spark.createDataFrame([(i, 0, 0, int(n)) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long")
+    found = packing.pack(pieces).collect()
+    assert sorted((r.doc_id, r.length) for r in found) == [*enumerate(lengths)]
+    assert check_packing(found, 4096) == (sequences or -(-sum(lengths) // 4096))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_length_once(seed):
     rng = np.random.Generator(np.random.PCG64(seed))
