@@ -46,6 +46,22 @@ def may_cut(tokenizer) -> bool:
     return not any(t.lstrip or t.rstrip or t.single_word or re.search(r"[\s.,]", t.content) for t in added)
 
 
+def added_leads(tokenizer) -> np.ndarray:
+    """Which bytes begin an added token, in either case. Such tokens are found before the text is lower-cased."""
+    firsts = [LOWER[t.content.encode()[0]] for t in tokenizer.get_added_tokens_decoder().values()]
+    return np.isin(LOWER, firsts)
+
+
+def lowered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """The bytes in lower case, but for pieces in which an added token may begin: those stay as they are."""
+    low = LOWER[data]
+    own = np.unique(np.searchsorted(starts, np.flatnonzero(leads[data]), side="right") - 1)
+    steps = np.zeros(data.size + 1, np.int8)
+    steps[starts[own]] += 1
+    steps[ends[own]] -= 1
+    return np.where(np.cumsum(steps[:-1], dtype=np.int8) > 0, data, low) if own.size else low
+
+
 def spaced_pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every piece, and the first piece of each text, where white space is kept."""
     if not data.size:
@@ -88,7 +104,7 @@ class TokenBook:
 
     def __init__(self, tokenizer, keeps_spaces: bool, with_ids: bool, remembered: int = REMEMBERED):
         self.tokenizer, self.keeps_spaces, self.with_ids, self.remembered = tokenizer, keeps_spaces, with_ids, remembered
-        self.cuts = may_cut(tokenizer)
+        self.cuts, self.leads = may_cut(tokenizer), added_leads(tokenizer)
         self.forget()
 
     def forget(self) -> None:
@@ -102,8 +118,9 @@ class TokenBook:
             return data, bounds[filled], bounds[filled + 1], np.searchsorted(bounds[filled], bounds)
         if self.keeps_spaces:
             return data, *spaced_pieces(data, bounds)
-        data = LOWER[data]  # the tokenizer lower-cases, so this changes nothing but the number of pieces
-        return data, *word_pieces(data, bounds)
+        starts, ends, firsts = word_pieces(data, bounds)
+        # The tokenizer lower-cases too, so this changes nothing but the number of pieces.
+        return lowered(data, starts, ends, self.leads), starts, ends, firsts
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place in the book of every piece."""

@@ -74,6 +74,14 @@ def test_pieces_give_the_tokens_of_whole_texts(path, keeps_spaces):
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
 
 
+def test_special_strings_in_capitals_are_ordinary_text():
+    whole = Tokenizer.from_file(WORDS)
+    texts = ["A <|ENDOFTEXT|> b", "x<|EndOfText|>Y <|endoftext|>Z", "<|StartOfText|>", "A,<|ENDOFTEXT|>.B Plain"]
+    ids, bounds = TokenBook(load_tokenizer(WORDS), False, with_ids=True).encoded(*text_bytes(pa.array(texts)))
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
+
+
 def test_token_counts(documents):
     texts = [None, "", "word " * 3000, "x" * 5000, *strange_texts(200, 2)]
     found = {r.doc_id: r for r in count_tokens(documents(list(enumerate(texts))), BYTES).collect()}
