@@ -1,9 +1,9 @@
-"""Removal of word runs that an earlier document has, over a compacted de Bruijn graph of word k-mers.
+"""Removal of word runs that an earlier document has, by anchored runs of the k-mers of a word de Bruijn graph.
 
 The edges of the graph are the k-mers (`width` successive words); an edge leads on to the k-mer
 one word further. Only edges that may repeat are built: each stretch of k-mers with one anchor
 (see `windows`) is kept if its anchor occurs elsewhere too. Such a stretch is a path, and one
-row stands for all its k-mers; equal paths are aggregated, and joins with the first document of
+row stands for all its k-mers, without a compaction of nonbranching paths by joins; equal paths are aggregated, and joins with the first document of
 each path, and with the anchors that have more than one path, find where the graph branches.
 Where it does not, a path is removed or kept as a whole. Where it does, the first occurrence of
 each path is opened into its edges, read by its coordinates from the document's text, and each
