@@ -8,7 +8,7 @@ curve; windows are merged and ranked by the cosine of the original vectors in do
 The window's width is fitted: for a sample of at most SAMPLE queries the true neighbours are
 found by one scan, and the width is the least that covers TARGET of them on some curve. It
 follows the data, not a fixed count: vectors without any structure need windows that grow with
-their number. `recall` measures the outcome.
+their number. `recall` measures the outcome on queries the width was not fitted to.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from most take no part, as queries or
 candidates. Of more than k + 1 equal vectors only the k + 1 of least id can be in any result, so
@@ -175,9 +175,32 @@ def _on_curves(rows: DataFrame, curves: int) -> DataFrame:
     return rows.mapInArrow(place, f"curve int, key long, vec_id long, embedding {kind}, candidate boolean, query boolean")
 
 
+def _fitting_order() -> list[Column]:
+    """The first queries in this order are the fitting sample."""
+    return [F.xxhash64("vec_id"), F.col("vec_id")]
+
+
+def recall(found: DataFrame, vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPLE, block: int = SAMPLE) -> tuple[int, int, int]:
+    """Of the queries outside the fitting sample: true neighbours found, true neighbours, and queries.
+
+    Every block of at most `block` queries is one scan of the vectors.
+    """
+    known, hits = settle(usable(vectors)), settle(found.select("query_id", "vec_id", F.lit(1).alias("hit")))
+    ordered = settle(known.filter(is_query)).orderBy(*_fitting_order())
+    met = expected = asked = 0
+    while True:
+        chosen = ordered.offset(sample + asked).limit(block).collect()  # at most `block` vectors
+        if not chosen:
+            return met, expected, asked
+        ids = np.array([r["vec_id"] for r in chosen], np.int64)
+        truth = exact_neighbours(known, np.array([r["embedding"] for r in chosen], np.float64), ids, k)
+        row = truth.join(hits, ["query_id", "vec_id"], "left").agg(F.count("hit").alias("met"), F.count(F.lit(1)).alias("expected")).first()
+        met, expected, asked = met + row["met"], expected + row["expected"], asked + len(chosen)
+
+
 def _fitted_reach(numbered: DataFrame, candidates: DataFrame, queries: DataFrame, k: int, sample: int, target: float) -> int:
     """The least window that covers the target share of a sample's true neighbours on some curve."""
-    chosen = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()  # at most `sample` vectors
+    chosen = queries.orderBy(*_fitting_order()).limit(sample).collect()  # at most `sample` vectors
     if not chosen:
         return 1
     ids = np.array([r["vec_id"] for r in chosen], np.int64)

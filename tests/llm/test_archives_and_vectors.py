@@ -106,6 +106,19 @@ def test_nearest_recall_and_scores(spark):
     assert hits >= 0.9 * total
 
 
+def test_recall_outside_the_fitting_sample(spark):
+    rng = np.random.Generator(np.random.PCG64(6))
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    is_query = F.col("vec_id") % 10 == 0
+    found = neighbours.nearest(df, is_query, sample=20)
+    met, expected, asked = neighbours.recall(found, df, is_query, sample=20, block=4)
+    assert (expected, asked) == (50, 10)
+    outside = {r.vec_id for r in df.filter(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").offset(20).collect()}
+    vectors = [(r.vec_id, np.array(r.embedding)) for r in df.collect()]
+    true = {(q, v) for q in outside for _, v in true_neighbours(vectors, q, dict(vectors)[q])}
+    assert met == len(true & {(r.query_id, r.vec_id) for r in found.collect()})
+
+
 def test_nearest_odd_vectors(spark):
     """Copies beyond the sixth, few candidates, and vectors that take no part."""
     nan, inf = float("nan"), float("inf")
