@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import languages, oracles, toxicity
+from credence.llm.curriculum import MIX_SQL, mixed_documents
 from credence.llm.debruijn import remove_repeats
 from credence.llm.decontamination import LEAKS_SQL, leaks
 from credence.llm.jaccard import jaccard_components
@@ -67,6 +68,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed_documents(table(spark, folder, "documents", "doc_id", "text", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_curriculum_mix": op11_curriculum_mix,
 }
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": oracles.JACCARD_SQL,
@@ -85,4 +91,5 @@ SQL: dict[str, str] = {
     "op3_suffix_array_dedup": oracles.COPIED_BYTES_SQL,
     "op4_substring_dedup": oracles.REPEATED_WORDS_SQL,
     "op10_warc": oracles.ARCHIVES_SQL,
+    "op11_curriculum_mix": MIX_SQL,
 }

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -159,3 +159,9 @@ def base32(raw: bytes) -> str:
 def text_crc(column: str):
     """CRC32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def word_count(text: Column) -> Column:
+    """The number of words of a text column, null has none. Every word becomes one letter; blanks in front are left over."""
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+", "w")
+    return F.length(F.translate(letters, " \t\n\x0b\x0c\r", "")).cast("long")
