@@ -13,11 +13,13 @@ from credence.llm.curriculum import MIX_SQL, mixed_documents
 from credence.llm.debruijn import remove_repeats
 from credence.llm.decontamination import LEAKS_SQL, leaks
 from credence.llm.jaccard import jaccard_components
+from credence.llm.negatives import NEGATIVES_SQL, hard_negatives
 from credence.llm.neighbours import nearest
 from credence.llm.packing import pack_documents
 from credence.llm.suffixes import remove_copies
 from credence.llm.textkit import table, text_crc
 from credence.llm.token_counts import count_tokens
+from credence.llm.tries import TRIE_SQL, rebuilt_trie
 from credence.llm.warc import archive_pages
 
 
@@ -72,6 +74,16 @@ def op11_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_documents(table(spark, folder, "documents", "doc_id", "text", "source"))
 
 
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return rebuilt_trie(table(spark, folder, "conversations", "conv_id", "turn", "role", "text")).drop("key", "parent_key")
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, folder, "embeddings", "vec_id", "embedding", "label"), F.col("vec_id") % 50 == 0, moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
     "op11_curriculum_mix": op11_curriculum_mix,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": oracles.JACCARD_SQL,
@@ -92,4 +106,6 @@ SQL: dict[str, str] = {
     "op4_substring_dedup": oracles.REPEATED_WORDS_SQL,
     "op10_warc": oracles.ARCHIVES_SQL,
     "op11_curriculum_mix": MIX_SQL,
+    "op12_conversation_trie": TRIE_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }

@@ -209,4 +209,4 @@ def test_pipeline(spark, tmp_path):
 
 def test_stages_are_the_dealt_ones():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "suffix_array_dedup", "decontamination", "best_fit_packing"]
-    assert [int(n[2:].split("_")[0]) for n in catalog.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in catalog.QUERIES] == list(range(1, 14))
