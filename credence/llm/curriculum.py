@@ -118,7 +118,7 @@ def planned(sizes: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame
     def copy(k: int) -> Column:
         start = F.col("source_size") * k + F.col("ahead")
         words = F.greatest(F.lit(0), F.least(F.col("size"), end - start))
-        return F.struct(F.lit(k).alias("copy"), words.alias("words"), ((start + words / 2) / end).alias("share"))
+        return F.struct(F.lit(k).alias("copy"), words.alias("words"), ((start + words / 2) / F.greatest(end, F.lit(1))).alias("share"))
 
     used = F.filter(F.array(*[copy(k) for k in range(most)]), lambda c: c["words"] > 0)
     return known.withColumn("copies", F.transform(used, lambda c: F.struct(c["copy"].alias("copy"), c["words"].alias("words"), inverse_demand(c["share"]).alias("position"))))

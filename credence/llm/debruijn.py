@@ -11,7 +11,8 @@ edge is joined with the least document that has it. Coordinates of removed paths
 in the spans of their documents, which are taken out of the text itself.
 
 Rows without a doc_id are left out. Null and empty texts have no words, nothing removed and the hash of no bytes. Texts shorter than
-k words are kept whole. Repeated rows of one doc_id remove nothing from each other. Columns
+k words are kept whole. Rows that share a doc_id remove nothing from each other; where their texts differ they are told
+apart by a hash of the text. Columns
 beyond doc_id and text are left out. An empty table gives an empty result.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.repeats import merged_spans, per_document, repeated_rows, short_keys
+from credence.llm.repeats import merged_spans, own_facts, per_document, repeated_rows, several_texts, short_keys
 from credence.llm.textkit import PLACE, U64, mix, shingle_hashes, slices_by_bytes, words_and_hashes
 from credence.llm.windows import window_runs
 from credence.session import settle
@@ -76,50 +77,59 @@ def _paths(column: pa.Array, wanted: pa.Array, width: int, size: int):
 
 
 def repeated_paths(docs: DataFrame, shared: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFrame:
-    """anchor, path, doc_id, start and edges (their number) of each stretch of k-mers whose anchor is shared."""
+    """anchor, path, doc_id, text_key, start and edges (their number) of each stretch of k-mers whose anchor is shared."""
+    # An id with several texts says so beside its keys, with a key that no anchor has.
+    shared = shared.select("key", "doc_id").unionByName(several_texts(docs).select(F.lit(-1).cast("long").alias("key"), "doc_id"))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
             owner, starts, counts, keys, path = _paths(batch.column(1), batch.column(2), width, size)
             ids = batch.column(0).take(pa.array(owner))
-            columns = [pa.array(keys.view(np.int64)), pa.array(path.view(np.int64)), ids, pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "path", "doc_id", "start", "edges"])
+            lengths = batch.column(2).value_lengths().fill_null(0).to_numpy()
+            several = np.zeros(batch.num_rows, bool)
+            several[np.repeat(np.arange(batch.num_rows), lengths)[batch.column(2).flatten().to_numpy() == -1]] = True
+            texts_of = np.where(several, batch.column(3).to_numpy(), 0)[owner]
+            columns = [pa.array(keys.view(np.int64)), pa.array(path.view(np.int64)), ids, pa.array(texts_of), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "path", "doc_id", "text_key", "start", "edges"])
 
-    return per_document(docs, shared, ["key"]).mapInArrow(paths, "anchor long, path long, doc_id long, start int, edges int")
+    return per_document(docs, shared, ["key"]).mapInArrow(paths, "anchor long, path long, doc_id long, text_key long, start int, edges int")
 
 
 def opened_paths(docs: DataFrame, paths: DataFrame, width: int = WIDTH) -> DataFrame:
-    """edge, doc_id, start of every k-mer of the paths, read from the documents' texts."""
+    """edge, doc_id, text_key, start of every k-mer of the paths, read from the documents' texts."""
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
             _, _, _, _, firsts, hashes = words_and_hashes(batch.column(1), lower=False)
             edges = shingle_hashes(hashes, width)
             lengths = batch.column(2).value_lengths().fill_null(0).to_numpy()
-            counts = batch.column(3).flatten().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            places, counts, texts_of = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in (2, 3, 4))
+            mine = (texts_of == 0) | (texts_of == batch.column(5).to_numpy()[row])
+            row, places, counts, texts_of = row[mine], places[mine], counts[mine], texts_of[mine]
             inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            owner = np.repeat(np.repeat(np.arange(batch.num_rows), lengths), counts)
-            starts = np.repeat(batch.column(2).flatten().to_numpy().astype(np.int64), counts) + inner
+            owner = np.repeat(row, counts)
+            starts = np.repeat(places, counts) + inner
             found = edges[starts + firsts[owner]] if starts.size else edges[:0]
-            ids = batch.column(0).take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), ids, pa.array(starts.astype(np.int32))], names=["edge", "doc_id", "start"])
+            columns = [pa.array(found.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(np.repeat(texts_of, counts)), pa.array(starts.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["edge", "doc_id", "text_key", "start"])
 
-    return per_document(docs, paths, ["start", "edges"]).mapInArrow(opened, "edge long, doc_id long, start int")
+    return per_document(docs, paths, ["start", "edges", "text_key"]).mapInArrow(opened, "edge long, doc_id long, text_key long, start int")
 
 
 def removed_spans(docs: DataFrame, paths: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, start, stop (word places) of what an earlier document has."""
+    """doc_id, text_key, start, stop (word places) of what an earlier document has."""
     # A node of the compacted graph is a path with the first document that has it.
     nodes = paths.groupBy("anchor", "path").agg(F.min("doc_id").alias("first_doc"))
     placed = paths.join(nodes, ["anchor", "path"])
     # All of a path is removed in later documents; in the first one, what it shares with other paths where the graph branches.
-    later = placed.filter("doc_id > first_doc").select("doc_id", "start", (F.col("start") + F.col("edges") + F.lit(width - 1)).alias("stop"))
+    later = placed.filter("doc_id > first_doc").select("doc_id", "text_key", "start", (F.col("start") + F.col("edges") + F.lit(width - 1)).alias("stop"))
     branching = nodes.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("anchor")
     first = placed.filter("doc_id = first_doc").join(branching, "anchor")
     opened = opened_paths(docs, first, width)
     least = opened.groupBy("edge").agg(F.min("doc_id").alias("least_doc"))
     earlier = opened.join(least, "edge").filter("least_doc < doc_id")
-    return later.unionByName(earlier.select("doc_id", "start", (F.col("start") + F.lit(width)).alias("stop")))
+    return later.unionByName(earlier.select("doc_id", "text_key", "start", (F.col("start") + F.lit(width)).alias("stop")))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFrame:
@@ -132,10 +142,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> Dat
             for i in range(batch.num_rows):
                 a, b = int(firsts[i]), int(firsts[i + 1])
                 kept = np.ones(b - a, bool)
-                if batch.column(2)[i].is_valid:
-                    spans = (np.array(batch.column(k)[i].values, np.int64) for k in (2, 3))
-                    for start, stop in zip(*merged_spans(*spans), strict=True):
-                        kept[start:stop] = False
+                for start, stop in zip(*merged_spans(*own_facts(batch, i, (2, 3), 4, 5)), strict=True):
+                    kept[start:stop] = False
                 removed[i] = b - a - int(kept.sum())
                 digests.append(_words_digest(data, starts[a:b][kept], ends[a:b][kept]))
             yield pa.RecordBatch.from_arrays(
@@ -146,7 +154,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> Dat
     docs = docs.filter("doc_id is not null")
     shared = settle(repeated_rows(anchor_keys(docs, width, size)))
     spans = removed_spans(docs, repeated_paths(docs, shared, width, size), width)
-    joined = per_document(docs, spans, ["start", "stop"])
+    joined = per_document(docs, spans, ["start", "stop", "text_key"])
     return joined.mapInArrow(rest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from credence.llm.components import Forest, components
 from credence.llm.repeats import repeated_rows, short_keys
@@ -455,6 +456,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The documents, as they are, that are the least of their component; of repeated rows one."""
+    """The documents, as they are, that are the least of their component.
+
+    Of several rows with one doc_id the one whose columns hash least stays, so equal tables give equal results.
+    """
     rest = jaccard_components(docs, words, num, den).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").hint("merge").join(rest, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.filter("doc_id is not null").hint("merge").join(rest, "doc_id", "left_anti").select(*docs.columns)
+    hashed = F.xxhash64(*[f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))])
+    return kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), hashed).alias("row")).select("row.*")

@@ -7,11 +7,11 @@ However frequent a key, no task gets more of its rows than there are map tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.textkit import U64
@@ -94,11 +94,38 @@ def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[fresh], np.append(ends[fresh[1:] - 1], ends[-1])
 
 
+def several_texts(docs: DataFrame) -> DataFrame:
+    """doc_id of the rows that share it but not their text."""
+    text = F.xxhash64("text")
+    return docs.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low <> high").select("doc_id")
+
+
+def text_key() -> Column:
+    """Tells texts of one doc_id apart; never 0, which stands for any text."""
+    own = F.xxhash64("text")
+    return F.when(own == 0, F.lit(1).cast("long")).otherwise(own)
+
+
 def per_document(docs: DataFrame, facts: DataFrame, columns: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and text of every document row, its facts as lists `columns` (null without any), and carried columns.
+    """Text, doc_id, text_key and its facts as lists (null without any) of every document row, then the carried columns.
 
+    Read the result by place: doc_id, text, one list per name in `columns`, text_key, carried. Carried columns may
+    have any name; the others get names that none of them has, in either case.
     A document has no more facts than its text has places, so a list is bounded by its own text.
     Always a left join of the same columns: a plan that joins texts twice deals them once.
     """
-    own = facts.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"_{c}") for c in columns])
-    return docs.select("doc_id", "text", *carried).join(own, "doc_id", "left").select("doc_id", "text", *[f"_{c}" for c in columns], *carried)
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in carried):
+        mark += "_"
+    own = facts.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{mark}{c}") for c in columns])
+    joined = docs.select("doc_id", "text", *carried).join(own, "doc_id", "left")
+    return joined.select("doc_id", "text", *[f"{mark}{c}" for c in columns], text_key().alias(f"{mark}text"), *carried)
+
+
+def own_facts(batch: pa.RecordBatch, row: int, places: Sequence[int], at_key: int, at_text: int) -> list[np.ndarray]:
+    """The facts of one row of `per_document` in the list columns `places`, without those of another text of its doc_id."""
+    if not batch.column(at_key)[row].is_valid:
+        return [np.zeros(0, np.int64) for _ in places]
+    keys = np.array(batch.column(at_key)[row].values, np.int64)
+    mine = (keys == 0) | (keys == batch.column(at_text)[row].as_py())
+    return [np.array(batch.column(k)[row].values, np.int64)[mine] for k in places]

@@ -14,7 +14,9 @@ block; the others are copies as a whole. An anchor with more than `HOT_ROWS` row
 its windows, dealt by their content, so no anchor gathers in one task.
 
 Rows without a doc_id are left out. Null text is empty: no bytes, nothing removed. Texts shorter than `width` are kept whole. doc_id
-names a document: repeated rows of it are the same document and remove nothing from each other.
+names a document: repeated rows of it are the same document and remove nothing from each other. Rows
+that share a doc_id but not their text are told apart by a hash of the text; among them, too, only a
+string that starts at a smaller place is earlier.
 Columns beyond doc_id and text are left out. An empty table gives an empty result.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.repeats import merged_spans, per_document, repeated_rows, short_keys
+from credence.llm.repeats import merged_spans, own_facts, per_document, repeated_rows, several_texts, short_keys
 from credence.llm.textkit import PLACE, U64, mix, run_hashes, slices_by_bytes, text_bytes
 from credence.llm.windows import gram_hashes, window_runs
 from credence.session import settle
@@ -120,7 +122,7 @@ def anchor_keys(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(anchors, "key long, doc_id long")
 
 
-DEALT = "route long, kind byte, anchor long, doc_id long, start int, stop int, text binary"
+DEALT = "route long, kind byte, anchor long, doc_id long, text_key long, start int, stop int, text binary"
 DEALT_NAMES = [f.split()[0] for f in DEALT.split(", ")]
 
 
@@ -128,14 +130,16 @@ def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows:
     """Runs with repeated anchors, and spans already known to be copies."""
     shared = settle(repeated_rows(anchor_keys(docs, width, size)))
     hot = shared.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > hot_rows).select("key", F.lit(True).alias("hot"))
-    marked = shared.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    marked = shared.join(hot, "key", "left").select("key", "doc_id", F.coalesce("hot", F.lit(False)).alias("hot"), F.lit(False).alias("several"))
+    # An id with several texts says so beside its keys; its own key is none of theirs.
+    marked = marked.unionByName(several_texts(docs).select(F.lit(-1).cast("long").alias("key"), "doc_id", F.lit(False).alias("hot"), F.lit(True).alias("several")))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
             data, bounds, (owner, starts, counts, keys) = _runs(batch.column(1), width, size)
             keys = short_keys(keys).view(U64)
-            of_text = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().fill_null(0).to_numpy()).astype(U64) * PLACE[0]
-            known = mix(batch.column(2).flatten().to_numpy().view(U64) + of_text)
+            of_text = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().fill_null(0).to_numpy())
+            known = mix(batch.column(2).flatten().to_numpy().view(U64) + of_text.astype(U64) * PLACE[0])
             opened = known[batch.column(3).flatten().to_numpy(zero_copy_only=False)]
             own = mix(keys + owner.astype(U64) * PLACE[0])
             kept, split = np.isin(own, known), np.isin(own, opened)
@@ -150,16 +154,13 @@ def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows:
             anchors = np.concatenate([keys[whole], hashes[whole.sum() :]])
             ids = batch.column(0).to_numpy()[owners]
             places = heads - bounds[owners]
+            several = np.zeros(batch.num_rows, bool)
+            several[of_text[batch.column(4).flatten().to_numpy(zero_copy_only=False)]] = True
+            texts_of = np.where(several, batch.column(5).to_numpy(), 0)[owners]
             # Equal runs: all but the earliest are copies, and need not travel with their text.
-            order = np.lexsort((places, ids, hashes))
-            first = np.ones(order.size, bool)
-            first[1:] = hashes[order[1:]] != hashes[order[:-1]]
+            order, first, drop = _standing(hashes, ids, places, texts_of)
             kinds = np.empty(order.size, np.int8)
             kinds[order] = np.where(first, RUN, SPAN)
-            # Repeated rows of a document are not copies of it.
-            lead = np.maximum.accumulate(np.where(first, np.arange(order.size), 0))
-            drop = np.zeros(order.size, bool)
-            drop[order] = ~first & (ids[order] == ids[order[lead]]) & (places[order] == places[order[lead]])
             rows = np.flatnonzero(~drop)
             raw = data.tobytes()
             texts = [raw[a:b] if k == RUN else None for a, b, k in zip(heads[rows].tolist(), stops[rows].tolist(), kinds[rows].tolist(), strict=True)]
@@ -170,6 +171,7 @@ def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows:
                     pa.array(kinds[rows]),
                     pa.array(anchors[rows].view(np.int64)),
                     pa.array(ids[rows], pa.int64()),
+                    pa.array(texts_of[rows], pa.int64()),
                     pa.array(places[rows].astype(np.int32)),
                     pa.array((stops - bounds[owners])[rows].astype(np.int32)),
                     pa.array(texts, pa.binary()),
@@ -177,24 +179,36 @@ def dealt_runs(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows:
                 names=DEALT_NAMES,
             )
 
-    return per_document(docs, marked, ["key", "hot"], carried).mapInArrow(runs, DEALT)
+    return per_document(docs, marked, ["key", "hot", "several"], carried).mapInArrow(runs, DEALT)
 
 
-def block_spans(anchors: np.ndarray, ids: np.ndarray, starts: np.ndarray, texts: list[bytes], width: int = WIDTH):
-    """doc_id, start and stop of the copies among runs, all of whose anchors are here in full."""
+def _standing(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, texts_of: np.ndarray):
+    """Order of runs by content and place; which of them stand, and which, in their own order, are another's very same row.
+
+    Of equal runs the earliest stands, once for every text of its doc_id that has it there.
+    """
+    order = np.lexsort((texts_of, starts, ids, hashes))
+    fresh = np.ones(order.size, bool)
+    fresh[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    lead = order[np.maximum.accumulate(np.where(fresh, np.arange(order.size), 0))]
+    beside = ~fresh & (ids[order] == ids[lead]) & (starts[order] == starts[lead])
+    other_text = np.zeros(order.size, bool)
+    other_text[1:] = texts_of[order[1:]] != texts_of[order[:-1]]
+    same = np.zeros(order.size, bool)
+    same[order] = beside & ~other_text
+    return order, fresh | (beside & other_text), same
+
+
+def block_spans(anchors: np.ndarray, ids: np.ndarray, texts_of: np.ndarray, starts: np.ndarray, texts: list[bytes], width: int = WIDTH):
+    """doc_id, text_key, start and stop of the copies among runs, all of whose anchors are here in full."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     heads = ends - sizes
-    hashes = run_hashes(data, heads, ends)
-    order = np.lexsort((starts, ids, hashes))
-    first = np.ones(order.size, bool)
-    first[1:] = hashes[order[1:]] != hashes[order[:-1]]
-    lead = order[np.maximum.accumulate(np.where(first, np.arange(order.size), 0))]
+    order, first, same = _standing(run_hashes(data, heads, ends), ids, starts, texts_of)
     copies = order[~first]
-    leaders = lead[~first]
-    copies = copies[(ids[copies] != ids[leaders]) | (starts[copies] != starts[leaders])]
-    spans = [(ids[copies], starts[copies], starts[copies] + sizes[copies])]
+    copies = copies[~same[copies]]
+    spans = [(ids[copies], texts_of[copies], starts[copies], starts[copies] + sizes[copies])]
     kept = order[first]
     # Only anchors with several different runs leave anything to sort.
     _, inverse, ways = np.unique(anchors[kept], return_inverse=True, return_counts=True)
@@ -224,27 +238,27 @@ def block_spans(anchors: np.ndarray, ids: np.ndarray, starts: np.ndarray, texts:
             fresh[1:] = (copied[1:] != copied[:-1] + 1) | (row[copied[1:]] != row[copied[:-1]])
             a = np.flatnonzero(fresh)
             b = np.append(a[1:] - 1, copied.size - 1)
-            doc, base = ids[kept][row[copied[a]]], starts[kept][row[copied[a]]]
-            spans.append((doc, base + step[copied[a]], base + step[copied[b]] + width))
+            of = kept[row[copied[a]]]
+            spans.append((ids[of], texts_of[of], starts[of] + step[copied[a]], starts[of] + step[copied[b]] + width))
     return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
 
 
 def copied_spans(dealt: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, start, stop (bytes) of every string of `width` bytes or more that starts earlier too."""
+    """doc_id, text_key, start, stop (bytes) of every string of `width` bytes or more that starts earlier too."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         held_bytes = 0
 
-        def out(doc, start, stop):
-            columns = [pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "stop"])
+        def out(doc, text_of, start, stop):
+            columns = [pa.array(doc, pa.int64()), pa.array(text_of, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "start", "stop"])
 
         def block() -> Iterator[pa.RecordBatch]:
             if held:
                 whole = pa.Table.from_batches(held).combine_chunks()
-                anchors, ids, starts = (whole.column(c).to_numpy() for c in ("anchor", "doc_id", "start"))
-                found = block_spans(anchors, ids, starts.astype(np.int64), whole.column("text").to_pylist(), width)
+                anchors, ids, texts_of, starts = (whole.column(c).to_numpy() for c in ("anchor", "doc_id", "text_key", "start"))
+                found = block_spans(anchors, ids, texts_of, starts.astype(np.int64), whole.column("text").to_pylist(), width)
                 if found[0].size:
                     yield out(*found)
                 held.clear()
@@ -255,11 +269,11 @@ def copied_spans(dealt: DataFrame, width: int = WIDTH) -> DataFrame:
             kinds = batch.column(1).to_numpy()
             cut = int(np.searchsorted(kinds, RUN))  # sorted: spans come first
             if cut:
-                yield batch.slice(0, cut).select(["doc_id", "start", "stop"])
+                yield batch.slice(0, cut).select(["doc_id", "text_key", "start", "stop"])
             rest = batch.slice(cut)
             anchors = rest.column(2).to_numpy()
             edges = [0, *(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1).tolist(), anchors.size] if anchors.size else []
-            bytes_to = np.cumsum((rest.column(5).to_numpy() - rest.column(4).to_numpy()).astype(np.int64)) if anchors.size else None
+            bytes_to = np.cumsum((rest.column(6).to_numpy() - rest.column(5).to_numpy()).astype(np.int64)) if anchors.size else None
             begun = 0
             last = int(held[-1].column(2)[-1].as_py()) if held else None
             for a in edges[:-1]:
@@ -275,7 +289,7 @@ def copied_spans(dealt: DataFrame, width: int = WIDTH) -> DataFrame:
                 held_bytes += int(bytes_to[-1]) - int(bytes_to[begun - 1] if begun else 0)
         yield from block()
 
-    return dealt.repartition("route").sortWithinPartitions("kind", "anchor").mapInArrow(spans, "doc_id long, start int, stop int")
+    return dealt.repartition("route").sortWithinPartitions("kind", "anchor").mapInArrow(spans, "doc_id long, text_key long, start int, stop int")
 
 
 def kept_bytes(text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -286,16 +300,14 @@ def kept_bytes(text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
 
 
 def _without_copies(docs: DataFrame, carried: tuple[str, ...], width: int, size: int, hot_rows: int) -> DataFrame:
-    """doc_id, text, lists of starts and stops of copied strings, and the carried columns."""
+    """doc_id, text, lists of starts, stops and text keys of copied strings, the text's own key, and the carried columns."""
     docs = docs.filter("doc_id is not null")
     spans = copied_spans(dealt_runs(docs, width, size, hot_rows, carried), width)
-    return per_document(docs, spans, ["start", "stop"], carried)
+    return per_document(docs, spans, ["start", "stop", "text_key"], carried)
 
 
 def _spans(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
-    if not batch.column(2)[row].is_valid:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return merged_spans(*(np.array(batch.column(k)[row].values, np.int64) for k in (2, 3)))
+    return merged_spans(*own_facts(batch, row, (2, 3), 4, 5))
 
 
 def remove_copies(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -332,7 +344,7 @@ def without_copies(docs: DataFrame, width: int = WIDTH, size: int = GRAM, hot_ro
             for i, known in enumerate(batch.column(1).is_valid().to_pylist()):
                 kept = kept_bytes(data[bounds[i] : bounds[i + 1]], *_spans(batch, i))
                 texts.append(kept.tobytes().decode("utf-8", "ignore") if known else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], names=["doc_id", "text", *carried])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[6:]], names=["doc_id", "text", *carried])
 
     columns = ["doc_id", "text", *carried]
     cleaned = _without_copies(docs, carried, width, size, hot_rows).mapInArrow(rest, docs.select(*columns).schema)

@@ -6,8 +6,8 @@ than space and \\x09-\\x0D.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-# Random odd multipliers: one per byte value, one per word place in a shingle, one base for runs of bytes.
+# Random odd multipliers: one per byte value, one per word place in a shingle, one base for short runs of bytes.
 BYTE_VALUE = _RNG.integers(0, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
 PLACE = _RNG.integers(0, 1 << 63, 64, dtype=U64) * U64(2) + U64(1)
 BASE = int(_RNG.integers(0, 1 << 63, dtype=U64)) * 2 + 1
 INVERSE = pow(BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+
+# Hashes of runs of any length are polynomials modulo a prime, in two lanes with a base each. A modulus
+# of 2^64 would not do: there some different strings collide whatever the base.
+PRIME = (1 << 31) - 1
+LANE_VALUES = _RNG.integers(1, PRIME, (2, 256), dtype=U64)
+LANE_BASES = [int(x) for x in _RNG.integers(1 << 20, PRIME, 2)]
+# Bytes are summed in stretches of this size, so tables of powers and sums stay small beside any text.
+STRETCH = 1 << 19
 
 
 # Arrow batches between Spark and Python hold about so many bytes, whatever the rows.
@@ -49,26 +56,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 … base**(n-1) modulo 2**64, kept for the next batch."""
-    known = _POWERS.get(base)
-    if known is None or known.size < n:
-        size = max(n, 1 << 16)
-        known = np.ones(size, U64)
-        done = 1
-        while done < size:
-            take = min(done, size - done)
-            known[done : done + take] = known[:take] * U64(pow(base, done, 1 << 64))
-            done += take
-        _POWERS[base] = known
-    return known[:n]
+@lru_cache(maxsize=None)
+def powers(base: int, modulus: int = 1 << 64) -> np.ndarray:
+    """base**0 … base**STRETCH modulo 2**64 or the prime."""
+    known, done = np.ones(STRETCH + 1, U64), 1
+    while done < known.size:
+        take = min(done, known.size - done)
+        step = known[:take] * U64(pow(base, done, modulus))
+        known[done : done + take] = step if modulus == 1 << 64 else step % U64(modulus)
+        done += take
+    return known if modulus == 1 << 64 else known.astype(np.uint32)
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs [start, end); equal runs have equal hashes wherever they lie."""
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**63 modulo the prime, in 0 … PRIME - 1."""
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def _lane(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+    """Polynomials of runs [start, end) of at most STRETCH bytes of data, from the start on."""
+    base = LANE_BASES[lane]
+    terms = LANE_VALUES[lane][data] * powers(base, PRIME)[: data.size]
     sums = np.zeros(data.size + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * _powers(BASE, data.size), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(INVERSE, data.size + 1)[starts] + (ends - starts).astype(U64))
+    np.cumsum((terms & U64(PRIME)) + (terms >> U64(31)), out=sums[1:])
+    return _folded(_folded(sums[ends] - sums[starts]) * powers(pow(base, -1, PRIME), PRIME)[starts])
+
+
+def _stretched_lane(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+    """The same for data of any size: what each stretch holds of a run is moved to its place and added."""
+    base = LANE_BASES[lane]
+    total = np.zeros(starts.size, U64)
+    for at in range(0, data.size, STRETCH):
+        inside = np.flatnonzero((starts < at + STRETCH) & (ends > at))
+        if not inside.size:
+            continue
+        own, begun = starts[inside], np.maximum(starts[inside] - at, 0)
+        part = _lane(data[at : at + STRETCH], begun, np.minimum(ends[inside] - at, min(STRETCH, data.size - at)), lane)
+        ahead = np.maximum(at - own, 0)
+        whole, rest = np.divmod(ahead, STRETCH)
+        leaps = np.array([pow(base, STRETCH * k, PRIME) for k in range(int(whole.max()) + 1)], U64)
+        moved = _folded(_folded(part * powers(base, PRIME)[rest]) * leaps[whole])
+        total[inside] = _folded(total[inside] + moved)
+    return total
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs [start, end); equal runs have equal hashes wherever they lie.
+
+    Two lanes of 31 bits: different runs of n bytes collide with a chance below (n / 2^31)^2 over the choice of bases.
+    """
+    lane = _lane if data.size <= STRETCH else _stretched_lane
+    high, low = (lane(data, starts, ends, k) for k in (0, 1))
+    return mix(((high << U64(32)) | low) + (ends - starts).astype(U64) * PLACE[0])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,21 +163,6 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def sliding_min_places(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` successive values, the place of its least one (leftmost of equals)."""
-    count = values.size - width + 1
-    if count <= 0:
-        return np.zeros(0, np.int64)
-    places = np.arange(values.size)
-    span = 1
-    while span < width:
-        step = min(span, width - span)
-        left, right = places[: places.size - step], places[step:]
-        places = np.where(values[right] < values[left], right, left)
-        span += step
-    return places
-
-
 def words_and_hashes(column: pa.Array, lower: bool):
     """Bytes, text bounds, word starts, word ends, first word per text, and the hash of every word."""
     data, bounds = text_bytes(column)
@@ -152,10 +178,6 @@ def lists(values: np.ndarray, counts, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def base32(raw: bytes) -> str:
-    return base64.b32encode(raw).decode("ascii")
-
-
 def text_crc(column: str):
     """CRC32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from credence.llm.textkit import BASE, BYTE_VALUE, INVERSE, U64, _powers, mix
+from credence.llm.textkit import BASE, BYTE_VALUE, INVERSE, STRETCH, U64, mix, powers
 
 PLACE_BITS = 26
 
@@ -36,13 +36,20 @@ def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of `size` successive bytes from each place on."""
+    """Hash of `size` successive bytes from each place on, a stretch at a time.
+
+    It chooses anchors only: grams that collide cost a comparison and change no result.
+    """
     count = max(0, data.size - size + 1)
-    if not count:
-        return np.zeros(0, U64)
-    sums = np.zeros(data.size + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * _powers(BASE, data.size), out=sums[1:])
-    return mix((sums[size:] - sums[:count]) * _powers(INVERSE, count))
+    hashes = np.empty(count, U64)
+    step = STRETCH - size
+    for at in range(0, count, step):
+        own = data[at : at + step + size - 1]
+        sums = np.zeros(own.size + 1, U64)
+        np.cumsum(BYTE_VALUE[own] * powers(BASE)[: own.size], out=sums[1:])
+        here = own.size - size + 1
+        hashes[at : at + here] = mix((sums[size:] - sums[:here]) * powers(INVERSE)[:here])
+    return hashes
 
 
 def window_runs(grams: np.ndarray, bounds: np.ndarray, width: int, size: int):

@@ -8,7 +8,7 @@ def documents(spark):
 
     def make(rows):
         made = spark.createDataFrame(rows, "doc_id long, text string")
-        clashes = ("key", "route", "start", "stop", "prefix", "rep", "n", "words", "seed", "number", "units", "score")
+        clashes = ("key", "route", "start", "stop", "prefix", "rep", "n", "words", "seed", "number", "units", "score", "row", "_start", "_STOP", "_key", "_hot", "_text", "__start")
         return made.select("*", *[F.lit(None).cast("string").alias(c) for c in clashes])
 
     return make

@@ -1,11 +1,13 @@
 """Jaccard join, suffix sorting and de Bruijn removal against brute force."""
 
 import random
+import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from credence.llm import debruijn, jaccard, suffixes
+from credence.llm import debruijn, jaccard, suffixes, textkit, windows
 from credence.llm.components import components
 from credence.llm.repeats import merged_spans, repeated_rows
 
@@ -128,6 +130,62 @@ def test_repeated_words(documents):
     assert found == brute.without_repeated_words(rows)
 
 
+def shared_ids():
+    """Ids with several texts: long and short ones, equal parts at equal and other places, copies of and for other ids."""
+    rng = random.Random(11)
+    parts = [" ".join(rng.choices(string.ascii_lowercase, k=90)) for _ in range(6)]
+    words = lambda *p: " ".join(parts[i] for i in p)
+    return [
+        (1, words(0, 1)), (2, words(2, 0)), (2, "only few words"), (2, words(1, 3)), (2, words(2, 0)), (3, words(3)), (3, words(3, 4)), (3, words(5, 3)),
+        (4, words(4)), (4, None), (4, ""), (5, words(5, 5)), (5, words(0, 5)),
+    ]
+
+
+def test_ids_with_several_texts(documents):
+    rows = shared_ids()
+    for hot_rows in (suffixes.HOT_ROWS, 3):
+        found = sorted(set(map(tuple, suffixes.remove_copies(documents(rows), hot_rows=hot_rows).collect())))
+        assert found == sorted({r[:5] for r in brute.without_copied_bytes(rows)})
+    assert sorted(map(tuple, debruijn.remove_repeats(documents(rows)).collect())) == brute.without_repeated_words(rows)
+    expected = {(r[0], r[1], r[5].decode("utf-8", "ignore")) for r in brute.without_copied_bytes([r for r in rows if r[1]])}
+    cleaned = suffixes.without_copies(documents([r for r in rows if r[1]]).withColumn("n", F.octet_length("text").cast("string"))).collect()
+    assert {(r.doc_id, int(r.n), r.text) for r in cleaned} == expected
+
+
+def test_one_row_of_an_id_with_several_texts(documents):
+    rows = [(7, f"text number {i} of the same document") for i in range(40)]
+    kept = {jaccard.one_of_each_group(documents(r).repartition(n)).collect()[0].text for r, n in ((rows, 3), (rows[::-1], 7), (rows * 2, 5))}
+    assert len(kept) == 1
+
+
+def test_words_that_collide_modulo_powers_of_two(documents):
+    """Thue-Morse words: any polynomial modulo 2^64 gives both the same hash."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    lead = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{lead} {word}"), (2, f"{lead} {other}")]
+    assert [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(documents([(1, word), (2, other)])).orderBy("doc_id").collect()] == [(1, 1), (2, 2)]
+    assert sorted(map(tuple, debruijn.remove_repeats(documents(rows)).collect())) == brute.without_repeated_words(rows)
+
+
+def test_run_hashes_in_stretches(monkeypatch):
+    """Sums over stretches and over the whole give the same hashes."""
+    rng = np.random.default_rng(12)
+    data = rng.integers(0, 256, 20_000).astype(np.uint8)
+    data[15_000:16_000] = data[50:1050]
+    starts = np.append(np.sort(rng.integers(0, 20_000, 500)), [50, 15_000])
+    ends = np.append(np.minimum(20_000, starts[:-2] + rng.integers(0, 9_000, 500)), [1050, 16_000])
+    whole = textkit.run_hashes(data, starts, ends)
+    grams = windows.gram_hashes(data, 32)
+    assert whole[-1] == whole[-2]
+    monkeypatch.setattr(textkit, "STRETCH", 512)
+    monkeypatch.setattr(windows, "STRETCH", 512)
+    textkit.powers.cache_clear()
+    assert (textkit.run_hashes(data, starts, ends) == whole).all()
+    assert (windows.gram_hashes(data, 32) == grams).all()
+    textkit.powers.cache_clear()
+
+
 def test_rows_without_id_are_left_out(documents):
     rows = [(None, LONG), (1, LONG), (2, LONG)]
     assert sorted(r.n_removed for r in suffixes.remove_copies(documents(rows)).collect()) == [0, len(LONG.encode())]

@@ -82,6 +82,17 @@ def test_special_strings_in_capitals_are_ordinary_text():
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
 
 
+def test_texts_that_collide_modulo_powers_of_two(documents):
+    """Thue-Morse texts and their mirrors, which a polynomial modulo 2^64 cannot tell apart."""
+    pairs = [("".join((x, y)[i.bit_count() % 2] for i in range(2048)), "".join((y, x)[i.bit_count() % 2] for i in range(2048))) for x, y in ("ab", "th", "in", "er", "on")]
+    texts = [t for pair in pairs for t in pair]
+    whole = Tokenizer.from_file(BYTES)
+    expected = [len(whole.encode(t, add_special_tokens=False)) for t in texts]
+    assert expected[::2] != expected[1::2]
+    found = count_tokens(documents(list(enumerate(texts))), BYTES).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in found] == expected
+
+
 def test_token_counts(documents):
     texts = [None, "", "word " * 3000, "x" * 5000, *strange_texts(200, 2)]
     found = {r.doc_id: r for r in count_tokens(documents(list(enumerate(texts))), BYTES).collect()}
