@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from credence.config import EDGE_TYPES
 from credence.functions.columns import chunk_node_id
+from credence.operators.adjacency import Adjacency, reach_stored, store_adjacency
 from credence.operators.grouping import spread_join
-from credence.session import settle, settle_counted
 
 CHUNK_SCORE = 1.0
 DOCUMENT_SCORE = 0.8
@@ -61,20 +61,6 @@ def belongs_to_edges(chunks: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(edges: DataFrame, edge_types: Sequence[str] = tuple(EDGE_TYPES)) -> DataFrame:
-    """Each allowed edge in both directions, so an undirected step is a plain equi-join."""
-    ways = F.array(
-        F.struct(F.col("source_node_id").alias("node_id"), F.col("target_node_id").alias("neighbour")),
-        F.struct(F.col("target_node_id").alias("node_id"), F.col("source_node_id").alias("neighbour")),
-    )
-    return (
-        edges.filter(F.col("edge_type").isin(*edge_types))
-        .filter(F.col("source_node_id") != F.col("target_node_id"))
-        .select(F.explode(ways).alias("w"))
-        .select("w.*")
-    )
-
-
 def seed_nodes(seeds: DataFrame) -> DataFrame:
     """(query_id, node_id) of the retrieved chunks; chunks without an external id are no seeds."""
     return (
@@ -85,44 +71,31 @@ def seed_nodes(seeds: DataFrame) -> DataFrame:
 
 
 def reach(
-    seeds: DataFrame, edges: DataFrame, hops: int = 1, edge_types: Sequence[str] = tuple(EDGE_TYPES)
+    seeds: DataFrame, edges: DataFrame | Adjacency, hops: int = 1, edge_types: Sequence[str] = tuple(EDGE_TYPES)
 ) -> DataFrame:
     """(query_id, node_id, depth): everything within `hops` undirected steps, seeds at depth 0.
 
-    Breadth-first over all queries at once. Each step joins the newest nodes only and
-    drops what the query has seen, so a node comes once per query, at its least depth.
-    Hubs are split over tasks by their edges, nodes many queries stand on by the queries.
+    Breadth-first over all queries at once, a node once per query at its least depth. `edges` is an
+    edge list, which is stored both ways first, or an adjacency stored before with the edge types wanted.
     """
-    start = seeds.select("query_id", "node_id").distinct()
-    adjacent = neighbours(edges, edge_types)
-    if hops > 1:
-        start = settle(start)
-    ends = adjacent.select("node_id")
-    rows = 2 * edges.count()
-    found = start.withColumn("depth", F.lit(0))
-    frontier = start
-    for depth in range(1, hops + 1):
-        step = (
-            spread_join(adjacent, frontier, "node_id", ["neighbour"], small_id=["query_id"], weigh=ends, rows=rows)
-            .select("query_id", F.col("neighbour").alias("node_id"))
-            .distinct()
-        )
-        frontier = step.join(found.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
-        if depth < hops:
-            frontier = settle(frontier)
-        found = found.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return found
+    return _reach(seeds, edges, hops, edge_types)[0]
+
+
+def _reach(seeds: DataFrame, edges: DataFrame | Adjacency, hops: int, edge_types: Sequence[str]) -> tuple[DataFrame, int]:
+    if hops and not isinstance(edges, Adjacency):
+        edges = store_adjacency(edges, edge_types)
+    return reach_stored(seeds, edges, hops)
 
 
 def expand(
     seeds: DataFrame,
     nodes: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | Adjacency,
     hops: int = 1,
     edge_types: Sequence[str] = tuple(EDGE_TYPES),
 ) -> DataFrame:
     """Reached nodes with their attributes; ids the node table lacks are walked through but not returned."""
-    found, rows = settle_counted(reach(seeds, edges, hops, edge_types))
+    found, rows = _reach(seeds, edges, hops, edge_types)
     about = nodes.select("node_id", "node_type", "label", "ref_table", "ref_id")
     return spread_join(found, about, "node_id", ["query_id"], rows=rows).select(
         "query_id", "node_id", "node_type", "label", "ref_table", "ref_id", "depth"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from credence.config import CITED_NODE_TYPES, RISK_COLUMNS, RetrievalSettings, RiskSettings
 from credence.functions import guard
 from credence.functions.risk import risk_codes
+from credence.operators.adjacency import Adjacency, store_adjacency
 from credence.operators.graph import expand, graph_chunks, seed_nodes
 from credence.operators.grouping import grouped_rank, spread_join
 from credence.operators.ranking import accessible, merge_context, rerank
@@ -62,18 +63,18 @@ class Corpus:
     document: DataFrame  # document_id, external_id, title
     embedding: DataFrame  # chunk_id, embedding
     nodes: DataFrame
-    edges: DataFrame
+    edges: DataFrame | Adjacency  # stored once as an adjacency, edges serve many tables of requests
     features: DataFrame | None = None
 
     @staticmethod
-    def from_store(store, features: DataFrame | None = None) -> Corpus:
+    def from_store(store, features: DataFrame | None = None, edge_types=RetrievalSettings.edge_types) -> Corpus:
         external = F.col("metadata")["external_id"].alias("external_id")
         return Corpus(
             store.read("chunk").select("chunk_id", "document_id", external, "chunk_text", "allowed_roles"),
             store.read("document").select("document_id", external, "title"),
             store.read("chunk_embedding").select("chunk_id", "embedding"),
             store.read("graph_node"),
-            store.read("graph_edge"),
+            store_adjacency(store.read("graph_edge"), edge_types),
             features,
         )
 

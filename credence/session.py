@@ -63,6 +63,12 @@ def settled_scope(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_at_end(folder: str) -> None:
+    """Has the innermost open scope delete a folder, too."""
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared checkpoint folder and go on from the files.
 
@@ -77,8 +83,7 @@ def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """`settle`, and the number of rows, which the write counts in passing."""
     spark, seen = df.sparkSession, Observation()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    forget_at_end(path)
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
     settled, rows = spark.read.schema(df.schema).parquet(path), seen.get["rows"]
     # A folder that executors do not share would lose rows without an error.

@@ -92,7 +92,7 @@ union
 select w.query_id, b.neighbour, w.depth + 1 from {{walk}} w join both_ways b on b.node_id = w.node_id where w.depth < {hops}"""
 
 
-for _name, _seeds, _hops in (("walk_1", "asked_seeds", 1), ("walk_2", "asked_seeds", 2), ("walk_hits", "hit_seeds", 1)):
+for _name, _seeds, _hops in (("walk_1", "asked_seeds", 1), ("walk_2", "asked_seeds", 2), ("walk_3", "asked_seeds", 3), ("walk_hits", "hit_seeds", 1)):
     SQL_STEPS[_name] = ([_seeds, "both_ways"], _walk_sql(_seeds, _hops).replace("{walk}", _name))
 
 SQL_STEPS["hit_seeds"] = (
@@ -115,7 +115,7 @@ select r.query_id, c.chunk_id, 2, cast(0.8 as double) from {reached} r join doc_
 join chunk_ref c on c.document_id = d.document_id where r.node_type = 'Document'"""
 
 
-for _walk in ("walk_1", "walk_2", "walk_hits"):
+for _walk in ("walk_1", "walk_2", "walk_3", "walk_hits"):
     SQL_STEPS["reached_" + _walk[5:]] = ([_walk, "node_ref"], _reached_sql(_walk))
     SQL_STEPS["found_" + _walk[5:]] = (["reached_" + _walk[5:], "chunk_ref", "doc_ref"], _found_sql("reached_" + _walk[5:]))
 
@@ -365,7 +365,7 @@ def retrieved(t: Tables) -> DataFrame:
 
 def _asked_reach(t: Tables, hops: int) -> DataFrame:
     seeds = t.ask_ref.select("query_id", F.concat(F.lit("c"), F.col("vector_id").cast("string"), F.lit("_0")).alias("external_id"))
-    return expand(seed_nodes(seeds), t.node_ref, t.edge_ref, hops)
+    return expand(seed_nodes(seeds), t.node_ref, t.adjacency, hops)
 
 
 REACHED = ["query_id", "node_id", "node_type", "label", "depth"]
@@ -381,6 +381,11 @@ def graph_expand_2(t: Tables) -> DataFrame:
     return _asked_reach(t, 2).select(*REACHED)
 
 
+@query("graph_expand_3", ["reached_3"], f"select {', '.join(REACHED)} from reached_3")
+def graph_expand_3(t: Tables) -> DataFrame:
+    return _asked_reach(t, 3).select(*REACHED)
+
+
 @query("graph_chunks", ["found_1"], "select query_id, chunk_id, stage, graph_score from found_1")
 def found_chunks(t: Tables) -> DataFrame:
     return graph_chunks(_asked_reach(t, 1), t.chunk_ref.select("chunk_id", "document_id", "external_id"), t.doc_ref)
@@ -393,7 +398,7 @@ def _merged(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     hits = settle(_hits(t))
     thin = t.chunk_ref.select("chunk_id", "document_id", "external_id")
     named = spread_join(hits, thin.select("chunk_id", "external_id"), "chunk_id", ["query_id"])
-    reached = settle(expand(seed_nodes(named), t.node_ref, t.edge_ref, 1))
+    reached = settle(expand(seed_nodes(named), t.node_ref, t.adjacency, 1))
     return hits, reached, merge_context(hits, graph_chunks(reached, thin, t.doc_ref))
 
 

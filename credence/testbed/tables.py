@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.config import RiskSettings
+from credence.operators.adjacency import Adjacency, store_adjacency
 from credence.operators.documents import roles_for, split_documents
 from credence.plans.ask import Corpus
 from credence.session import settle
@@ -184,6 +185,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._stored: dict[str, DataFrame] = {}
+        self._adjacency: Adjacency | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
@@ -222,7 +224,15 @@ class Tables:
             out.append((year, rows))
         return out
 
+    @property
+    def adjacency(self) -> Adjacency:
+        if self._adjacency is None:
+            # Written straight from the view: the edge list itself need not be stored for it.
+            inputs, text = VIEWS["edge_ref"]
+            self._adjacency = store_adjacency(self.spark.sql(text, **{n: getattr(self, n) for n in inputs}))
+        return self._adjacency
+
     def corpus(self, features: DataFrame | None = None) -> Corpus:
         return Corpus(
-            self.chunk_ref, self.doc_ref, self.chunk_embedding_ref, self.node_ref, self.edge_ref, features
+            self.chunk_ref, self.doc_ref, self.chunk_embedding_ref, self.node_ref, self.adjacency, features
         )

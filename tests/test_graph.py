@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from credence.operators import grouping
-from credence.operators.graph import expand, graph_chunks, neighbours, reach, seed_nodes
+from credence.operators import adjacency, grouping
+from credence.operators.adjacency import both_ways, frontier_filter, open_adjacency, reach_stored, store_adjacency
+from credence.operators.graph import expand, graph_chunks, reach, seed_nodes
 from credence.sources.seeds import demo_bundle
 
 INN = "7700000001"
@@ -84,10 +85,11 @@ def test_unknown_seed_is_walked_but_not_returned(spark, demo):
     assert ids(expand(seeds(spark, "lost"), demo["graph_nodes"], edges)) == {"document:law_001"}
 
 
-@pytest.mark.parametrize("rows_per_task", [5, 1_000_000])
-def test_breadth_first_equals_path_search(spark, monkeypatch, rows_per_task):
-    """A hub graph with cycles, loops and double edges, against paths listed one by one."""
+@pytest.mark.parametrize("rows_per_task, filtered_rows", [(5, 1), (1, 1_000_000), (1_000_000, 1_000_000)])
+def test_breadth_first_equals_path_search(spark, monkeypatch, rows_per_task, filtered_rows):
+    """A hub graph with cycles, loops and double edges, against paths listed one by one; with hubs and frontiers cut, and edges filtered."""
     monkeypatch.setattr(grouping, "ROWS_PER_TASK", rows_per_task)
+    monkeypatch.setattr(adjacency, "FILTERED_ROWS", filtered_rows)
     random.seed(11)
     pairs = [(0, i) for i in range(1, 20)] + [(random.randrange(30), random.randrange(30)) for _ in range(40)]
     pairs += [(5, 5), pairs[0], tuple(reversed(pairs[1]))]
@@ -115,4 +117,56 @@ def test_breadth_first_equals_path_search(spark, monkeypatch, rows_per_task):
 
 def test_neighbours_go_both_ways(spark):
     edges = spark.createDataFrame([("a", "b", "MENTIONS"), ("a", "c", "OTHER")], "source_node_id string, target_node_id string, edge_type string")
-    assert {tuple(r) for r in neighbours(edges).collect()} == {("a", "b"), ("b", "a")}
+    assert {tuple(r) for r in both_ways(edges).collect()} == {("a", "b"), ("b", "a")}
+
+
+SOME_EDGES = "source_node_id string, target_node_id string, edge_type string"
+
+
+def ring(spark, size):
+    return spark.range(size).selectExpr("concat('n', id) as source_node_id", f"concat('n', (id * 7 + 1) % {size}) as target_node_id", "'MENTIONS' as edge_type")
+
+
+def test_a_hop_leaves_the_edges_in_place(spark):
+    """Only rows that carry a query are shuffled; the edge table is read by its buckets."""
+    frontier = spark.createDataFrame([(1, "n1"), (2, "n2999")], "query_id int, node_id string")
+    hub = spark.createDataFrame([("n1", f"m{i}", "MENTIONS") for i in range(50)], SOME_EDGES)
+    plain, cut = store_adjacency(ring(spark, 3000), buckets=4), store_adjacency(ring(spark, 3000).unionAll(hub), buckets=4, rows_per_part=20)
+    assert (plain.rows, plain.edges.count(), cut.edges.count()) == (6000, 6000, 6100)
+    assert cut.edges.filter("node_id = 'n1'").select("part").distinct().count() == cut.hubs.first()["parts"] == 3
+    for stored, filtered in ((plain, False), (plain, True), (cut, False), (cut, True)):
+        plan = adjacency._step(frontier, stored, filtered)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert "Bucketed: true" in plan and "Bucketed: false (d" not in plan and len(shuffles) <= 2 + filtered
+        assert not any("neighbour" in line for line in shuffles)
+
+
+def test_two_hops_take_few_jobs(spark):
+    stored = store_adjacency(ring(spark, 500), buckets=4)
+    start = spark.createDataFrame([(q, f"n{q}") for q in range(20)], "query_id int, node_id string").distinct()
+    spark.sparkContext.setJobGroup("hops", "two hops")
+    found, rows = reach_stored(start, stored, 2)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows == found.count()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("hops")) <= 8  # two of them for the seeds
+
+
+def test_frontier_filter_misses_nothing(spark):
+    nodes = spark.range(2000).selectExpr("concat('n', id) as node_id")
+    edges = spark.range(20_000).selectExpr("concat('n', id) as node_id", "0 as part", "'x' as neighbour")
+    kept = {r.node_id for r in adjacency.filtered_edges(edges, nodes, 4096).collect()}
+    assert {f"n{i}" for i in range(2000)} <= kept and len(kept) < 3000
+    assert frontier_filter(nodes, 64).count() <= 64
+
+
+def test_adjacency_of_another_session(spark, tmp_path):
+    stored = store_adjacency(ring(spark, 100), path=str(tmp_path / "adjacency"), buckets=3)
+    again = open_adjacency(spark, str(tmp_path / "adjacency"), 3, stored.rows)
+    start = spark.createDataFrame([(1, "n5")], "query_id int, node_id string")
+    assert sorted(reach_stored(start, again, 2)[0].collect()) == sorted(reach_stored(start, stored, 2)[0].collect())
+
+
+def test_an_empty_graph(spark):
+    none = spark.createDataFrame([], SOME_EDGES)
+    start = spark.createDataFrame([(1, "n5"), (1, "n5")], "query_id int, node_id string")
+    assert [tuple(r) for r in reach(start, none, 2).collect()] == [(1, "n5", 0)]
