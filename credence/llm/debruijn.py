@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.repeats import merged_spans, own_facts, per_document, repeated_rows, several_texts, short_keys
-from credence.llm.textkit import PLACE, U64, mix, shingle_hashes, slices_by_bytes, words_and_hashes
+from credence.llm.textkit import PLACE, U64, mix, shingle_hashes, slices_by_bytes, text_bytes, word_runs, words_and_hashes
 from credence.llm.windows import window_runs
 from credence.session import settle
 
@@ -137,7 +137,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = GRAM) -> Dat
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text"):
-            data, _, starts, ends, firsts, _ = words_and_hashes(batch.column(1), lower=False)
+            data, bounds = text_bytes(batch.column(1))
+            starts, ends, firsts = word_runs(data, bounds)
             counts, removed, digests = np.diff(firsts), np.zeros(batch.num_rows, np.int64), []
             for i in range(batch.num_rows):
                 a, b = int(firsts[i]), int(firsts[i + 1])

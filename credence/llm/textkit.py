@@ -27,13 +27,16 @@ PLACE = _RNG.integers(0, 1 << 63, 64, dtype=U64) * U64(2) + U64(1)
 BASE = int(_RNG.integers(0, 1 << 63, dtype=U64)) * 2 + 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
-# Hashes of runs of any length are polynomials modulo a prime, in two lanes with a base each. A modulus
+# Hashes of long runs are polynomials modulo a prime, in two lanes with a base each. A modulus
 # of 2^64 would not do: there some different strings collide whatever the base.
 PRIME = (1 << 31) - 1
 LANE_VALUES = _RNG.integers(1, PRIME, (2, 256), dtype=U64)
 LANE_BASES = [int(x) for x in _RNG.integers(1 << 20, PRIME, 2)]
 # Bytes are summed in stretches of this size, so tables of powers and sums stay small beside any text.
 STRETCH = 1 << 19
+# Shorter runs are hashed eight bytes at a time, all runs together.
+CHAINED = 1 << 11
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
 # Arrow batches between Spark and Python hold about so many bytes, whatever the rows.
@@ -102,14 +105,33 @@ def _stretched_lane(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane
     return total
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs [start, end); equal runs have equal hashes wherever they lie.
+def _chained(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Eight bytes after the other are mixed into a run's state; runs of up to eight bytes of one length never collide."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((data.size + 1,), "<u8", buffer=padded, strides=(1,))
+    state = mix(lengths.astype(U64) * PLACE[0])
+    some, at, left = np.arange(starts.size), starts, lengths
+    while some.size:
+        state[some] = mix(state[some] ^ (words[at] & MASKS[np.minimum(left, 8)])) + PLACE[1]
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return state
+
 
-    Two lanes of 31 bits: different runs of n bytes collide with a chance below (n / 2^31)^2 over the choice of bases.
-    """
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs [start, end); equal runs have equal hashes wherever they lie."""
+    lengths = ends - starts
+    long = np.flatnonzero(lengths > CHAINED)
+    if not long.size:
+        return _chained(data, starts, lengths)
+    short = np.flatnonzero(lengths <= CHAINED)
+    found = np.empty(starts.size, U64)
+    found[short] = _chained(data, starts[short], lengths[short])
+    # Two lanes of 31 bits: different runs of n bytes collide with a chance below (n / 2^31)^2 over the choice of bases.
     lane = _lane if data.size <= STRETCH else _stretched_lane
-    high, low = (lane(data, starts, ends, k) for k in (0, 1))
-    return mix(((high << U64(32)) | low) + (ends - starts).astype(U64) * PLACE[0])
+    high, low = (lane(data, starts[long], ends[long], k) for k in (0, 1))
+    found[long] = mix(((high << U64(32)) | low) + lengths[long].astype(U64) * PLACE[0])
+    return found
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

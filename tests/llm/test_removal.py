@@ -178,6 +178,9 @@ def test_run_hashes_in_stretches(monkeypatch):
     whole = textkit.run_hashes(data, starts, ends)
     grams = windows.gram_hashes(data, 32)
     assert whole[-1] == whole[-2]
+    assert np.unique(whole).size == np.unique([data[a:b].tobytes() for a, b in zip(starts, ends)]).size
+    monkeypatch.setattr(textkit, "CHAINED", 100)
+    whole = textkit.run_hashes(data, starts, ends)
     monkeypatch.setattr(textkit, "STRETCH", 512)
     monkeypatch.setattr(windows, "STRETCH", 512)
     textkit.powers.cache_clear()
