@@ -18,6 +18,28 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[
     return latest.unionByName(old.join(latest.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
+def update_or_insert(old: DataFrame, new: DataFrame, keys: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """New rows, one per key, update old ones with the same key but for their `kept` columns, and join them otherwise."""
+    columns, on = old.columns, list(keys)
+    before = old.select(*on, F.struct(*[c for c in columns if c not in on]).alias("before"))
+    after = new.select(*on, F.struct(*[c for c in columns if c not in on]).alias("after"))
+    both = before.join(after, on, "full_outer")
+
+    def value(c):
+        first, second = ("before", "after") if c in kept else ("after", "before")
+        return F.when(F.col(first).isNotNull(), F.col(first)[c]).otherwise(F.col(second)[c]).alias(c)
+
+    return both.select(*[F.col(c) if c in on else value(c) for c in columns])
+
+
+def with_arrival(rows: DataFrame) -> DataFrame:
+    """Rows with `pos`, the order they arrive in: file and row where they come with both, else their content."""
+    if {"_file", "_row"} <= set(rows.columns):
+        return rows.withColumn("pos", F.struct("_file", "_row")).drop("_file", "_row")
+    plain = [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name) for f in rows.schema]
+    return rows.withColumn("pos", F.struct(*plain))
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Old rows stay; new keys are added once, with their first row by `order`."""
     first = first_by(new, keys, order, drop_order=True)
@@ -78,6 +100,7 @@ def report_rows(report: DataFrame, company: DataFrame) -> DataFrame:
         number("net_profit").alias("profit"),
         number("assets").alias("assets"),
         *[number_flag(number(c)).alias(c) for c in ("filed", "imputed", "outlier")],
+        *(["pos"] if "pos" in have else []),
     )
 
 

@@ -4,79 +4,71 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.config import RetrievalSettings
 from credence.operators import loading
-from credence.operators.grouping import dense_ids
+from credence.operators.grouping import dense_ids, last_by
 from credence.operators.vectors import Encoder, hashing_encoder
+from credence.schemas import STORED_TABLES
 from credence.session import settle, settled_scope
 from credence.sources import seeds
-from credence.sources.store import TableStore
+from credence.sources.store import Change, TableStore
 
 logger = logging.getLogger(__name__)
 
 
 def load_tables(store: TableStore, tables: dict[str, DataFrame], truncate: bool = True) -> None:
-    """Fills the stored tables. With truncate=False rows join what is stored, under its upsert rules."""
-    with settled_scope(store.spark):
-        _load_tables(store, tables, truncate)
-
+    """Fills the stored tables. With truncate=False rows join what is stored, under its upsert rules.
 
-def _load_tables(store: TableStore, tables: dict[str, DataFrame], truncate: bool) -> None:
-    spark = store.spark
-    if truncate:
-        store.truncate_all()
+    All tables change at once, at the end, and only in the partitions that rows fall into; after a failure
+    the store is as before. Of rows with one key the last to arrive wins: by the columns `_file` and `_row`
+    where a table has them (see `sources.store.arrivals`), else by content.
+    """
+    with settled_scope(store.spark), store.change() as change:
+        _load_tables(change, tables, truncate)
 
-    def next_id(name: str, column: str) -> int:
-        top = store.read(name).agg(F.max(column)).first()[0]
-        return (top or 0) + 1
 
-    def append(name: str, rows: DataFrame) -> None:
-        store.replace(name, store.read(name).unionByName(rows, allowMissingColumns=True), reads_itself=True)
+def _load_tables(change: Change, tables: dict[str, DataFrame], truncate: bool) -> None:
+    spark = change.store.spark
+    if truncate:
+        for name in STORED_TABLES:
+            change.clear(name)
 
-    start = next_id("risk_factor", "risk_factor_id")
-    factors = dense_ids(seeds.risk_factors(spark).withColumn("pos", F.lit(1)), "code", "risk_factor_id", start)
-    merged = loading.insert_or_ignore(store.read("risk_factor"), factors, ["code"], ["pos"])
-    store.replace("risk_factor", merged, reads_itself=True)
+    factors = dense_ids(seeds.risk_factors(spark), "code", "risk_factor_id", change.next_id("risk_factor"))
+    known = change.read("risk_factor").select("code")
+    change.append("risk_factor", factors.join(known, "code", "left_anti"))
 
-    company = settle(loading.company_rows(tables["company"], next_id("company", "company_id")))
-    clash = company.join(store.read("company").select("inn"), "inn", "left_semi").take(1)
+    company = settle(loading.company_rows(tables["company"], change.next_id("company")))
+    clash = company.join(change.read("company").select("inn"), "inn", "left_semi").take(1)
     if clash:
         raise ValueError(f"company already stored: {clash[0]['inn']}")
-    append("company", company)
+    change.append("company", company)
 
     loading.require_known(tables["financial_report"], company, "inn", "report inn")
-    reports = loading.report_rows(tables["financial_report"], company).withColumn("pos", F.lit(1))
+    arrived = loading.with_arrival(tables["financial_report"])
+    latest = last_by(loading.report_rows(arrived, company), ["company_id", "report_year"], ["pos"], drop_order=True)
     key = F.format_string("%020d/%010d", "company_id", "report_year")
-    numbered = dense_ids(
-        reports.withColumn("_key", key), "_key", "report_id", next_id("financial_report", "report_id")
-    ).drop("_key")
-    merged = loading.upsert(store.read("financial_report"), numbered, ["company_id", "report_year"], ["pos"])
-    store.replace("financial_report", merged, reads_itself=True)
+    numbered = settle(dense_ids(latest.withColumn("_key", key), "_key", "report_id", change.next_id("financial_report")).drop("_key"))
+    change.merge("financial_report", numbered, lambda old, new: loading.update_or_insert(old, new, ["company_id", "report_year"], ["report_id"]))
 
-    risks = loading.company_risk_rows(tables["company_features"], company, store.read("risk_factor"))
+    risks = loading.company_risk_rows(tables["company_features"], company, change.read("risk_factor"))
     risks = risks.withColumn("_key", F.format_string("%020d/%010d", "company_id", "risk_factor_id"))
-    append(
-        "company_risk",
-        dense_ids(risks, "_key", "company_risk_id", next_id("company_risk", "company_risk_id")).select(
-            "company_risk_id", "company_id", "risk_factor_id", "confidence", "explanation"
-        ),
-    )
+    change.append("company_risk", dense_ids(risks, "_key", "company_risk_id", change.next_id("company_risk")))
 
-    document = settle(loading.document_rows(tables["documents"], next_id("document", "document_id")))
-    append("document", document)
+    document = settle(loading.document_rows(tables["documents"], change.next_id("document")))
+    change.append("document", document)
     known = document.select(F.col("metadata")["external_id"].alias("document_external_id"))
     loading.require_known(tables["chunks"], known, "document_external_id", "chunk document")
-    chunk = settle(loading.chunk_rows(tables["chunks"], document, next_id("chunk", "chunk_id")))
-    append("chunk", chunk)
+    chunk = settle(loading.chunk_rows(tables["chunks"], document, change.next_id("chunk")))
+    change.append("chunk", chunk)
 
     none = F.create_map().cast("map<string,string>")
-    nodes = tables["graph_nodes"].withColumn("metadata", F.coalesce("metadata", none)).withColumn("pos", F.lit(1))
-    store.replace("graph_node", loading.merge_nodes(store.read("graph_node"), nodes, ["pos"]), reads_itself=True)
+    nodes = tables["graph_nodes"].withColumn("metadata", F.coalesce("metadata", none))
+    change.merge("graph_node", loading.with_arrival(nodes), lambda old, new: loading.merge_nodes(old, new, ["pos"]))
     edges = tables["graph_edges"].withColumn("metadata", F.coalesce("metadata", none))
-    append("graph_edge", loading.edge_rows(edges, chunk, next_id("graph_edge", "edge_id")))
+    change.append("graph_edge", loading.edge_rows(edges, chunk, change.next_id("graph_edge")))
 
 
 def embed_all_chunks(
@@ -94,20 +86,78 @@ def _embed_all_chunks(store: TableStore, encoder: Encoder | None, settings: Retr
     if chunks.isEmpty():
         logger.warning("no chunks to encode; load the tables first")
         return 0
+    rows = _encoded(chunks, encoder, settings)
+    counts = _checked(rows, settings)
+    with store.change() as change:
+        change.merge("chunk_embedding", rows, lambda old, new: loading.update_or_insert(old, new, ["chunk_id"], []))
+    return counts
+
+
+def _encoded(chunks: DataFrame, encoder: Encoder | None, settings: RetrievalSettings) -> DataFrame:
     encode = encoder or hashing_encoder(settings.embedding_dim)
-    rows = settle(
-        encode(chunks, "chunk_text", "embedding").select(
+    vectors = encode(chunks, "chunk_text", "embedding")
+    return settle(
+        vectors.select(
             "chunk_id",
-            "embedding",
+            F.col("embedding").cast("array<float>").alias("embedding"),
             F.lit(settings.encoder_name).alias("model_name"),
             F.current_timestamp().alias("updated_at"),
+            content_hash(F.col("chunk_text")).alias("content_hash"),
         )
     )
+
+
+def _checked(rows: DataFrame, settings: RetrievalSettings) -> int:
     counts = rows.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.size("embedding") != settings.embedding_dim).alias("odd")
     ).first()
     if counts["odd"]:
         logger.warning("%s of %s vectors differ from dimension %s", counts["odd"], counts["n"], settings.embedding_dim)
-    merged = loading.upsert(store.read("chunk_embedding"), rows.withColumn("pos", F.lit(1)), ["chunk_id"], ["pos"])
-    store.replace("chunk_embedding", merged, reads_itself=True)
     return counts["n"]
+
+
+def content_hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def changed_chunks(chunk: DataFrame, embedding: DataFrame, model: str) -> DataFrame:
+    """chunk_id and what became of it: `inserted`, `changed` (its text, or the model), `removed`. The rest is left out.
+
+    Only ids and hashes are compared.
+    """
+    now = chunk.select("chunk_id", content_hash(F.col("chunk_text")).alias("now"))
+    then = embedding.select("chunk_id", F.struct("content_hash", "model_name").alias("then"))
+    same = (F.col("then.content_hash") == F.col("now")) & (F.col("then.model_name") == model)
+    state = F.when(F.col("then").isNull(), "inserted").when(F.col("now").isNull(), "removed").when(~F.coalesce(same, F.lit(False)), "changed")
+    return now.join(then, "chunk_id", "full_outer").select("chunk_id", state.alias("state")).filter("state is not null")
+
+
+def embed_changed_chunks(
+    store: TableStore,
+    encoder: Encoder | None = None,
+    settings: RetrievalSettings = RetrievalSettings(),
+) -> dict[str, int]:
+    """Encodes new and changed chunks and deletes vectors whose chunk is gone; returns how many of each.
+
+    Vectors of other chunks are neither computed nor, unless they share a partition with a change, rewritten.
+    """
+    with settled_scope(store.spark):
+        states = settle(changed_chunks(store.read("chunk"), store.read("chunk_embedding"), settings.encoder_name))
+        counts = {r["state"]: r["count"] for r in states.groupBy("state").count().collect()}  # three states
+        found = {state: counts.get(state, 0) for state in ("inserted", "changed", "removed")}
+        if not any(found.values()):
+            return found
+        wanted = states.filter("state <> 'removed'").select("chunk_id")
+        rows = _encoded(store.read("chunk").join(wanted, "chunk_id", "left_semi"), encoder, settings)
+        _checked(rows, settings)
+        touched = rows.select("*", F.lit(False).alias("gone")).unionByName(
+            states.filter("state = 'removed'").select("chunk_id", F.lit(True).alias("gone")), allowMissingColumns=True
+        )
+
+        def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+            kept = old.join(new.select("chunk_id"), "chunk_id", "left_anti")
+            return kept.unionByName(new.filter("not gone").drop("gone"))
+
+        with store.change() as change:
+            change.merge("chunk_embedding", settle(touched), combine)
+        return found

@@ -52,5 +52,16 @@ STORED_TABLES = {
         "edge_id long, source_node_id string, target_node_id string, edge_type string, "
         f"weight double, confidence double, source_chunk_id long, metadata {METADATA}"
     ),
-    "chunk_embedding": "chunk_id long, embedding array<float>, model_name string, updated_at timestamp",
+    "chunk_embedding": "chunk_id long, embedding array<float>, model_name string, updated_at timestamp, content_hash string",
 }
+
+# The column whose ranges (of node_id: whose hash) cut a table into partitions, and the id a table numbers itself.
+PARTITIONED_BY = {
+    "company": "company_id", "financial_report": "company_id", "financial_fact": "company_id", "risk_factor": "risk_factor_id",
+    "company_risk": "company_id", "document": "document_id", "chunk": "chunk_id", "graph_node": "node_id", "graph_edge": "edge_id",
+    "chunk_embedding": "chunk_id",
+}
+IDS = {
+    "company": "company_id", "financial_report": "report_id", "risk_factor": "risk_factor_id", "company_risk": "company_risk_id",
+    "document": "document_id", "chunk": "chunk_id", "graph_edge": "edge_id",
+}

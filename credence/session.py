@@ -59,8 +59,13 @@ def settled_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPES.remove(made)
         for folder in made:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(spark, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Through Hadoop's file systems, as Spark's own interface deletes no files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def forget_at_end(folder: str) -> None:

@@ -1,17 +1,19 @@
 import csv
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from credence import schemas
 from credence.config import RISK_FACTORS, RetrievalSettings
 from credence.operators import checks, loading
-from credence.plans.load import embed_all_chunks, load_tables
+from credence.plans.load import embed_all_chunks, embed_changed_chunks, load_tables
 from credence.plans.prepare import prepare
 from credence.sources.export import export_tables, manifest
 from credence.sources.seeds import demo_bundle
-from credence.sources.store import TableStore
+from credence.sources.store import TableStore, arrivals
 
 INN = "7700000001"
 
@@ -91,7 +93,7 @@ def test_export_and_manifest(spark, bundle, tmp_path):
 
 @pytest.fixture(scope="module")
 def store(spark, bundle, tmp_path_factory):
-    stored = TableStore(spark, str(tmp_path_factory.mktemp("store")))
+    stored = TableStore(spark, str(tmp_path_factory.mktemp("store")), hash_parts=4)
     load_tables(stored, bundle)
     return stored
 
@@ -137,7 +139,7 @@ def test_embedding_index_is_an_upsert(spark, store):
 
 
 def test_loading_again_without_truncate(spark, store, bundle, tmp_path):
-    again = TableStore(spark, str(tmp_path))
+    again = TableStore(spark, str(tmp_path), hash_parts=4)
     load_tables(again, bundle)
     with pytest.raises(ValueError, match="already stored"):
         load_tables(again, bundle, truncate=False)
@@ -154,10 +156,99 @@ def test_loading_again_without_truncate(spark, store, bundle, tmp_path):
 
 
 def test_missing_keys_are_errors(spark, bundle, tmp_path):
+    """A load that fails half-way, after companies were written, leaves every table as it was."""
+    store = TableStore(spark, str(tmp_path), hash_parts=4)
     broken = dict(bundle)
     broken["financial_report"] = bundle["financial_report"].withColumn("inn", F.lit("unknown"))
     with pytest.raises(KeyError):
-        load_tables(TableStore(spark, str(tmp_path)), broken)
+        load_tables(store, broken)
+    assert store.read("company").count() == 0 and store.state()[0] == 0
+    load_tables(store, bundle)
+    for truncate in (True, False):
+        with pytest.raises((KeyError, ValueError)):
+            load_tables(store, broken, truncate)
+    for reader in (store, TableStore(spark, str(tmp_path))):
+        assert reader.state()[0] == 1 and reader.read("company").count() == 2 and reader.read("financial_report").count() == 4
+    left = store.vacuum()
+    assert {f.split("/")[1] for f in left} == {"company", "risk_factor"}
+    assert store.read("company").count() == 2 and store.vacuum() == []
+
+
+def files(root):
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{root}/data/**/*.parquet", recursive=True)}
+
+
+def test_a_change_touches_its_partitions_only(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path), ids_per_part=10)
+    vectors = lambda ids, model: spark.createDataFrame([(i, [1.0], model, None, None) for i in ids], schemas.STORED_TABLES["chunk_embedding"])
+    store.replace("chunk_embedding", vectors(range(50), "a"))
+    before, listed = files(tmp_path), store.state()[1]["chunk_embedding"]
+    assert sorted(listed) == [0, 1, 2, 3, 4]
+    with store.change() as change:
+        touched = change.merge("chunk_embedding", vectors([11, 47, 63], "b"), lambda old, new: loading.update_or_insert(old, new, ["chunk_id"], []))
+        assert touched == [1, 4, 6]
+        # Readers still see the version before, and the files it consists of are not touched.
+        assert TableStore(spark, str(tmp_path)).read("chunk_embedding").count() == 50
+    after, now = files(tmp_path), store.state()[1]["chunk_embedding"]
+    assert {f: t for f, t in after.items() if f in before} == before
+    assert sorted(f.split("part_no=")[1].split("/")[0] for f in set(after) - set(before)) == ["1", "4", "6"]
+    assert {p for p in now if now[p] == listed.get(p)} == {0, 2, 3}
+    models = {r.chunk_id: r.model_name for r in TableStore(spark, str(tmp_path)).read("chunk_embedding").collect()}
+    assert models == {**dict.fromkeys(range(50), "a"), 11: "b", 47: "b", 63: "b"}
+    with store.change() as change:
+        change.append("chunk_embedding", vectors([64], "c"))
+    assert len(store.state()[1]["chunk_embedding"][6]) == 2 and store.read("chunk_embedding").count() == 52
+
+
+def test_the_last_of_a_batch_wins(spark, bundle, tmp_path):
+    """By file and row, whatever the partitions; without them by content, so that loads agree."""
+    def batch(rows, name):
+        spark.createDataFrame(rows, "node_id string, node_type string, label string").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    batch([("n", "Document", f"l{i}") for i in range(6)] + [("m", "Chunk", "only")], "a")
+    batch([("n", "LegalAct", f"k{i}") for i in range(4)], "b")
+    arrived = arrivals(spark, f"{tmp_path}/in/*").select("*", *[F.lit(None).cast("string").alias(c) for c in ("ref_table", "ref_id")], F.create_map().cast("map<string,string>").alias("metadata"))
+    for shuffled in (arrived.repartition(4), arrived.orderBy(F.desc("_row"))):
+        store = TableStore(spark, str(tmp_path / "s"), hash_parts=2)
+        load_tables(store, {**bundle, "graph_nodes": shuffled})
+        assert {(r.node_id, r.node_type, r.label) for r in store.read("graph_node").collect()} == {("n", "Document", "k3"), ("m", "Chunk", "only")}
+    labels = set()
+    for parts in (1, 3, 5):
+        load_tables(store, {**bundle, "graph_nodes": arrived.drop("_file", "_row").repartition(parts)})
+        labels.add(store.read("graph_node").filter("node_id = 'n'").first().label)
+    assert len(labels) == 1
+
+
+def test_reports_keep_their_id(spark):
+    kinds = "company_id long, report_year int, report_id long, revenue double"
+    old, new = spark.createDataFrame([(1, 2023, 7, 1.0), (1, 2024, 8, 2.0)], kinds), spark.createDataFrame([(1, 2024, 9, None), (2, 2024, 10, 4.0)], kinds)
+    merged = loading.update_or_insert(old, new, ["company_id", "report_year"], ["report_id"])
+    assert sorted(tuple(r) for r in merged.collect()) == [(1, 2023, 7, 1.0), (1, 2024, 8, None), (2, 2024, 10, 4.0)]
+
+
+def test_only_changed_chunks_are_encoded(spark, bundle, tmp_path):
+    settings = RetrievalSettings(embedding_dim=2)
+    store = TableStore(spark, str(tmp_path), ids_per_part=2, hash_parts=2)
+    seen = []
+
+    def encoder(df, text, out):
+        seen.append(df.count())
+        return df.withColumn(out, F.array(F.length(text).cast("float"), F.lit(float(len(seen)))))
+
+    load_tables(store, bundle)
+    assert embed_changed_chunks(store, encoder, settings) == {"inserted": 3, "changed": 0, "removed": 0}
+    assert embed_changed_chunks(store, encoder, settings) == {"inserted": 0, "changed": 0, "removed": 0} and seen == [3]
+    chunk = store.read("chunk")
+    text = F.when(F.col("chunk_id") == 2, "other").otherwise(F.col("chunk_text"))
+    more = chunk.filter("chunk_id = 1").withColumn("chunk_id", F.lit(9).cast("long"))
+    store.replace("chunk", chunk.filter("chunk_id <> 3").withColumn("chunk_text", text).unionByName(more))
+    before = files(tmp_path)
+    assert embed_changed_chunks(store, encoder, settings) == {"inserted": 1, "changed": 1, "removed": 1} and seen == [3, 2]
+    found = {r.chunk_id: r.embedding[1] for r in store.read("chunk_embedding").collect()}
+    assert found == {1: 1.0, 2: 2.0, 9: 2.0}
+    assert {f.split("part_no=")[1][0] for f in set(files(tmp_path)) - set(before)} == {"1", "4"}
+    # Another model makes every vector old.
+    assert embed_changed_chunks(store, encoder, RetrievalSettings(embedding_dim=2, encoder_name="new"))["changed"] == 3
 
 
 def test_upsert_rules(spark):
