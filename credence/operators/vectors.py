@@ -2,9 +2,9 @@
 
 Exact search has two physical forms with the same result. While the distinct query
 vectors fit `broadcast_bytes` they travel to the corpus: one scan, no shuffle of
-vectors, each task sends on at most k rows per query. Beyond that both sides are
-partitioned by cells around pivot vectors, and a query visits only the cells that
-the triangle inequality on angles cannot rule out.
+vectors, each task sends on at most k rows per query. Beyond that the corpus is stored
+by the leaves of a two-level tree of balls (see `vector_index`), and a query visits only
+the leaves that the triangle inequality on angles cannot rule out.
 """
 
 from __future__ import annotations
@@ -14,20 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.config import RetrievalSettings
 from credence.operators.grouping import spread_join
-from credence.session import settle
-
-# Scores equal to this many digits count as ties; the lower chunk id goes first.
-TIE_DIGITS = 9
-QUERY_BLOCK = 512
-CELLS = 256
-SLICE_ROWS = 50_000
-BLOCK_ROWS = 10_000
-ANGLE_SLACK = 1e-6
+from credence.operators.vector_index import VectorIndex, by_leaves, probed, store_vectors
+from credence.operators.vector_kernels import block_best, keep_best, no_hits, top_hits, unit_matrix
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -57,44 +50,6 @@ def encode_queries(requests: DataFrame, encoder: Encoder) -> tuple[DataFrame, Da
     return keyed, encoder(texts, "query", "embedding").select("vector_id", "embedding")
 
 
-# --- kernels over Arrow batches ------------------------------------------------
-
-
-def _unit_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Rows scaled to unit length in float64; zero vectors stay zero."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lengths = np.diff(column.offsets.to_numpy())
-    if (lengths != dim).any():
-        raise ValueError(f"expected vectors of length {dim}, found {sorted(set(lengths.tolist()))[:5]}")
-    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-
-
-def _keep_best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
-    order = np.lexsort((ids, -np.round(scores, TIE_DIGITS), q))
-    q, ids, scores = q[order], ids[order], scores[order]
-    place = np.arange(len(q))
-    starts = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
-    keep = place - np.maximum.accumulate(np.where(starts, place, 0)) < k
-    return q[keep], ids[keep], scores[keep]
-
-
-def _block_best(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """Top k of `rows` for every query, a block of queries at a time."""
-    found = []
-    for lo in range(0, len(queries), QUERY_BLOCK):
-        scores = queries[lo : lo + QUERY_BLOCK] @ rows.T
-        if scores.shape[1] > k:
-            cut = np.partition(scores, -k, axis=1)[:, -k]
-            q, c = np.nonzero(scores >= cut[:, None] - 10.0**-TIE_DIGITS)
-        else:
-            q, c = np.nonzero(np.ones_like(scores, bool))
-        found.append(_keep_best(q + lo, ids[c], scores[q, c], k))
-    return [np.concatenate(part) for part in zip(*found)]
-
-
 # --- exact search, queries broadcast -------------------------------------------
 
 
@@ -107,9 +62,9 @@ def _scan_with(queries: np.ndarray, spark, corpus: DataFrame, k: int) -> DataFra
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            fresh = _block_best(shared.value, _unit_matrix(batch.column(1), dim), ids, k)
+            fresh = block_best(shared.value, unit_matrix(batch.column(1), dim), ids, k)
             if best is not None:
-                fresh = _keep_best(*[np.concatenate(pair) for pair in zip(best, fresh)], k)
+                fresh = keep_best(*[np.concatenate(pair) for pair in zip(best, fresh)], k)
             best = fresh
         if best is not None:
             yield pa.RecordBatch.from_arrays(
@@ -120,32 +75,33 @@ def _scan_with(queries: np.ndarray, spark, corpus: DataFrame, k: int) -> DataFra
     return corpus.mapInArrow(run, "q int, chunk_id long, vector_score double")
 
 
-def _top(df: DataFrame, key: str, k: int) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(F.desc(F.round("vector_score", TIE_DIGITS)), "chunk_id")
-    top = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return top.withColumn("rank", F.col("rank").cast("long"))
-
-
 def nearest(
     query_vectors: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | VectorIndex,
     k: int = RetrievalSettings.top_k,
     broadcast_bytes: int = RetrievalSettings.broadcast_bytes,
 ) -> DataFrame:
-    """(vector_id, chunk_id, vector_score, rank): the exact k most similar chunks of every query vector."""
-    spark = corpus.sparkSession
+    """(vector_id, chunk_id, vector_score, rank): the exact k most similar chunks of every query vector.
+
+    A corpus given as an index is searched by its leaves. One given as rows is scanned if the query vectors fit
+    `broadcast_bytes`, and indexed first if they do not.
+    """
     vectors = query_vectors.select("vector_id", "embedding").filter("embedding IS NOT NULL")
+    if isinstance(corpus, VectorIndex):
+        return top_hits(by_leaves(vectors, corpus, k), "vector_id", k)
+    spark = corpus.sparkSession
     rows = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL")
     dim = _dimension(vectors)
     if dim is None:
-        return _no_hits(vectors)
+        return no_hits(vectors)
     most = broadcast_bytes // (8 * dim)
     # One row past the bound shows that the vectors do not fit, without a separate count.
     head = vectors.limit(most + 1).toArrow()
     if head.num_rows > most:
-        return _top(_search_by_cells(vectors, rows, k, dim), "vector_id", k)
-    matrix = _unit_matrix(head.column("embedding"), dim)
-    hits = _top(_scan_with(matrix, spark, rows, k), "q", k)
+        index = store_vectors(rows)
+        return top_hits(by_leaves(vectors, index, k), "vector_id", k) if index else no_hits(vectors)
+    matrix = unit_matrix(head.column("embedding"), dim)
+    hits = top_hits(_scan_with(matrix, spark, rows, k), "q", k)
     names = pa.table({"q": pa.array(range(head.num_rows), pa.int32()), "vector_id": head.column("vector_id")})
     # As many rows as query vectors, and those were just bounded.
     return hits.join(F.broadcast(spark.createDataFrame(names)), "q").select(
@@ -158,175 +114,13 @@ def _dimension(rows: DataFrame) -> int | None:
     return first[0]["n"] if first else None
 
 
-def _no_hits(vectors: DataFrame, ranked: bool = True) -> DataFrame:
-    kind = vectors.schema["vector_id"].dataType.simpleString()
-    schema = f"vector_id {kind}, chunk_id long, vector_score double" + (", rank long" if ranked else "")
-    return vectors.sparkSession.createDataFrame([], schema)
-
-
-# --- search by cells -------------------------------------------------------------
-
-
-def _pivots(rows: DataFrame, dim: int, cells: int) -> np.ndarray:
-    """A fixed number of corpus vectors, the ones whose ids hash lowest."""
-    picked = rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(cells).toArrow()
-    return _unit_matrix(picked.column("embedding"), dim)
-
-
-def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
-
-
-def _with_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Each corpus vector with its nearest pivot and the angle to it."""
-    shared, dim = rows.sparkSession.sparkContext.broadcast(pivots), pivots.shape[1]
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = _unit_matrix(batch.column(1), dim)
-            angles = _angles(unit, shared.value)
-            cell = angles.argmin(axis=1)
-            away = angles[np.arange(len(cell)), cell]
-            # A zero vector has no direction; the widest angle keeps its cell from being ruled out.
-            away[~unit.any(axis=1)] = np.pi
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(away)],
-                names=["chunk_id", "embedding", "cell", "away"],
-            )
-
-    return rows.mapInArrow(run, "chunk_id long, embedding array<float>, cell int, away double")
-
-
-def _cells_to_visit(vectors: DataFrame, pivots: np.ndarray, choose: Callable) -> DataFrame:
-    """Rows (vector_id, embedding, cell) for the cells `choose(angles, batch)` marks true."""
-    shared, dim = vectors.sparkSession.sparkContext.broadcast(pivots), pivots.shape[1]
-    kind = vectors.schema["vector_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            angles = _angles(_unit_matrix(batch.column(1), dim), shared.value)
-            query, cell = np.nonzero(choose(angles, batch))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(query)), batch.column(1).take(pa.array(query)),
-                 pa.array(cell.astype(np.int32))],
-                names=["vector_id", "embedding", "cell"],
-            )
-
-    return vectors.mapInArrow(run, f"vector_id {kind}, embedding array<float>, cell int")
-
-
-def _parts(weights: dict[int, int], rows: int):
-    """Column: number of parts for a row's cell, from the (at most `CELLS`) cell weights."""
-    pairs = [F.lit(x) for cell, n in weights.items() for x in (cell, -(-n // rows))]
-    return F.coalesce(F.create_map(*pairs)[F.col("cell")], F.lit(1))
-
-
-def _search_cells(visits: DataFrame, cells: DataFrame, cell_rows: dict[int, int], k: int, dim: int) -> DataFrame:
-    """Top k per (vector, cell part). Cells and their visitors are cut into bounded parts first."""
-    visitors = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    kind = visits.schema["vector_id"].dataType.simpleString()
-    if not visitors:
-        return _no_hits(visits, ranked=False)
-    slices, blocks = _parts(cell_rows, SLICE_ROWS), _parts(visitors, BLOCK_ROWS)
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = visits.withColumn("block", F.pmod(F.xxhash64("vector_id"), blocks).cast("int")).withColumn(
-        "slice", numbers(slices)
-    )
-    right = (
-        cells.filter(F.col("cell").isin(list(visitors)))
-        .withColumn("slice", F.pmod(F.xxhash64("chunk_id"), slices).cast("int"))
-        .withColumn("block", numbers(blocks))
-    )
-    keys = ["cell", "slice", "block"]
-
-    def search(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        if not asked.num_rows or not stored.num_rows:
-            return pa.table({"vector_id": asked.column("vector_id").slice(0, 0),
-                             "chunk_id": pa.array([], pa.int64()), "vector_score": pa.array([], pa.float64())})
-        q, ids, scores = _block_best(
-            _unit_matrix(asked.column("embedding"), dim), _unit_matrix(stored.column("embedding"), dim),
-            stored.column("chunk_id").to_numpy(), k,
-        )
-        return pa.table({"vector_id": asked.column("vector_id").take(pa.array(q)),
-                         "chunk_id": pa.array(ids), "vector_score": pa.array(scores)})
-
-    return (
-        left.groupBy(*keys)
-        .cogroup(right.select("chunk_id", "embedding", *keys).groupBy(*keys))
-        .applyInArrow(search, f"vector_id {kind}, chunk_id long, vector_score double")
-    )
-
-
-def _prepare_cells(rows: DataFrame, dim: int, cells: int):
-    pivots = _pivots(rows, dim, cells)
-    stored = settle(_with_cells(rows, pivots))
-    stats = stored.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("away").alias("near"), F.max("away").alias("far")
-    ).collect()
-    near, far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    for r in stats:
-        near[r["cell"]], far[r["cell"]] = r["near"], r["far"]
-    return pivots, stored, {r["cell"]: r["n"] for r in stats}, near, far
-
-
-def _search_by_cells(vectors: DataFrame, rows: DataFrame, k: int, dim: int, cells: int = CELLS) -> DataFrame:
-    """Exact: the home cell first, then every cell that could still hold something closer than the k-th hit."""
-    vectors = settle(vectors)
-    pivots, stored, cell_rows, near, far = _prepare_cells(rows, dim, cells)
-    if not cell_rows:
-        return _no_hits(vectors, ranked=False)
-
-    def home(angles, _):
-        marked = np.zeros_like(angles, bool)
-        marked[np.arange(len(angles)), np.where(np.isfinite(near), angles, np.inf).argmin(axis=1)] = True
-        return marked
-
-    first = settle(_search_cells(_cells_to_visit(vectors, pivots, home), stored, cell_rows, k, dim))
-    top = _top(first, "vector_id", k)
-    # Anything that ties with the k-th score may still win by its id, so the angle belongs to the least such score.
-    tied = F.round(F.min("vector_score"), TIE_DIGITS) - F.lit(10.0**-TIE_DIGITS)
-    reach = top.groupBy("vector_id").agg(
-        F.when(F.count(F.lit(1)) == k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), tied))))
-        .otherwise(F.lit(np.pi)).alias("reach")
-    )
-
-    def still_open(angles, batch):
-        bound = batch.column(2).to_numpy()[:, None] + ANGLE_SLACK
-        least = np.maximum(angles - far, near - angles)
-        return (least <= bound) & np.isfinite(near) & ~home(angles, batch)
-
-    asked = vectors.join(reach, "vector_id", "left").select(
-        "vector_id", "embedding", F.coalesce("reach", F.lit(np.pi)).alias("reach")
-    )
-    later = _search_cells(_cells_to_visit(asked, pivots, still_open), stored, cell_rows, k, dim)
-    return first.unionByName(later)
-
-
 def nearest_probed(
-    query_vectors: DataFrame, corpus: DataFrame, k: int = RetrievalSettings.top_k, probes: int = 8, cells: int = CELLS
+    query_vectors: DataFrame, corpus: DataFrame | VectorIndex, k: int = RetrievalSettings.top_k, probes: int = 8, leaves: int | None = None
 ) -> DataFrame:
-    """Approximate top k: only the `probes` nearest cells of each query. Quality is its recall against `nearest`."""
+    """Approximate top k: only the `probes` nearest leaves of each query. Quality is its recall against `nearest`."""
     vectors = query_vectors.select("vector_id", "embedding").filter("embedding IS NOT NULL")
-    rows = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL")
-    dim = _dimension(rows)
-    if dim is None:
-        return _no_hits(vectors)
-    pivots, stored, cell_rows, near, _ = _prepare_cells(rows, dim, cells)
-    if not cell_rows:
-        return _no_hits(vectors)
-
-    def closest(angles, _batch):
-        order = np.where(np.isfinite(near), angles, np.inf).argsort(axis=1, kind="stable")[:, :probes]
-        marked = np.zeros_like(angles, bool)
-        np.put_along_axis(marked, order, True, axis=1)
-        return marked & np.isfinite(near)
-
-    visits = _cells_to_visit(vectors, pivots, closest)
-    return _top(_search_cells(visits, stored, cell_rows, k, dim), "vector_id", k)
+    index = corpus if isinstance(corpus, VectorIndex) else store_vectors(corpus, leaves)
+    return top_hits(probed(vectors, index, k, probes), "vector_id", k) if index else no_hits(vectors)
 
 
 def recall(found: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("vector_id", "chunk_id")) -> DataFrame:

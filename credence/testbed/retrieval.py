@@ -14,7 +14,7 @@ from credence.operators.graph import expand, graph_chunks, seed_nodes
 from credence.operators.grouping import grouped_rank, spread_join
 from credence.operators.ranking import accessible, dedupe_chunks, merge_context, rerank, rrf
 from credence.operators.reports import company_features
-from credence.operators.vectors import hashing_encoder, nearest, nearest_probed, recall, vector_search
+from credence.operators.vectors import hashing_encoder, nearest, nearest_probed, recall, store_vectors, vector_search
 from credence.plans.ask import (
     CONCLUSION,
     FACTS_HEADING,
@@ -310,8 +310,8 @@ def vector_topk(t: Tables) -> DataFrame:
     "select vector_id, chunk_id, round(vector_score, 6) as vector_score, rank from top",
 )
 def vector_topk_by_cells(t: Tables) -> DataFrame:
-    """The same exact search with the query vectors declared too many to broadcast."""
-    hits = nearest(t.query_vectors, t.chunk_embedding_ref, 3, broadcast_bytes=0)
+    """The same exact search over the stored leaves."""
+    hits = nearest(t.query_vectors, store_vectors(t.chunk_embedding_ref), 3)
     return hits.select("vector_id", "chunk_id", F.round("vector_score", 6).alias("vector_score"), "rank")
 
 

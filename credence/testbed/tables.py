@@ -176,7 +176,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
 }
 
 # Views that stand in for stored tables: written once, as jobs read them several times over.
-STORED = {"doc_ref", "chunk_ref", "chunk_embedding_ref", "edge_ref", "node_ref"}
+STORED = {"raw_reports", "doc_ref", "chunk_ref", "chunk_embedding_ref", "edge_ref", "node_ref"}
 
 
 class Tables:

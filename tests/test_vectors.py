@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credence.config import RetrievalSettings
+from credence.operators import vector_index
 from credence.operators import vectors as V
 
 DIM = 8
@@ -37,8 +38,8 @@ def data():
 
 @pytest.mark.parametrize("limit", [64 * 1024 * 1024, 0])
 def test_exact_search_in_both_forms(spark, data, limit, monkeypatch):
-    monkeypatch.setattr(V, "SLICE_ROWS", 40)
-    monkeypatch.setattr(V, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(vector_index, "SLICE_ROWS", 40)
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 4)
     queries, corpus = data
     hits = V.nearest(frame(spark, queries, "vector_id"), frame(spark, corpus, "chunk_id"), 5, limit)
     assert {(r.vector_id, r["rank"]): r.chunk_id for r in hits.collect()} == truth(queries, corpus, 5)
@@ -66,9 +67,9 @@ def test_wrong_length_raises(spark, data):
 def test_probed_search_recall(spark, data):
     queries, corpus = frame(spark, data[0][:23], "vector_id"), frame(spark, data[1], "chunk_id")
     exact = V.nearest(queries, corpus, 5)
-    all_cells = V.nearest_probed(queries, corpus, 5, probes=16, cells=16)
+    all_cells = V.nearest_probed(queries, corpus, 5, probes=16, leaves=16)
     assert V.recall(all_cells, exact).first()["recall"] == 1.0
-    some = V.recall(V.nearest_probed(queries, corpus, 5, probes=4, cells=16), exact).first()
+    some = V.recall(V.nearest_probed(queries, corpus, 5, probes=4, leaves=16), exact).first()
     assert some["expected"] == 115 and some["recall"] > 0.6
 
 
@@ -110,9 +111,8 @@ def test_search_per_request_and_by_role(spark, data):
 
 
 @pytest.mark.parametrize("k", [1, 3, 10])
-def test_near_copies_across_cell_borders(spark, monkeypatch, k):
-    """Scores that tie to nine digits, on both sides of the borders between cells: both forms agree."""
-    monkeypatch.setattr(V, "CELLS", 60)
+def test_near_copies_across_leaf_borders(spark, k):
+    """Scores that tie to nine digits, on both sides of the borders between leaves: all forms agree."""
     rng = np.random.default_rng(11)
     base = rng.normal(size=(35, 3))
     corpus = np.repeat(base, 10, axis=0) + 3e-6 * rng.normal(size=(350, 3))
@@ -123,7 +123,19 @@ def test_near_copies_across_cell_borders(spark, monkeypatch, k):
         {(r.vector_id, r["rank"]): r.chunk_id for r in V.nearest(asked, rows, k, limit).collect()}
         for limit in (64 * 1024 * 1024, 0)
     ]
-    assert both[0] == both[1]
+    index = V.store_vectors(rows, leaves=60)
+    assert both[0] == both[1] == {(r.vector_id, r["rank"]): r.chunk_id for r in V.nearest(asked, index, k).collect()}
+    read = vector_index.share_read(asked, index, k).first()
+    assert 0 < read["compared"] < 0.9 * read["scanned"] == 0.9 * 350 * 100
+
+
+def test_a_search_leaves_the_corpus_in_place(spark, data):
+    queries, corpus = frame(spark, data[0], "vector_id"), frame(spark, data[1], "chunk_id")
+    index = V.store_vectors(corpus)
+    assert len(index.pivots) == 17 and len(index.tops) == 4 and index.rows.sum() == 300
+    visits = vector_index._visits(queries, index, lambda index, unit, _: (np.arange(len(unit)), vector_index._home(index, unit)))
+    plan = vector_index._search(visits, index, 3)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_filter_first_serves_any_role(spark, data):
