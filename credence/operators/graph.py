@@ -102,14 +102,18 @@ def expand(
     )
 
 
-def graph_chunks(reached: DataFrame, chunk: DataFrame, document: DataFrame) -> DataFrame:
+def graph_chunks(
+    reached: DataFrame, chunk: DataFrame, document: DataFrame, reached_rows: int | None = None, chunk_rows: int | None = None
+) -> DataFrame:
     """(query_id, chunk_id, stage, graph_score) of the chunks behind reached nodes.
 
     Stage 1: the chunk of a Chunk node, score 1.0. Stage 2: every chunk of a Document
     node, score 0.8. Other node types lead to no chunk, even if they refer to a document.
-    `chunk` has chunk_id, document_id, external_id; `document` has document_id, external_id.
+    `chunk` has chunk_id, document_id, external_id; `document` has document_id, external_id. Row counts
+    that are known need not be counted again.
     """
-    reached_rows, chunk_rows = reached.count(), chunk.count()
+    reached_rows = reached.count() if reached_rows is None else reached_rows
+    chunk_rows = chunk.count() if chunk_rows is None else chunk_rows
     has_ref = F.coalesce(F.col("ref_id") != "", F.lit(False))
     named = F.when((F.col("node_type") == "Chunk") & has_ref, F.col("ref_id")).when(
         F.col("node_id").startswith("chunk:"), F.expr("substring(node_id, 7)")
@@ -128,7 +132,7 @@ def graph_chunks(reached: DataFrame, chunk: DataFrame, document: DataFrame) -> D
     ).select("query_id", "document_id")
     of_documents = spread_join(
         chunk.select("chunk_id", "document_id"), documents, "document_id", ["chunk_id"],
-        small_id=["query_id"], rows=chunk_rows,
+        small_id=["query_id"], rows=chunk_rows, small_rows=reached_rows,
     )
 
     def scored(df, stage, score):

@@ -58,6 +58,7 @@ def spread_join(
     weigh: DataFrame | None = None,
     rows: int | None = None,
     rows_per_task: int | None = None,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join where single keys may be very heavy.
 
@@ -70,7 +71,7 @@ def spread_join(
 
     `weigh` is a cheaper frame with the same keys, for a `big` that is costly to compute
     twice; `rows` its known size, which settles the question if it is small: a key cannot
-    hold more rows than the table. `how` is inner, left, left_semi or left_anti.
+    hold more rows than the table. `small_rows` is the same for the other side. `how` is inner, left, left_semi or left_anti.
     """
     on = [on] if isinstance(on, str) else list(on)
     if small_id and how != "inner":
@@ -79,7 +80,7 @@ def spread_join(
     heavy = small_heavy = None
     if rows is None or rows > rows_per_task:
         heavy = _collected(hot_keys(weigh if weigh is not None else big, on, rows_per_task))
-    if small_id:
+    if small_id and (small_rows is None or small_rows > rows_per_task):
         small_heavy = _collected(hot_keys(small, on, rows_per_task))
     if heavy is None and small_heavy is None:
         return big.join(small, on, how)

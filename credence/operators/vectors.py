@@ -80,24 +80,29 @@ def nearest(
     corpus: DataFrame | VectorIndex,
     k: int = RetrievalSettings.top_k,
     broadcast_bytes: int = RetrievalSettings.broadcast_bytes,
+    dim: int | None = None,
 ) -> DataFrame:
     """(vector_id, chunk_id, vector_score, rank): the exact k most similar chunks of every query vector.
 
     A corpus given as an index is searched by its leaves. One given as rows is scanned if the query vectors fit
-    `broadcast_bytes`, and indexed first if they do not.
+    `broadcast_bytes`, and indexed first if they do not. `dim` is their expected length; it saves a look at them.
     """
     vectors = query_vectors.select("vector_id", "embedding").filter("embedding IS NOT NULL")
     if isinstance(corpus, VectorIndex):
         return top_hits(by_leaves(vectors, corpus, k), "vector_id", k)
     spark = corpus.sparkSession
     rows = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").filter("embedding IS NOT NULL")
-    dim = _dimension(vectors)
+    dim = dim or _dimension(vectors)
     if dim is None:
         return no_hits(vectors)
     most = broadcast_bytes // (8 * dim)
     # One row past the bound shows that the vectors do not fit, without a separate count.
     head = vectors.limit(most + 1).toArrow()
-    if head.num_rows > most:
+    if not head.num_rows:
+        return no_hits(vectors)
+    # A dimension that was only expected bounds what was fetched, what was found bounds the rest.
+    dim = len(head.column("embedding")[0])
+    if head.num_rows > broadcast_bytes // (8 * dim):
         index = store_vectors(rows)
         return top_hits(by_leaves(vectors, index, k), "vector_id", k) if index else no_hits(vectors)
     matrix = unit_matrix(head.column("embedding"), dim)
@@ -140,8 +145,9 @@ def vector_search(
     corpus: DataFrame,
     settings: RetrievalSettings = RetrievalSettings(),
     readable_by_role: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """(query_id, chunk_id, vector_score, rank) for requests (query_id, vector_id).
+    """(query_id, chunk_id, vector_score, rank) for requests (query_id, vector_id), at most `rows` of them if that is known.
 
     Only vectors someone asks for are searched, each once. By default the top k is taken before any role
     filter; `readable_by_role` (chunk_id, allowed_roles) asks for the filter first, in
@@ -150,18 +156,18 @@ def vector_search(
     if readable_by_role is None:
         asked = requests.select("query_id", "vector_id")
         wanted = query_vectors.join(asked.select("vector_id").distinct(), "vector_id", "left_semi")
-        hits = nearest(wanted, corpus, settings.top_k, settings.broadcast_bytes)
-        return spread_join(asked, hits, "vector_id", ["query_id"], rows=asked.count()).select(
+        hits = nearest(wanted, corpus, settings.top_k, settings.broadcast_bytes, settings.embedding_dim)
+        return spread_join(asked, hits, "vector_id", ["query_id"], rows=asked.count() if rows is None else rows).select(
             "query_id", "chunk_id", "vector_score", "rank"
         )
     parts = []
     # Whatever roles the requests name: a request without one may read nothing.
     roles = sorted(r["role"] for r in requests.select("role").distinct().collect() if r["role"] is not None)
     if not roles:
-        return vector_search(requests.limit(0), query_vectors, corpus, settings)
+        return vector_search(requests.limit(0), query_vectors, corpus, settings, rows=0)
     for role in roles:
         open_chunks = readable_by_role.filter(F.array_contains("allowed_roles", F.lit(role))).select("chunk_id")
         asked = requests.filter(F.col("role") == role)
         readable = corpus.join(open_chunks, "chunk_id", "left_semi")
-        parts.append(vector_search(asked, query_vectors, readable, settings))
+        parts.append(vector_search(asked, query_vectors, readable, settings, rows=rows))
     return reduce(DataFrame.unionByName, parts)

@@ -65,17 +65,20 @@ class Corpus:
     nodes: DataFrame
     edges: DataFrame | Adjacency  # stored once as an adjacency, edges serve many tables of requests
     features: DataFrame | None = None
+    chunk_rows: int | None = None  # counted once, it serves many tables of requests
 
     @staticmethod
     def from_store(store, features: DataFrame | None = None, edge_types=RetrievalSettings.edge_types) -> Corpus:
         external = F.col("metadata")["external_id"].alias("external_id")
+        chunk = store.read("chunk")
         return Corpus(
-            store.read("chunk").select("chunk_id", "document_id", external, "chunk_text", "allowed_roles"),
+            chunk.select("chunk_id", "document_id", external, "chunk_text", "allowed_roles"),
             store.read("document").select("document_id", external, "title"),
             store.read("chunk_embedding").select("chunk_id", "embedding"),
             store.read("graph_node"),
             store_adjacency(store.read("graph_edge"), edge_types),
             features,
+            chunk.count(),
         )
 
 
@@ -135,12 +138,13 @@ def facts_type(settings: RiskSettings) -> str:
 
 
 def financial_lookup(
-    requests: DataFrame, features: DataFrame, settings: RiskSettings = RiskSettings(), default_inn: str | None = None
+    requests: DataFrame, features: DataFrame, settings: RiskSettings = RiskSettings(), default_inn: str | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Requests with the facts of their company, or of `default_inn` if they name none. One company may be asked about very often."""
     asked = requests.withColumn("inn", F.coalesce("inn", F.lit(default_inn))) if default_inn else requests
     return spread_join(
-        asked, company_facts(features, settings), "inn", ["query_id"], "left", rows=asked.count()
+        asked, company_facts(features, settings), "inn", ["query_id"], "left", rows=asked.count() if rows is None else rows
     )
 
 
@@ -297,7 +301,7 @@ def ask(
     `strict_nodes` cites a document node only if the role may read one of its chunks;
     `filter_first` applies the role before the top k instead of after the expansion.
     """
-    screened = settle(screen(requests))
+    screened, asked_rows = settle_counted(screen(requests))
     passing = screened.filter("input_reason IS NULL")
     thin_chunk = corpus.chunk.select("chunk_id", "document_id", "external_id")
     roles = corpus.chunk.select("chunk_id", "allowed_roles")
@@ -305,16 +309,16 @@ def ask(
     hits, hit_rows = settle_counted(
         vector_search(
             passing.select("query_id", "role", "vector_id"), query_vectors, corpus.embedding, settings,
-            readable_by_role=roles if filter_first else None,
+            readable_by_role=roles if filter_first else None, rows=asked_rows,
         )
     )
     named_hits = spread_join(
         hits, thin_chunk.select("chunk_id", "external_id"), "chunk_id", ["query_id"], rows=hit_rows
     )
-    reached = settle(
+    reached, reached_rows = settle_counted(
         expand(seed_nodes(named_hits), corpus.nodes, corpus.edges, settings.hops, settings.edge_types)
     )
-    graph = settle(graph_chunks(reached, thin_chunk, corpus.document))
+    graph = settle(graph_chunks(reached, thin_chunk, corpus.document, reached_rows, corpus.chunk_rows))
     merged, merged_rows = settle_counted(merge_context(hits, graph))
 
     with_role = spread_join(
@@ -355,7 +359,7 @@ def ask(
     if corpus.features is not None:
         facts = financial_lookup(
             passing.filter(F.col("intent") == "risk_analysis").select("query_id", "inn"), corpus.features, risk,
-            settings.default_inn,
+            settings.default_inn, asked_rows,
         ).select("query_id", "financial_facts")
         status = status.join(facts, "query_id", "left")
     else:

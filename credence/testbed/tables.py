@@ -234,5 +234,5 @@ class Tables:
 
     def corpus(self, features: DataFrame | None = None) -> Corpus:
         return Corpus(
-            self.chunk_ref, self.doc_ref, self.chunk_embedding_ref, self.node_ref, self.adjacency, features
+            self.chunk_ref, self.doc_ref, self.chunk_embedding_ref, self.node_ref, self.adjacency, features, self.chunk_ref.count()
         )
