@@ -6,6 +6,8 @@ import logging
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,18 +68,54 @@ def clean_year(df: DataFrame, year: int, settings: RiskSettings = RiskSettings()
     return out
 
 
+def schema_groups(spark: SparkSession, folder: str) -> list[list[str]]:
+    """Paths below one folder in groups whose schemas Spark can merge, one group wherever it can.
+
+    Spark reads the footers in tasks and merges them. Where types of a column clash, the folder's files are
+    halved until they do not, and what has the same schema goes together again, so there are as many scans as
+    schemas. Only then is a row per file fetched.
+    """
+    whole = _merged(spark, [folder])
+    if whole is not None:
+        return [[folder]]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path")
+    waiting, groups = [sorted(r["path"] for r in listed.collect())], {}
+    while waiting:
+        files = waiting.pop()
+        schema = _merged(spark, files)
+        if schema is not None:
+            groups.setdefault(schema, []).extend(files)
+        elif len(files) == 1:
+            raise ValueError(f"no schema in {files[0]}")
+        else:
+            waiting += [files[: len(files) // 2], files[len(files) // 2 :]]
+    return [sorted(files) for _, files in sorted(groups.items())]
+
+
+def _merged(spark: SparkSession, paths: list[str]) -> str | None:
+    """A fingerprint of the merged schema, None if the types clash."""
+    try:
+        schema = spark.read.option("mergeSchema", "true").parquet(*paths).schema
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE" in str(error):
+            return None
+        raise
+    return str(sorted((f.name, f.dataType.simpleString()) for f in schema))
+
+
 def read_year(spark: SparkSession, year: int, paths: list[str], settings: RiskSettings = RiskSettings()) -> DataFrame:
     """All files of one year, from all its folders. Each row remembers its file and its place in it.
 
-    Folders are read one by one and cleaned before the union, so they may differ in columns and types.
+    One scan for each schema found in a folder, cleaned before the union, so columns and their types may differ.
     """
     parts = []
     for path in paths:
-        raw = spark.read.option("mergeSchema", "true").parquet(path)
-        raw = raw.select(
-            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-        )
-        parts.append(clean_year(raw, year, settings))
+        for files in schema_groups(spark, path):
+            raw = spark.read.option("mergeSchema", "true").parquet(*files)
+            raw = raw.select(
+                "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+            )
+            parts.append(clean_year(raw, year, settings))
     return union_years(parts)
 
 

@@ -610,6 +610,29 @@ def yearly_files(t: Tables) -> DataFrame:
     return found.select("inn", "year", "region", "region_taxcode", "revenue", "assets", "equity")
 
 
+@query(
+    "first_reports",
+    ["raw_reports"],
+    """
+select trim(inn) as inn, cast(report_year as int) as year, try_cast(line_2110 as double) as revenue, try_cast(line_2400 as double) as net_profit,
+       try_cast(outlier as double) as outlier, line_1300 as equity
+from raw_reports where _file = 'a' and inn is not null and ogrn is not null and okved_section in ('A', 'B', 'F', 'H')
+  and cast(trim(region_taxcode) as int) % 500 <> 400""",
+)
+def first_reports(t: Tables) -> DataFrame:
+    """One year folder holds files that type a column differently; of two reports the one in the first file stays."""
+    root = _scratch(t)
+    rows = t.raw_reports.withColumn("year", F.col("report_year")).drop("report_year", "_row")
+    first = F.col("_file") == "a"
+    even = F.pmod(F.xxhash64("inn"), F.lit(2)) == 0
+    numbers = {c: F.col(c).try_cast("double") for c in ("line_2400", "filed")} | {"outlier": F.col("outlier").try_cast("int")}
+    for kind, some, types in (("a", first & even, {}), ("a", first & ~even, numbers), ("b", ~first, {})):
+        part = rows.filter(some).drop("_file").withColumns(types)
+        part.write.mode("append").partitionBy("year").parquet(f"{root}/{kind}")
+    reports = financial_reports(load_years(t.spark, root, CLEANING))
+    return reports.select("inn", "year", "revenue", "net_profit", "outlier", "equity")
+
+
 @query(
     "exported_csv",
     ["dim", "reports_2y", "chunk_ref"],

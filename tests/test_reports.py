@@ -14,7 +14,7 @@ from credence.operators.reports import (
 )
 from credence.operators.sampling import bounded_sample, sample_keys, stratified_sample
 from credence.plans.prepare import transform_reports
-from credence.sources.yearly import clean_year, discover_years, load_years
+from credence.sources.yearly import clean_year, discover_years, load_years, schema_groups
 
 KEYS = "inn string, ogrn string, region string, region_taxcode string, okved_section string"
 
@@ -186,3 +186,18 @@ def test_transform_gives_three_tables(spark, yearly):
     assert company.first().sample_bucket == "revenue_drop_gt_30"
     assert report.count() == 2 and features.first().risk_count == 2
     assert features.columns[:3] == ["inn", "ogrn", "sample_bucket"]
+
+
+def test_files_of_one_folder_may_type_a_column_differently(spark, tmp_path):
+    folder = f"{tmp_path}/year=2023"
+    base = spark.createDataFrame([(f"{i:010d}", "1", "7700", "C") for i in range(8)], "inn string, ogrn string, region_taxcode string, okved_section string")
+    texts = base.withColumn("line_2110", F.concat("inn", F.lit(".5")))
+    numbers = base.withColumn("line_2110", F.col("inn").cast("double"))
+    for rows in (texts.filter("inn < '0000000002'"), numbers.filter("inn between '0000000002' and '0000000004'"), texts.filter("inn > '0000000004'"), base.limit(1).withColumn("inn", F.lit("9"))):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    groups = schema_groups(spark, folder)
+    assert sorted(len(g) for g in groups) in ([1, 3], [2, 2], [1, 1, 2]) and sum(map(len, groups)) == 4
+    found = {r.inn: r.revenue for r in load_years(spark, str(tmp_path)).collect()}
+    expected = {f"{i:010d}": i + (0.0 if 2 <= i <= 4 else 0.5) for i in range(8)} | {"9": None}
+    assert found == expected
+    assert schema_groups(spark, folder + "/") != [[folder]]
