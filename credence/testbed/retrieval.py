@@ -10,6 +10,7 @@ from credence.config import RetrievalSettings
 from credence.functions import guard
 from credence.operators import checks, loading
 from credence.operators.documents import split_documents
+from credence.operators.evaluation import compare_runs, poisson_steps
 from credence.operators.graph import expand, graph_chunks, seed_nodes
 from credence.operators.grouping import grouped_rank, spread_join
 from credence.operators.ranking import accessible, dedupe_chunks, merge_context, rerank, rrf
@@ -343,6 +344,41 @@ def ann_recall(t: Tables) -> DataFrame:
     return recall(nearest_probed(t.query_vectors, t.chunk_embedding_ref, 3, probes=16), exact)
 
 
+_draw = "cast('0x' || substr(md5(concat(vector_id, ':', draw, ':0')), 1, 8) as bigint) / 4294967296.0::double"
+_weight = " + ".join(f"case when u >= {step!r}::double then 1 else 0 end" for step in poisson_steps())
+
+
+@query(
+    "compared_runs",
+    ["top", "query_vectors", "chunk_embedding_ref"],
+    f"""
+select queries, round(recall_one, 6) as recall_one, round(recall_two, 6) as recall_two, round(overlap, 6) as overlap,
+       round(gain, 6) as gain, round(low, 6) as low, round(high, 6) as high, round(ahead, 6) as ahead
+from (with other as (
+  select vector_id, chunk_id from (
+    select v.vector_id, e.chunk_id, row_number() over (partition by v.vector_id order by
+             round(list_cosine_similarity(cast(v.embedding as double[]), cast(e.embedding as double[])), 9) desc, e.chunk_id) as rank
+    from query_vectors v cross join chunk_embedding_ref e where (e.chunk_id // 1000) % 3 <> 0) r where rank <= 3),
+judged as (
+  select t.vector_id, count(*) filter (t.rank <= 2) / count(*) as one, count(o.chunk_id) / count(*) as two,
+         count(o.chunk_id) filter (t.rank <= 2) / 3 as overlap
+  from top t left join other o on o.vector_id = t.vector_id and o.chunk_id = t.chunk_id group by t.vector_id),
+drawn as (
+  select draw, sum(w * (one - two)) / nullif(sum(w), 0) as gain
+  from (select *, {_weight} as w from (select *, {_draw} as u from judged, (select unnest(range(1, 101)) as draw))) group by draw)
+select (select count(*) from judged) as queries, (select avg(one) from judged) as recall_one, (select avg(two) from judged) as recall_two,
+       (select avg(overlap) from judged) as overlap, (select avg(one - two) from judged) as gain, quantile_cont(gain, 0.025) as low,
+       quantile_cont(gain, 0.975) as high, avg(case when gain > 0 then 1.0 else 0.0 end) as ahead from drawn)""",
+)
+def compared_runs(t: Tables) -> DataFrame:
+    """The two best hits against a search of two thirds of the documents; the exact three best are the judgements."""
+    golden = settle(nearest(t.query_vectors, t.chunk_embedding_ref, 3))
+    fewer = t.chunk_embedding_ref.filter(F.floor(F.col("chunk_id") / 1000) % 3 != 0)
+    runs = [df.withColumnRenamed("vector_id", "query_id") for df in (golden, golden.filter("rank <= 2"), nearest(t.query_vectors, fewer, 3))]
+    found = compare_runs(*runs, k=3, draws=100)
+    return found.select("queries", *[F.round(c, 6).alias(c) for c in found.columns if c != "queries"])
+
+
 @query(
     "retrieved_chunks",
     ["hits", "chunk_ref", "doc_ref"],
