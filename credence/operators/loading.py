@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.config import RISK_COLUMNS, RISK_EXPLANATION_PREFIX, RISK_FLAG_TO_CODE
@@ -62,15 +63,20 @@ def merge_nodes(old: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFra
     ).select("node_id", "node_type", "label", "ref_table", "ref_id", "metadata")
 
 
-def unmatched(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Distinct non-NULL keys without a partner. Distinct first, so a heavy key is one row in the join."""
-    return rows.select(key).distinct().join(known.select(key), key, "left_anti")
+# How the message of a failed look-up begins; `missing_key` finds it in Spark's errors.
+NO_MATCH = "without a match, for example"
 
 
-def require_known(rows: DataFrame, known: DataFrame, key: str, what: str) -> None:
-    missing = unmatched(rows, known, key).take(1)
-    if missing:
-        raise KeyError(f"{what} without a match, for example {missing[0][0]!r}")
+def known_or_fail(found: Column, key: Column, what: str) -> Column:
+    """The id a left join found; where it found none, the job that needs it fails. No job of its own looks first."""
+    text = F.concat(F.lit(f"{what} {NO_MATCH} '"), F.coalesce(key.cast("string"), F.lit("")), F.lit("'"))
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(text).cast("long"))
+
+
+def missing_key(error: Exception) -> str | None:
+    """What `known_or_fail` said, if an error of Spark's has it."""
+    said = re.search(rf"[\w ]+ {NO_MATCH} '[^'\n]*'", str(error))
+    return said.group(0).strip() if said else None
 
 
 def company_rows(company: DataFrame, start: int = 1) -> DataFrame:
@@ -89,12 +95,16 @@ def company_rows(company: DataFrame, start: int = 1) -> DataFrame:
     )
 
 
-def report_rows(report: DataFrame, company: DataFrame) -> DataFrame:
-    """Stored report shape: net_profit is called profit, year report_year; flags become BOOLEAN."""
+def report_rows(report: DataFrame, company: DataFrame, strict: bool = False) -> DataFrame:
+    """Stored report shape: net_profit is called profit, year report_year; flags become BOOLEAN.
+
+    Reports of unknown companies are left out, or, if `strict`, fail the job that reads the rows.
+    """
     have = report.columns
     number = lambda c: F.col(c) if c in have else F.lit(None).cast("double")
-    return report.join(company.select("company_id", "inn"), "inn", "inner").select(
-        "company_id",
+    company_id = known_or_fail(F.col("company_id"), F.col("inn"), "report inn") if strict else F.col("company_id")
+    return report.join(company.select("company_id", "inn"), "inn", "left" if strict else "inner").select(
+        company_id.alias("company_id"),
         F.col("year").cast("int").alias("report_year"),
         number("revenue").alias("revenue"),
         number("net_profit").alias("profit"),
@@ -135,10 +145,15 @@ def document_rows(documents: DataFrame, start: int = 1) -> DataFrame:
     )
 
 
-def chunk_rows(chunks: DataFrame, document: DataFrame, start: int = 1) -> DataFrame:
-    """Chunks with document ids. One document may own a third of all chunks, hence the spread join."""
+def chunk_rows(chunks: DataFrame, document: DataFrame, start: int = 1, strict: bool = False) -> DataFrame:
+    """Chunks with document ids. One document may own a third of all chunks, hence the spread join.
+
+    Chunks of unknown documents are left out, or, if `strict`, fail the job that reads the rows.
+    """
     ids = document.select("document_id", F.col("metadata")["external_id"].alias("document_external_id"))
-    joined = spread_join(chunks, ids, "document_external_id", ["external_id"])
+    joined = spread_join(chunks, ids, "document_external_id", ["external_id"], "left" if strict else "inner")
+    if strict:
+        joined = joined.withColumn("document_id", known_or_fail(F.col("document_id"), F.col("document_external_id"), "chunk document"))
     return dense_ids(joined, "external_id", "chunk_id", start).select(
         "chunk_id", "document_id", "chunk_text", F.col("chunk_order").cast("int").alias("chunk_order"),
         F.coalesce("allowed_roles", F.array().cast("array<string>")).alias("allowed_roles"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,14 @@ def load_tables(store: TableStore, tables: dict[str, DataFrame], truncate: bool
     the store is as before. Of rows with one key the last to arrive wins: by the columns `_file` and `_row`
     where a table has them (see `sources.store.arrivals`), else by content.
     """
-    with settled_scope(store.spark), store.change() as change:
-        _load_tables(change, tables, truncate)
+    try:
+        with settled_scope(store.spark), store.change() as change:
+            _load_tables(change, tables, truncate)
+    except (PySparkException, Py4JJavaError) as error:
+        missing = loading.missing_key(error)
+        if missing is None:
+            raise
+        raise KeyError(missing) from error
 
 
 def _load_tables(change: Change, tables: dict[str, DataFrame], truncate: bool) -> None:
@@ -46,9 +54,8 @@ def _load_tables(change: Change, tables: dict[str, DataFrame], truncate: bool) -
         raise ValueError(f"company already stored: {clash[0]['inn']}")
     change.append("company", company)
 
-    loading.require_known(tables["financial_report"], company, "inn", "report inn")
     arrived = loading.with_arrival(tables["financial_report"])
-    latest = last_by(loading.report_rows(arrived, company), ["company_id", "report_year"], ["pos"], drop_order=True)
+    latest = last_by(loading.report_rows(arrived, company, strict=True), ["company_id", "report_year"], ["pos"], drop_order=True)
     key = F.format_string("%020d/%010d", "company_id", "report_year")
     numbered = settle(dense_ids(latest.withColumn("_key", key), "_key", "report_id", change.next_id("financial_report")).drop("_key"))
     change.merge("financial_report", numbered, lambda old, new: loading.update_or_insert(old, new, ["company_id", "report_year"], ["report_id"]))
@@ -59,9 +66,7 @@ def _load_tables(change: Change, tables: dict[str, DataFrame], truncate: bool) -
 
     document = settle(loading.document_rows(tables["documents"], change.next_id("document")))
     change.append("document", document)
-    known = document.select(F.col("metadata")["external_id"].alias("document_external_id"))
-    loading.require_known(tables["chunks"], known, "document_external_id", "chunk document")
-    chunk = settle(loading.chunk_rows(tables["chunks"], document, change.next_id("chunk")))
+    chunk = settle(loading.chunk_rows(tables["chunks"], document, change.next_id("chunk"), strict=True))
     change.append("chunk", chunk)
 
     none = F.create_map().cast("map<string,string>")
