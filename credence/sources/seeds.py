@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from credence import schemas
-from credence.config import RISK_FACTORS, RISK_FLAG_TO_CODE
+from credence.config import RISK_FACTORS
 
 # ---------------------------------------------------------------------------
 # The demonstration company, documents, chunks and links.
@@ -59,10 +59,6 @@ def risk_factors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RISK_FACTORS, schemas.RISK_FACTOR)
 
 
-def flag_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RISK_FLAG_TO_CODE.items()), "flag string, code string")
-
-
 def demo_documents(spark: SparkSession, inn: str, company_name: str = DEMO_COMPANY_NAME) -> DataFrame:
     named = {"demo_company_inn": inn, "demo_company_name": company_name}
     rows = [
