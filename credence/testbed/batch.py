@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.config import RISK_COLUMNS
@@ -32,7 +32,7 @@ from credence.operators.reports import (
 from credence.operators.sampling import bounded_sample, stratified_sample
 from credence.session import ensure_checkpoint_dir
 from credence.sources import seeds
-from credence.sources.export import SORTED_BY, manifest, write_csv
+from credence.sources.export import SORTED_BY, manifest, reread, write_csv, write_sorted
 from credence.sources.yearly import clean_year, load_years, union_years
 from credence.testbed.registry import SQL_STEPS, query
 from credence.testbed.tables import CLEANING, SETTINGS, Tables
@@ -662,6 +662,25 @@ def exported_csv(t: Tables) -> DataFrame:
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+@query(
+    "exported_order",
+    ["reports"],
+    """select row_number() over (order by inn, year) as place, inn, year, region, revenue, net_profit, filed from reports""",
+)
+def exported_order(t: Tables) -> DataFrame:
+    """A sorted export re-read: every row with its place over all files."""
+    path = f"{_scratch(t)}/reports.csv"
+    write_sorted(t.reports, path, SORTED_BY["financial_report"])
+    rows = reread(t.spark, path)
+    # One row per file.
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows")).select("file", before.alias("before"))
+    return rows.join(starts, "file").select(
+        (F.col("place") + F.col("before")).alias("place"), "inn", F.col("year").cast("int").alias("year"), "region",
+        *[F.col(c).cast("double").alias(c) for c in ("revenue", "net_profit", "filed")],
+    )
+
+
 @query(
     "decoded_json",
     ["chunk_ref"],

@@ -11,7 +11,7 @@ from credence.config import RISK_FACTORS, RetrievalSettings
 from credence.operators import checks, loading
 from credence.plans.load import embed_all_chunks, embed_changed_chunks, load_tables
 from credence.plans.prepare import prepare
-from credence.sources.export import export_tables, manifest
+from credence.sources.export import export_tables, manifest, order_violations, reread, write_sorted
 from credence.sources.seeds import demo_bundle
 from credence.sources.store import TableStore, arrivals
 
@@ -91,6 +91,24 @@ def test_export_and_manifest(spark, bundle, tmp_path):
     assert manifest(bundle).first()["reports"] == 4
 
 
+def test_a_changed_export_is_noticed(spark, tmp_path):
+    rows = spark.range(500).selectExpr("lpad(cast(id * 7 % 500 as string), 5, '0') as inn", "cast(id % 2 as int) + 2023 as year", "if(id % 3 = 0, null, id) as n").repartition(5)
+    path = f"{tmp_path}/r.csv"
+    write_sorted(rows, path, ["inn", "year"])
+    assert order_violations(spark, path, ["inn", "year"]).collect() == []
+    back = reread(spark, path).orderBy("file", "place").collect()
+    assert [r.inn for r in back] == sorted(r.inn for r in back) and len(back) == 500 and sum(r.n is None for r in back) == 167
+    name = sorted(glob.glob(f"{path}/part-*.csv"))[-1]
+    with open(name) as f:
+        lines = f.read().splitlines()
+    crc = os.path.join(path, f".{os.path.basename(name)}.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    with open(name, "w") as f:
+        f.write("\n".join([lines[0], lines[2], lines[1], *lines[3:]]) + "\n")
+    assert {r.problem for r in order_violations(spark, path, ["inn", "year"]).collect()} == {"order", "contents"}
+
+
 @pytest.fixture(scope="module")
 def store(spark, bundle, tmp_path_factory):
     stored = TableStore(spark, str(tmp_path_factory.mktemp("store")), hash_parts=4)
