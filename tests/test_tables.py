@@ -220,6 +220,27 @@ def test_a_change_touches_its_partitions_only(spark, tmp_path):
     assert len(store.state()[1]["chunk_embedding"][6]) == 2 and store.read("chunk_embedding").count() == 52
 
 
+def test_sparse_ids_make_few_partitions(spark, tmp_path):
+    """Ids far apart do not get a folder each; ranges double as rows join, and merges still replace the right rows."""
+    store = TableStore(spark, str(tmp_path), ids_per_part=10)
+    vectors = lambda ids, model: spark.createDataFrame([(i, [1.0], model, None, None) for i in ids], schemas.STORED_TABLES["chunk_embedding"])
+    update = lambda old, new: loading.update_or_insert(old, new, ["chunk_id"], [])
+    first, more = range(-40_000, 60_000, 1000), range(60_000, 600_000, 1000)
+    store.replace("chunk_embedding", vectors(first, "a"))
+    assert len(store.state()[1]["chunk_embedding"]) == 100 and store.levels["chunk_embedding"] == 0
+    with store.change() as change:
+        change.append("chunk_embedding", vectors(more, "b"))
+    changed = [-40_000, 7000, 59_000, 60_000, 599_000, 5]
+    again = TableStore(spark, str(tmp_path), ids_per_part=10)
+    with again.change() as change:
+        touched = change.merge("chunk_embedding", vectors(changed, "c"), update)
+    parts = again.state()[1]["chunk_embedding"]
+    assert len(touched) <= 6 and len(parts) <= 256 and again.levels["chunk_embedding"] > 0
+    want = {**dict.fromkeys(first, "a"), **dict.fromkeys(more, "b"), **dict.fromkeys(changed, "c")}
+    rows = TableStore(spark, str(tmp_path), ids_per_part=10).read("chunk_embedding").collect()
+    assert {r.chunk_id: r.model_name for r in rows} == want and len(rows) == len(want)
+
+
 def test_the_last_of_a_batch_wins(spark, bundle, tmp_path):
     """By file and row, whatever the partitions; without them by content, so that loads agree."""
     def batch(rows, name):
