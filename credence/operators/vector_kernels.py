@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Scores equal to this many digits count as ties; the lower chunk id goes first.
 TIE_DIGITS = 9
 QUERY_BLOCK = 512
+# Scores computed at once: 4 MB of them, several times over while the best are picked.
+SCORES = 1 << 19
 
 
 def unit_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -35,9 +37,9 @@ def keep_best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
 
 def block_best(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
     """Top k of `rows` for every query, a block of queries at a time."""
-    found = []
-    for lo in range(0, len(queries), QUERY_BLOCK):
-        scores = queries[lo : lo + QUERY_BLOCK] @ rows.T
+    found, step = [], max(1, min(QUERY_BLOCK, SCORES // max(1, len(rows))))
+    for lo in range(0, len(queries), step):
+        scores = queries[lo : lo + step] @ rows.T
         if scores.shape[1] > k:
             cut = np.partition(scores, -k, axis=1)[:, -k]
             q, c = np.nonzero(scores >= cut[:, None] - 10.0**-TIE_DIGITS)

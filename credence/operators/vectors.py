@@ -1,8 +1,9 @@
 """Text encoding and cosine top-k over chunk embeddings.
 
 Exact search has two physical forms with the same result. While the distinct query
-vectors fit `broadcast_bytes` they travel to the corpus: one scan, no shuffle of
-vectors, each task sends on at most k rows per query. Beyond that the corpus is stored
+vectors fit `broadcast_bytes` they travel to the corpus: a scan for each `SCAN_QUERIES` of
+them, so that a task's memory does not grow with their number, and no shuffle of vectors;
+each task sends on at most k rows per query. Beyond that the corpus is stored
 by the leaves of a two-level tree of balls (see `vector_index`), and a query visits only
 the leaves that the triangle inequality on angles cannot rule out.
 """
@@ -21,6 +22,10 @@ from credence.config import RetrievalSettings
 from credence.operators.grouping import spread_join
 from credence.operators.vector_index import VectorIndex, by_leaves, probed, store_vectors
 from credence.operators.vector_kernels import block_best, keep_best, no_hits, top_hits, unit_matrix
+from credence.session import settle
+
+# Query vectors that one scan of the corpus compares.
+SCAN_QUERIES = 8_192
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -53,7 +58,8 @@ def encode_queries(requests: DataFrame, encoder: Encoder) -> tuple[DataFrame, Da
 # --- exact search, queries broadcast -------------------------------------------
 
 
-def _scan_with(queries: np.ndarray, spark, corpus: DataFrame, k: int) -> DataFrame:
+def _scan_with(queries: np.ndarray, spark, corpus: DataFrame, k: int, first: int = 0) -> DataFrame:
+    """Top k of each task for every query; queries are numbered from `first` on."""
     shared, dim = spark.sparkContext.broadcast(queries), queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +74,7 @@ def _scan_with(queries: np.ndarray, spark, corpus: DataFrame, k: int) -> DataFra
             best = fresh
         if best is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(best[0].astype(np.int32)), pa.array(best[1].astype(np.int64)), pa.array(best[2])],
+                [pa.array((best[0] + first).astype(np.int32)), pa.array(best[1].astype(np.int64)), pa.array(best[2])],
                 names=["q", "chunk_id", "vector_score"],
             )
 
@@ -106,7 +112,12 @@ def nearest(
         index = store_vectors(rows)
         return top_hits(by_leaves(vectors, index, k), "vector_id", k) if index else no_hits(vectors)
     matrix = unit_matrix(head.column("embedding"), dim)
-    hits = top_hits(_scan_with(matrix, spark, rows, k), "q", k)
+    starts = range(0, len(matrix), SCAN_QUERIES)
+    if len(starts) > 1:
+        # Read once per scan.
+        rows = settle(rows)
+    scans = [_scan_with(matrix[at : at + SCAN_QUERIES], spark, rows, k, at) for at in starts]
+    hits = top_hits(reduce(DataFrame.unionByName, scans), "q", k)
     names = pa.table({"q": pa.array(range(head.num_rows), pa.int32()), "vector_id": head.column("vector_id")})
     # As many rows as query vectors, and those were just bounded.
     return hits.join(F.broadcast(spark.createDataFrame(names)), "q").select(

@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from credence.config import RetrievalSettings
-from credence.operators import vector_index
+from credence.operators import vector_index, vector_kernels
 from credence.operators import vectors as V
 
 DIM = 8
@@ -138,6 +139,28 @@ def test_a_search_leaves_the_corpus_in_place(spark, data):
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_scans_take_few_queries_each(spark, data, monkeypatch):
+    """A task holds no more than `SCAN_QUERIES` query vectors, however many there are."""
+    monkeypatch.setattr(V, "SCAN_QUERIES", 5)
+    held, scan = [], V._scan_with
+    monkeypatch.setattr(V, "_scan_with", lambda queries, *rest: held.append(len(queries)) or scan(queries, *rest))
+    queries, corpus = data
+    hits = V.nearest(frame(spark, queries, "vector_id"), frame(spark, corpus, "chunk_id"), 5)
+    assert {(r.vector_id, r["rank"]): r.chunk_id for r in hits.collect()} == truth(queries, corpus, 5)
+    assert max(held) <= 5 and sum(held) == len(queries)
+
+
+def test_scores_of_large_batches_are_bounded(data, monkeypatch):
+    """More rows mean fewer queries at once, not more scores."""
+    queries, corpus = (V.unit_matrix(pa.array(m.tolist(), pa.list_(pa.float64())), DIM) for m in data)
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *args, **kwargs: sizes.append(a.size) or partition(a, *args, **kwargs))
+    monkeypatch.setattr(vector_kernels, "SCORES", 1000)
+    q, ids, _ = V.block_best(queries, corpus, np.arange(len(corpus)), 5)
+    want = truth(*data, 5)
+    assert max(sizes) <= 1000 and list(zip(q.tolist(), ids.tolist())) == [(i, want[(i, r)]) for i in range(len(queries)) for r in range(1, 6)]
+
+
 def test_filter_first_serves_any_role(spark, data):
     queries, corpus = data
     vectors, rows = frame(spark, queries, "vector_id"), frame(spark, corpus, "chunk_id")
