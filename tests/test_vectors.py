@@ -139,6 +139,19 @@ def test_a_search_leaves_the_corpus_in_place(spark, data):
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_a_query_is_dealt_once_to_each_place(spark, data, monkeypatch):
+    """Not once to each leaf: leaves share places."""
+    monkeypatch.setattr(vector_index, "PENDING_HITS", 3)
+    queries, corpus = frame(spark, data[0], "vector_id"), frame(spark, data[1], "chunk_id")
+    index = V.store_vectors(corpus, leaves=60)
+    everywhere = lambda index, unit, _: tuple(a.ravel() for a in np.indices((len(unit), len(index.pivots))))
+    visits = vector_index._visits(queries, index, everywhere)
+    places = index.corpus.select("place").distinct().count()
+    assert visits.count() <= len(data[0]) * len(set(index.places.tolist())) and places <= 17 < 60
+    hits = V.top_hits(vector_index._search(visits, index, 5), "vector_id", 5)
+    assert {(r.vector_id, r["rank"]): r.chunk_id for r in hits.collect()} == truth(*data, 5)
+
+
 def test_scans_take_few_queries_each(spark, data, monkeypatch):
     """A task holds no more than `SCAN_QUERIES` query vectors, however many there are."""
     monkeypatch.setattr(V, "SCAN_QUERIES", 5)
