@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from credence.operators import adjacency, grouping
+from credence.operators import adjacency, graph, grouping
 from credence.operators.adjacency import both_ways, frontier_filter, open_adjacency, reach_stored, store_adjacency
 from credence.operators.graph import expand, graph_chunks, reach, seed_nodes
 from credence.sources.seeds import demo_bundle
@@ -60,6 +60,22 @@ def test_two_hops_reach_the_linked_document(spark, demo):
     assert {r.node_id: r.depth for r in found.collect()}["document:law_001"] == 2
 
 
+@pytest.mark.parametrize("rows_per_task", [2, 1_000_000])
+def test_queries_with_equal_seeds_are_walked_once(spark, demo, monkeypatch, rows_per_task):
+    monkeypatch.setattr(grouping, "ROWS_PER_TASK", rows_per_task)
+    walked = []
+    monkeypatch.setattr(graph, "reach_stored", lambda *args: walked.append(reach_stored(*args)) or walked[-1])
+    rows = [(q, e) for q in (1, 2, 3, None) for e in ("ch_002", "ch_003")] + [(4, "ch_002"), (4, "ch_002")]
+    several = seed_nodes(spark.createDataFrame(rows, "query_id int, external_id string"))
+    found = expand(several, demo["graph_nodes"], demo["graph_edges"], 2).collect()
+    nodes = lambda *external: {(r.node_id, r.label, r.depth) for r in expand(seeds(spark, *external), demo["graph_nodes"], demo["graph_edges"], 2).collect()}
+    both, one = nodes("ch_002", "ch_003"), nodes("ch_002")
+    assert sorted((str(r.query_id), r.node_id, r.label, r.depth) for r in found) == sorted(
+        [(str(q), *n) for q in (1, 2, 3, None) for n in both] + [("4", *n) for n in one]
+    )
+    assert walked[0][0].count() == len(both) + len(one)
+
+
 def test_edge_types_limit_the_walk(spark, demo):
     found = expand(seeds(spark, "ch_002"), demo["graph_nodes"], demo["graph_edges"], 1, ["BELONGS_TO"])
     assert ids(found) == {"chunk:ch_002", "document:policy_001"}
