@@ -7,6 +7,9 @@ hub lies in several buckets; the few such nodes are listed beside the table, and
 
 Where there are many edges, a hop first builds a Bloom filter of its frontier, of fixed size, and drops
 edges that no query stands on before they are sorted for the join.
+
+`reach_stored` keeps a row for every query and node. Where hubs lead most queries to most nodes, `reach_classes` keeps
+nodes that the same queries reach at the same depths as one class, and a class's queries once for all its nodes.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from credence.config import EDGE_TYPES
 from credence.operators import grouping
-from credence.operators.grouping import spread_join
+from credence.operators.grouping import product_join, spread_join
 from credence.session import ensure_checkpoint_dir, forget_at_end, settle, settle_counted
 
 ROWS_PER_BUCKET = 4_000_000
@@ -169,3 +172,50 @@ def _hop(frontier: DataFrame, adjacency: Adjacency, may_be_heavy: bool, per_task
         frontier.join(crowded, "node_id", "left_semi"), own_edges, "node_id", ["query_id"], small_id=["neighbour"], rows_per_task=per_task
     ).select("query_id", "neighbour")
     return _step(rest, adjacency, filtered).unionByName(crowds)
+
+
+@dataclass(frozen=True)
+class ReachedClasses:
+    """Reached nodes by class: `nodes` (node_id, class) and, once for all nodes of a class, `walks` (class, walk, depth)."""
+
+    nodes: DataFrame
+    walks: DataFrame
+
+
+def reach_classes(
+    starts: DataFrame, adjacency: Adjacency, hops: int = 1, rows_per_task: int | None = None, filtered_rows: int | None = None
+) -> ReachedClasses:
+    """What `reach_stored` finds from `starts` (walk, node_id; walks are whole numbers), with nodes of equal walks and depths as one class.
+
+    Who reaches a node in a hop follows from its own class and those of its neighbours before the hop. So a hop
+    takes classes along the edges, not walks; nodes that are told the same classes become one class, whose walks
+    are worked out once. Sets of classes are compared by their size and 128 bits of hashes.
+    """
+    own = starts.select("node_id", F.lit(0).alias("step"), F.col("walk").alias("class"))
+    each = starts.select(F.col("walk").alias("class"), "walk", F.lit(0).alias("depth")).distinct()
+    reached = _classed(own, each, rows_per_task)
+    for _ in range(hops):
+        own = reached.nodes.select("node_id", F.lit(0).alias("step"), "class")
+        standing = reached.nodes.select(F.col("class").alias("query_id"), "node_id")
+        near = _step(standing, adjacency, adjacency.rows >= (filtered_rows or FILTERED_ROWS))
+        near = near.select(F.col("neighbour").alias("node_id"), F.lit(1).alias("step"), F.col("query_id").alias("class"))
+        reached = _classed(own.unionByName(near), reached.walks, rows_per_task)
+    return reached
+
+
+def _classed(told: DataFrame, walks: DataFrame, rows_per_task: int | None) -> ReachedClasses:
+    """Classes of the nodes told the same (step, class), with the walks of those classes that many steps further."""
+    told = settle(told.distinct())
+    # No set is gathered in a row: a hub may be told of very many classes.
+    marks = [F.bit_xor(F.xxhash64("class", "step")).alias("mark"), F.bit_xor(F.xxhash64("step", "class")).alias("mark_2")]
+    marked, count = settle_counted(told.groupBy("node_id").agg(F.count(F.lit(1)).alias("size"), *marks))
+    same = ["size", "mark", "mark_2"]
+    # Numbers of any kind, but written once, so that they stay.
+    one_each = marked.groupBy(*same).agg(F.min("node_id").alias("node_id"))
+    classes = settle(one_each.withColumn("number", F.monotonically_increasing_id()))
+    nodes = spread_join(marked, classes.drop("node_id"), same, ["node_id"], rows=count, rows_per_task=rows_per_task)
+    # What one node of a class is told stands for all of them.
+    parts = told.join(classes.select("node_id", "number"), "node_id").drop("node_id")
+    further = product_join(parts, walks, "class", ["number", "step"], ["walk"], rows_per_task=rows_per_task)
+    depths = further.groupBy(F.col("number").alias("class"), "walk").agg(F.min(F.col("depth") + F.col("step")).alias("depth"))
+    return ReachedClasses(nodes.select("node_id", F.col("number").alias("class")), settle(depths))

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from credence.config import EDGE_TYPES
 from credence.functions.columns import chunk_node_id
-from credence.operators.adjacency import Adjacency, reach_stored, store_adjacency
-from credence.operators.grouping import spread_join
-from credence.session import settle_counted
+from credence.operators.adjacency import Adjacency, reach_classes, reach_stored, store_adjacency
+from credence.operators.grouping import product_join, spread_join
+from credence.session import settle, settle_counted
 
 CHUNK_SCORE = 1.0
 DOCUMENT_SCORE = 0.8
+# Pairs of walks and edges from which on an expansion over several hops goes by classes of nodes.
+CLASSED_PAIRS = 100_000_000
+# So many queries travel to every task, to be told apart there.
+BROADCAST_QUERIES = 1_000_000
 
 
 def build_nodes(
@@ -97,18 +101,24 @@ def expand(
 ) -> DataFrame:
     """Reached nodes with their attributes; ids the node table lacks are walked through but not returned.
 
-    Queries with the same seeds are walked as one, and told apart at the end.
+    Queries with the same seeds are walked as one, and told apart at the end. Where several hops may give many rows, they
+    go by classes of nodes; a row for each query and node is made in the last join only, and not shuffled.
     """
     columns = ["query_id", "node_id", "node_type", "label", "ref_table", "ref_id", "depth"]
     about = nodes.select("node_id", "node_type", "label", "ref_table", "ref_id")
     sets, queries = settle_counted(seeds.groupBy("query_id").agg(F.sort_array(F.collect_set("node_id")).alias("seeds")))
     # Numbers of any kind, but written once, so that they stay.
     walks, different = settle_counted(sets.select("seeds").distinct().withColumn("walk", F.monotonically_increasing_id()))
+    if hops and not isinstance(edges, Adjacency):
+        edges = store_adjacency(edges, edge_types)
+    starts = walks.select("walk", F.explode("seeds").alias("node_id"))
+    if hops > 1 and different * edges.rows > CLASSED_PAIRS:
+        members = settle(sets.join(walks, "seeds").select("query_id", "walk"))
+        return _expand_classes(starts, members, queries, about, edges, hops).select(*columns)
     if different == queries:
         found, rows = _reach(seeds, edges, hops, edge_types)
         return spread_join(found, about, "node_id", ["query_id"], rows=rows).select(*columns)
-    starts = walks.select(F.col("walk").alias("query_id"), F.explode("seeds").alias("node_id"))
-    found, rows = _reach(starts, edges, hops, edge_types)
+    found, rows = _reach(starts.withColumnRenamed("walk", "query_id"), edges, hops, edge_types)
     found = found.withColumnRenamed("query_id", "walk")
     named = spread_join(found, about, "node_id", ["walk"], rows=rows)
     members = sets.join(walks, "seeds").select("query_id", "walk")
@@ -116,6 +126,18 @@ def expand(
     return told_apart.select(*columns)
 
 
+def _expand_classes(starts: DataFrame, members: DataFrame, queries: int, about: DataFrame, edges: Adjacency, hops: int) -> DataFrame:
+    reached = reach_classes(starts, edges, hops)
+    named = about.join(reached.nodes, "node_id")
+    if queries > BROADCAST_QUERIES:
+        depths = settle(product_join(reached.walks, members, "walk", ["class"], ["query_id"]))
+        return product_join(named, depths, "class", ["node_id"], ["query_id"])
+    sizes = F.broadcast(members.groupBy("walk").agg(F.count(F.lit(1)).alias("_queries")))
+    weights = reached.walks.join(sizes, "walk").groupBy("class").agg(F.count(F.lit(1)).alias("_m"), F.sum("_queries").alias("_gives"))
+    found = product_join(named, reached.walks, "class", ["node_id"], ["walk"], weights=weights)
+    return found.join(F.broadcast(members), "walk")
+
+
 def graph_chunks(
     reached: DataFrame, chunk: DataFrame, document: DataFrame, reached_rows: int | None = None, chunk_rows: int | None = None
 ) -> DataFrame:

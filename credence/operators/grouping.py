@@ -13,6 +13,8 @@ from credence.session import settle
 ROWS_PER_TASK = 2_000_000
 # So many heavy keys travel to every task; more of them are joined like any table.
 BROADCAST_HOT_KEYS = 10_000
+# Tasks of one product_join at most.
+MOST_TASKS = 20_000
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], drop_order: bool = False) -> DataFrame:
@@ -93,6 +95,48 @@ def spread_join(
     return left.join(right, [*on, *parts], how).drop(*parts)
 
 
+def product_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str | Sequence[str],
+    left_id: Sequence[str],
+    right_id: Sequence[str],
+    weights: DataFrame | None = None,
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """Inner equi-join that may give far more rows than its sides have, as keys repeat on both.
+
+    A key is weighed by the rows it gives. A heavy one is cut into parts on the side that has more rows of it,
+    by a hash of that side's row id; the rows of the other side are repeated, once per part. `weights` (the
+    key, `_m` rows of `right`, `_gives` rows for each row of `left`) serves where a further join multiplies them.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    rows_per_task = rows_per_task or ROWS_PER_TASK
+    if weights is None:
+        weights = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_m")).withColumn("_gives", F.col("_m"))
+    # Floating point, as the product of two counts may not fit a long.
+    gives = F.col("_n").cast("double") * F.col("_gives")
+    sizes = settle(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(weights, on).withColumn("_gives", gives))
+    total = sizes.agg(F.sum("_gives")).first()[0] or 0
+    if total <= rows_per_task:
+        return left.join(right.hint("merge"), on)
+    # Sized by the rows that come out: those that go in may be too few to be dealt to more than one task.
+    tasks = int(min(MOST_TASKS, max(left.sparkSession.sparkContext.defaultParallelism, -(-total // rows_per_task))))
+    parts = F.least(F.ceil(F.col("_gives") / F.lit(rows_per_task)), F.greatest("_n", "_m"), F.lit(1 << 30)).cast("int")
+    of_left = F.col("_n") >= F.col("_m")
+    heavy = _collected(
+        sizes.filter(F.col("_gives") > F.lit(rows_per_task))
+        .select(*on, F.when(of_left, parts).otherwise(1).alias("_left"), F.when(of_left, 1).otherwise(parts).alias("_right"))
+    )
+    keys = on
+    if heavy is not None:
+        keys = [*on, "_part", "_other"]
+        lefts, rights = (heavy.select(*on, F.col(side).alias("_parts")) for side in ("_left", "_right"))
+        left = _repeat(_cut(left, lefts, on, left_id, "_part"), rights, on, "_other")
+        right = _cut(_repeat(right, lefts, on, "_part"), rights, on, right_id, "_other")
+    return left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("merge"), keys).drop("_part", "_other")
+
+
 def _collected(keys: DataFrame) -> DataFrame | None:
     """The heavy keys, broadcast if they are few, None if there are none."""
     found = keys.limit(BROADCAST_HOT_KEYS + 1).collect()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credence.operators import adjacency, graph, grouping
-from credence.operators.adjacency import both_ways, frontier_filter, open_adjacency, reach_stored, store_adjacency
+from credence.operators.adjacency import both_ways, frontier_filter, open_adjacency, reach_classes, reach_stored, store_adjacency
 from credence.operators.graph import expand, graph_chunks, reach, seed_nodes
 from credence.sources.seeds import demo_bundle
 
@@ -76,6 +76,40 @@ def test_queries_with_equal_seeds_are_walked_once(spark, demo, monkeypatch, rows
     assert walked[0][0].count() == len(both) + len(one)
 
 
+@pytest.mark.parametrize("hops, rows_per_task, broadcast, filtered_rows", [(2, 1_000_000, 1_000_000, 1_000_000), (3, 3, 1_000_000, 1), (3, 5, 0, 1_000_000)])
+def test_expansion_by_classes_equals_the_walk(spark, monkeypatch, hops, rows_per_task, broadcast, filtered_rows):
+    """Two hubs, cycles, several seeds, equal seeds, a null query, seeds without edges, and a node table with gaps and copies."""
+    monkeypatch.setattr(adjacency, "FILTERED_ROWS", filtered_rows)
+    random.seed(5)
+    pairs = [("n0", f"n{i}") for i in range(2, 16)] + [("n1", f"n{i}") for i in range(10, 24)]
+    pairs += [(f"n{random.randrange(40)}", f"n{random.randrange(40)}") for _ in range(20)]
+    edges = spark.createDataFrame([(a, b, "MENTIONS") for a, b in pairs], SOME_EDGES)
+    start = [(q, f"n{q}") for q in range(2, 20)] + [(30, "n0"), (31, "n3"), (32, "n3"), (32, "n11"), (33, "n11"), (33, "n3"), (None, "n12"), (34, "lost")]
+    start = spark.createDataFrame(start, "query_id int, node_id string")
+    nodes = spark.createDataFrame(
+        [(f"n{i}", "Chunk", f"label {i}", "chunk", str(i)) for i in range(40) if i % 7 != 6] + [("n4", "Chunk", "again", "chunk", "4"), ("lost", None, None, None, None)],
+        "node_id string, node_type string, label string, ref_table string, ref_id string",
+    )
+    want = sorted(map(str, expand(start, nodes, edges, hops).collect()))
+    monkeypatch.setattr(grouping, "ROWS_PER_TASK", rows_per_task)
+    monkeypatch.setattr(graph, "CLASSED_PAIRS", 0)
+    monkeypatch.setattr(graph, "BROADCAST_QUERIES", broadcast)
+    monkeypatch.setattr(graph, "reach_stored", None)
+    assert sorted(map(str, expand(start, nodes, edges, hops).collect())) == want and len(want) > 200
+
+
+def test_nodes_with_equal_walks_are_one_class(spark):
+    """Many queries that meet at a hub: one row a query for all other nodes around it, not one for each of them."""
+    star = spark.createDataFrame([("hub", f"m{i}", "MENTIONS") for i in range(200)], SOME_EDGES)
+    starts = spark.createDataFrame([(q, f"m{q}") for q in range(20)], "walk long, node_id string")
+    reached = reach_classes(starts, store_adjacency(star), 2)
+    # The hub, the nodes where no query starts, and twenty where one does.
+    assert reached.nodes.count() == 201 and reached.nodes.select("class").distinct().count() == 22
+    assert reached.walks.count() == 22 * 20
+    rows = reached.nodes.join(reached.walks, "class").groupBy("depth").count().collect()
+    assert {r.depth: r["count"] for r in rows} == {0: 20, 1: 20, 2: 20 * 199}
+
+
 def test_edge_types_limit_the_walk(spark, demo):
     found = expand(seeds(spark, "ch_002"), demo["graph_nodes"], demo["graph_edges"], 1, ["BELONGS_TO"])
     assert ids(found) == {"chunk:ch_002", "document:policy_001"}

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from credence.operators.grouping import dense_ids, first_by, grouped_rank, hot_keys, last_by, spread_join
+from credence.operators.grouping import dense_ids, first_by, grouped_rank, hot_keys, last_by, product_join, spread_join
 from credence.session import settle_counted
 
 
@@ -40,6 +40,28 @@ def test_both_sides_may_be_heavy(spark):
         spread_join(big, small, "k", ["a"], "left", small_id=["b"])
 
 
+@pytest.mark.parametrize("limit", [20, 1_000_000])
+def test_product_join_deals_keys_by_the_rows_they_give(spark, limit):
+    key = lambda *sizes: F.expr(f"case when id < {sizes[0]} then 1 when id < {sizes[1]} then 2 when id < {sizes[2]} then null else id end").cast("long").alias("k")
+    left, right = spark.range(60).select(F.col("id").alias("a"), key(30, 35, 38)), spark.range(60).select(F.col("id").alias("b"), key(5, 40, 44))
+    got = product_join(left, right, "k", ["a"], ["b"], rows_per_task=limit)
+    rows = got.collect()
+    assert len(rows) == 30 * 5 + 5 * 35 + 16 and sorted(map(str, rows)) == sorted(map(str, left.join(right, "k").collect()))
+    # No key's rows come out of one task, and none of them out of far more than the limit.
+    each = got.groupBy(F.spark_partition_id().alias("task"), "k").count().collect()
+    assert max(r["count"] for r in each) == 175 if limit > 20 else all(r["count"] < 90 for r in each)
+    assert product_join(left.limit(0), right, "k", ["a"], ["b"], rows_per_task=limit).count() == 0
+
+
+def test_product_join_weighs_by_what_follows(spark):
+    one = "case when id >= 0 then 1L end as k"
+    left, right = spark.range(40).selectExpr("id as a", one), spark.range(2).selectExpr("id as b", one)
+    weights = spark.createDataFrame([(1, 2, 1000)], "k long, _m long, _gives long")
+    got = product_join(left, right, "k", ["a"], ["b"], weights, rows_per_task=4000)
+    each = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in each) == 80 and len(each) > 1
+
+
 def test_heavy_keys_are_cut_into_enough_parts(spark):
     big = spark.range(100).select(F.when(F.col("id") < 60, 1).otherwise(F.col("id")).alias("k"))
     assert [(r.k, r._parts) for r in hot_keys(big, ["k"], 7).collect()] == [(1, 9)]
